@@ -56,3 +56,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(docs, rules).select("doc_id", *BASE, "base_failed", "kept")
 
 
+
+
+@query
+def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnloom.llm.gif import digests, media_table
+
+    return digests(media_table(documents(spark, sf_dir)))
