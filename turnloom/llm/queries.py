@@ -63,3 +63,13 @@ def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnloom.llm.gif import digests, media_table
 
     return digests(media_table(documents(spark, sf_dir)))
+
+
+@query
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from turnloom.llm.bpe import DIGESTS, Bpe, digests, encode
+
+    bpe = Bpe.load(public_tokenizers.path("word_bpe_49k.json"))
+    return encode(documents(spark, sf_dir), bpe, digests(bpe), DIGESTS)
