@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnloom.llm.common import documents, labels
+from turnloom.llm.common import documents, held_out, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -73,3 +74,23 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     bpe = Bpe.load(public_tokenizers.path("word_bpe_49k.json"))
     return encode(documents(spark, sf_dir), bpe, digests(bpe), DIGESTS)
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnloom.llm.toxicity import fit, scored
+
+    docs = documents(spark, sf_dir)
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = fit(docs, labels(spark, sf_dir), ~out)
+    return scored(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_clauses")
+
+
+@query
+def op2_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnloom.llm.rff import fit, scored
+
+    docs = documents(spark, sf_dir)
+    out = held_out(F.col("doc_id"), 3, 1)
+    model = fit(docs, labels(spark, sf_dir), ~out)
+    return scored(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
