@@ -94,3 +94,33 @@ def op2_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 3, 1)
     model = fit(docs, labels(spark, sf_dir), ~out)
     return scored(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnloom.llm.substrings import without_repeats
+
+    return without_repeats(documents(spark, sf_dir), "kept_sha256 string")
+
+
+ORACLE["op8_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM w WHERE len(ws) >= 20
+), k AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS k FROM s
+), g AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM k) WHERE r > 1
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM g
+), p AS (
+  SELECT doc_id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM w
+), m AS (
+  SELECT p.doc_id, p.pos, p.word, c.pos IS NOT NULL AS gone FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.pos = c.pos
+), a AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN a ON w.doc_id = a.doc_id
+"""
