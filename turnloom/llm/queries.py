@@ -124,3 +124,10 @@ WITH w AS (
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN a ON w.doc_id = a.doc_id
 """
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnloom.llm.suffixes import without_repeats
+
+    return without_repeats(documents(spark, sf_dir), "kept_sha256 string")

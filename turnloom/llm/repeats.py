@@ -20,7 +20,9 @@ HELD_ROWS = 1_500_000
 
 ANCHORS = "h long, doc_id long, at int, sure boolean"
 PLACES = "doc_id long, at int"
-WINDOWS = "h long, g long, doc_id long, at int, gone boolean"
+#: ``n`` windows from ``at`` on that are gone, or one window that waits to be compared.
+WINDOWS = "h long, g long, doc_id long, at int, n int, gone boolean"
+RANGES = "doc_id long, at int, n int"
 
 
 def _column(x, kind) -> pa.Array:
@@ -104,7 +106,7 @@ def local_windows(rows: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
         gone = (d != np.repeat(d[start], size)) | (at != np.repeat(at[start], size))
         keep = new | gone  # repeated rows of one document stand for each other
         h[gone], g[gone] = _spread(d[gone], at[gone]), 0
-        return record({"h": _column(h[keep], pa.int64()), "g": _column(g[keep], pa.int64()), "doc_id": _column(d[keep], pa.int64()), "at": _column(at[keep].astype(np.int32), pa.int32()), "gone": pa.array(gone[keep])}, types)
+        return record({"h": _column(h[keep], pa.int64()), "g": _column(g[keep], pa.int64()), "doc_id": _column(d[keep], pa.int64()), "at": _column(at[keep].astype(np.int32), pa.int32()), "n": pa.array(np.ones(keep.sum(), np.int32)), "gone": pa.array(gone[keep])}, types)
 
     docs, sizes, hs, gs, ats, held = [], [], [], [], [], 0
     for d, h, g, at in rows:
@@ -122,8 +124,8 @@ def local_windows(rows: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def later_windows(windows: DataFrame) -> DataFrame:
-    """PLACES of the windows whose key has an earlier place (smaller doc_id, or same document and earlier start)."""
-    types = arrow_types(PLACES)
+    """RANGES of the windows whose key has an earlier place (smaller doc_id, or same document and earlier start)."""
+    types = arrow_types(RANGES)
 
     def run(batches):
         first: tuple | None = None  # hashes and place of the first row of the key at hand
@@ -131,7 +133,7 @@ def later_windows(windows: DataFrame) -> DataFrame:
             n = b.num_rows
             if not n:
                 continue
-            h, g, d, at, gone = (b.column(k).to_numpy(zero_copy_only=False) for k in ("h", "g", "doc_id", "at", "gone"))
+            h, g, d, at, length, gone = (b.column(k).to_numpy(zero_copy_only=False) for k in ("h", "g", "doc_id", "at", "n", "gone"))
             new = np.concatenate([[first is None or (h[0], g[0]) != first[:2]], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
             start = np.flatnonzero(new)
             lead = n if not len(start) else int(start[0])
@@ -143,19 +145,22 @@ def later_windows(windows: DataFrame) -> DataFrame:
                 first = (h[k], g[k], d[k], at[k])
             out = gone | (d != fd) | (at != fa)
             if out.any():
-                yield record({"doc_id": _column(d[out], pa.int64()), "at": _column(at[out], pa.int32())}, types)
+                yield record({"doc_id": _column(d[out], pa.int64()), "at": _column(at[out], pa.int32()), "n": _column(length[out], pa.int32())}, types)
 
-    return windows.repartition("h", "g").sortWithinPartitions("h", "g", "doc_id", "at").mapInArrow(run, PLACES)
+    return windows.repartition("h", "g").sortWithinPartitions("h", "g", "doc_id", "at").mapInArrow(run, RANGES)
 
 
 def by_document(places: DataFrame) -> DataFrame:
-    """(doc_id, _tl_at): each document's places; they are bounded by its length."""
-    return places.groupBy("doc_id").agg(F.collect_list("at").alias("_tl_at"))
-
-
-def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
-    """Which of n units lie in a window of ``width`` from one of the starts."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + width, n), -1)
-    return np.cumsum(edge[:n]) > 0
+    """(doc_id, _tl_at, and _tl_n where there are ranges): each document's places; they are bounded by its length."""
+    lists = [F.collect_list(F.struct(*[c for c in ("at", "n") if c in places.columns])).alias("x")]
+    out = places.groupBy("doc_id").agg(*lists)
+    return out.select("doc_id", *[F.col(f"x.{c}").alias(f"_tl_{c}") for c in ("at", "n") if c in places.columns])
+
+
+def covered(size: int, starts: list[int], counts: list[int], width: int) -> np.ndarray:
+    """Which of ``size`` units lie in one of the windows of ``width``: ``counts`` of them from each of the starts."""
+    starts = np.array(starts, np.int64)
+    edge = np.zeros(size + 1, np.int64)
+    np.add.at(edge, np.minimum(starts, size), 1)
+    np.add.at(edge, np.minimum(starts + np.array(counts, np.int64) - 1 + width, size), -1)
+    return np.cumsum(edge[:size]) > 0

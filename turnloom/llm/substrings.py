@@ -71,7 +71,7 @@ def extended(places: np.ndarray, n: int, width: int) -> np.ndarray:
 
 
 def gone_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, at): starts of the windows of ``width`` words whose sequence also starts earlier. ``docs`` has doc_id (long) and text."""
+    """(doc_id, at, n): starts of the windows of ``width`` words whose sequence also starts earlier. ``docs`` has doc_id (long) and text."""
     if width < PERIOD:
         raise ValueError(f"windows need at least {PERIOD} words")
     short_batches(docs.sparkSession)
@@ -123,11 +123,11 @@ def without_repeats(docs: DataFrame, extra: str = "kept string", width: int = WI
             if not b.num_rows:
                 continue
             out = []
-            for t, at in zip(text_bytes(b), b.column("_tl_at").to_pylist(), strict=True):
+            for t, at, count in zip(text_bytes(b), b.column("_tl_at").to_pylist(), b.column("_tl_n").to_pylist(), strict=True):
                 words = t.split()
                 n = len(words)
                 if at:
-                    mask = covered(n, np.array(at), width)
+                    mask = covered(n, at, count, width)
                     words = [w for w, x in zip(words, mask.tolist(), strict=True) if not x]
                 kept = b" ".join(words)
                 out.append((n, n - len(words), hashlib.sha256(kept).hexdigest() if name == "kept_sha256" else kept.decode("utf-8", "replace")))
