@@ -131,3 +131,33 @@ def window_hash(units: np.ndarray, width: int, base: int) -> np.ndarray:
         out *= b
         out += units[k : k + n]
     return mix(out)
+
+
+def rewritten(docs: DataFrame, table: DataFrame, change: Callable[..., bytes]) -> DataFrame:
+    """``docs`` with text replaced by change(text, *columns of ``table`` from _tl_ on), joined by doc_id; n_chars, if there, follows.
+
+    Rows that ``table`` does not have, or that come out as they were, keep their text, null included. All other columns stay as they are.
+    """
+    names = [c for c in table.columns if c.startswith("_tl_")]
+    key = table.withColumnRenamed("doc_id", "_tl_doc")
+    both = docs.join(key, docs["doc_id"] == key["_tl_doc"], "left").drop("_tl_doc")
+    fields = docs.schema
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            old = b.column("text").to_pylist()
+            new = []
+            for t, *x in zip(old, *(b.column(c).to_pylist() for c in names), strict=True):
+                if t is None or x[0] is None:
+                    new.append(t)
+                else:
+                    new.append(change(t.encode(), *x).decode("utf-8", "replace"))
+            own = {f.name: b.column(f.name) for f in fields}
+            own["text"] = pa.array(new, own["text"].type)
+            if "n_chars" in own:
+                own["n_chars"] = pa.array([c if t is n or t == n else len(n) for t, n, c in zip(old, new, own["n_chars"].to_pylist(), strict=True)], own["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
+
+    return both.mapInArrow(run, fields)

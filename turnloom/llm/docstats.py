@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from turnloom.llm.common import arrow_types, record, short_batches, text_bytes
 
@@ -73,6 +75,21 @@ def stats_table(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def with_stats(docs: DataFrame, prefix: str) -> DataFrame:
+    """All columns of ``docs`` and the statistics of its texts, their names after ``prefix``."""
+    short_batches(docs.sparkSession)
+    own = T.StructType([*(T.StructField(prefix + x, T.LongType()) for x in BASE), *(T.StructField(prefix + x, T.DoubleType()) for x in RATIOS)])
+    types = [pa.int64() for _ in BASE] + [pa.float64() for _ in RATIOS]
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                cols = zip(*map(doc_stats, text_bytes(b)), strict=True)
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*b.schema.names, *(f.name for f in own)])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema, *own]))
+
+
 def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, rows: int) -> DataFrame:
     """(doc_id, text, y): at most ``rows`` labelled documents, those whose ids hash lowest. Ids are bounded by ``rows``, so they are broadcast."""
     from pyspark.sql import functions as F

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import Scratch, arrow_types, record, short_batches, text_bytes
+from turnloom.llm.common import Scratch, arrow_types, record, rewritten, short_batches, text_bytes
 from turnloom.llm.cuckoo import CuckooFilter
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -186,3 +186,13 @@ def dropped(docs: DataFrame, index: LineIndex, extra: str = "kept string") -> Da
             yield record({"doc_id": b.column("doc_id"), "n_lines": n, "n_dropped": m, name: kept}, types)
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(index.drops(), "doc_id", "left").mapInArrow(run, schema)
+
+
+def lines_removed(docs: DataFrame, index: LineIndex) -> DataFrame:
+    """``docs`` with all its columns, the texts without the lines that ``dropped`` counts."""
+    short_batches(docs.sparkSession)
+
+    def change(text: bytes, k1: list[int], k2: list[int]) -> bytes:
+        return without_lines(text, {x.to_bytes(8, "little", signed=True) + y.to_bytes(8, "little", signed=True) for x, y in zip(k1, k2, strict=True)})[2]
+
+    return rewritten(docs, index.drops(), change)

@@ -131,3 +131,45 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnloom.llm.suffixes import without_repeats
 
     return without_repeats(documents(spark, sf_dir), "kept_sha256 string")
+
+
+@query
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnloom.llm.near import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
+ORACLE["op5_ngram_jaccard_join"] = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS ws FROM documents
+), i AS (
+  SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM t WHERE len(ws) > 0
+), s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) AS g FROM i
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+  SELECT c.a, c.b FROM c JOIN n x ON c.a = x.doc_id JOIN n y ON c.b = y.doc_id WHERE 5 * c.k >= 4 * (x.n + y.n - c.k)
+  UNION
+  SELECT x.doc_id, y.doc_id FROM t x JOIN t y ON x.text = y.text AND x.doc_id < y.doc_id
+), l AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), k AS (
+  SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a
+), d AS (
+  SELECT a AS doc_id, count(*) AS n FROM l GROUP BY a
+)
+SELECT k.doc_id, k.class_id, coalesce(d.n, 0) AS n_links FROM k LEFT JOIN d ON k.doc_id = d.doc_id
+"""
+
+
+@query
+def op4_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from turnloom.llm.packing import packed
+
+    return packed(documents(spark, sf_dir))

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.docstats import BASE, RATIOS, labelled_sample, stats_table
+from turnloom.llm.docstats import BASE, RATIOS, labelled_sample, stats_table, with_stats
 
 #: Labelled rows that the list is learned from, at most.
 SAMPLE_ROWS = 20_000
@@ -24,8 +24,8 @@ class Condition:
     above: bool
     value: float
 
-    def column(self) -> Column:
-        c = F.col(self.name)
+    def column(self, prefix: str = "") -> Column:
+        c = F.col(prefix + self.name)
         return c >= self.value if self.above else c <= self.value
 
     def holds(self, x: dict[str, np.ndarray]) -> np.ndarray:
@@ -38,12 +38,12 @@ class DecisionList:
 
     rules: tuple[tuple[Condition, ...], ...]
 
-    def kept(self) -> Column:
+    def kept(self, prefix: str = "") -> Column:
         out = F.when(F.lit(False), F.lit(False))
         for rule in self.rules:
             test = F.lit(True)
             for c in rule:
-                test = test & c.column()
+                test = test & c.column(prefix)
             out = out.when(test, F.lit(False))
         return out.otherwise(F.lit(True))
 
@@ -128,8 +128,9 @@ def fit_decision_list(docs: DataFrame, marks: DataFrame, label: str = "quality",
     return learn({k: v[order] for k, v in x.items()}, got["y"].to_numpy()[order] == 0)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(prefix: str = "") -> Column:
+    words, repeats = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
+    return (words < 50) | (100 * repeats > 50 * words)
 
 
 def judged(docs: DataFrame, rules: DecisionList) -> DataFrame:
@@ -139,3 +140,9 @@ def judged(docs: DataFrame, rules: DecisionList) -> DataFrame:
     an empty table gives an empty one; other columns are not read.
     """
     return stats_table(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.kept())
+
+
+def accepted(docs: DataFrame, rules: DecisionList) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    own = "_tl_"
+    return with_stats(docs, own).where(~base_failed(own) & rules.kept(own)).select(*docs.columns)

@@ -9,13 +9,14 @@ WIDTH - v + 1 words, meet. Places whose anchor occurs twice are then extended: t
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import arrow_types, record, short_batches, text_bytes, window_hash
+from turnloom.llm.common import arrow_types, record, rewritten, short_batches, text_bytes, window_hash
 from turnloom.llm.repeats import ANCHORS, WINDOWS, by_document, covered, later_windows, local_anchors, local_windows, repeated_places
 
 WIDTH = 20
@@ -135,3 +136,18 @@ def without_repeats(docs: DataFrame, extra: str = "kept string", width: int = WI
             yield record({"doc_id": b.column("doc_id"), "n_words": n, "n_removed": m, name: kept}, types)
 
     return docs.join(gone, "doc_id", "left").mapInArrow(run, schema)
+
+
+_PIECE = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+
+
+def repeats_removed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``docs`` with all its columns, the texts without repeated windows' words; white space between words that stay stays."""
+    gone = by_document(gone_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width))
+
+    def change(text: bytes, at: list[int], count: list[int]) -> bytes:
+        pieces = _PIECE.findall(text)
+        mask = covered(len(pieces), at, count, width)
+        return text[: len(text) - sum(map(len, pieces))] + b"".join([p for p, x in zip(pieces, mask.tolist(), strict=True) if not x])
+
+    return rewritten(docs, gone, change)
