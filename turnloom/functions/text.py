@@ -82,4 +82,4 @@ def preset_pitch(preset: Column) -> Column:
 
 
 def _code_point(x: Column) -> Column:
-    return F.conv(F.hex(F.encode(x, "UTF-32BE")), 16, 10).cast("long")
+    return F.conv(F.hex(F.encode(x, "UTF-32")), 16, 10).cast("long")

@@ -127,12 +127,12 @@ TOKENS_SQL = "t AS (SELECT clip_id, ord, text, start_s, dur_s, end_s, list_filte
     "align_proportional",
     f"""WITH {U_SQL}, {TOKENS_SQL}, x AS (SELECT clip_id, ord, dur_s, len(w) AS n, list_sum(list_transform(w, lambda x: length(x)))::DOUBLE AS total, unnest(w) AS word, unnest(range(0, len(w)))::INT AS pos FROM t WHERE len(w) > 0),
 c AS (SELECT *, sum(length(word)) OVER (PARTITION BY clip_id, ord ORDER BY pos) AS upto FROM x)
-SELECT clip_id, ord, pos, word, round(dur_s * (upto - length(word)) / total, 8) AS start_s, round(CASE WHEN pos = n - 1 THEN dur_s ELSE dur_s * upto / total END, 8) AS end_s FROM c""",
+SELECT clip_id, ord, pos, word, round(dur_s * (upto - length(word)) / total + 1e-9, 6) AS start_s, round(CASE WHEN pos = n - 1 THEN dur_s ELSE dur_s * upto / total END + 1e-9, 6) AS end_s FROM c""",
 )
 def align_proportional(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = utterances(spark, sf_dir).where("text <> ''")
     rows = u.select("clip_id", "ord", F.posexplode(align.proportional(F.col("text"), F.col("dur_s"))).alias("pos", "x"))
-    return rows.select("clip_id", "ord", "pos", F.col("x.text").alias("word"), F.round("x.start_s", 8).alias("start_s"), F.round("x.end_s", 8).alias("end_s"))
+    return rows.select("clip_id", "ord", "pos", F.col("x.text").alias("word"), F.round(F.col("x.start_s") + 1e-9, 6).alias("start_s"), F.round(F.col("x.end_s") + 1e-9, 6).alias("end_s"))
 
 
 @query(
