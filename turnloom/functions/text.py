@@ -37,7 +37,10 @@ def clean_markup(c: Column) -> Column:
 
 
 def float_text(c: Column) -> Column:
-    """The shortest text of a double that reads back the same, in positional form from 1e-4 up to 1e16."""
+    """The shortest text of a double that reads back the same, in positional form from 1e-4 up to 1e16.
+
+    Digits are the JVM's: before Java 19 some values beyond 1e15, where no time lies, have one more than they need.
+    """
     s = c.cast("string")
     sign = F.when(s.startswith("-"), "-").otherwise("")
     mantissa = F.regexp_extract(s, r"^-?([\d.]+)E", 1)
