@@ -1,8 +1,8 @@
 """BPE encoding over a table of distinct words, and decoding through an id-to-piece table.
 
-A word here is a run between white space, which no pre-token of the tokenizer crosses. Every distinct word is encoded once, in a
-table of words with their ids. The most frequent words, a bounded number of bounded length, are given to all tasks; the rest of
-each document's words are joined with the table, and the ids put back by position.
+A word here is a run between white space, which no pre-token of the tokenizer crosses. Every distinct word is encoded once. The table
+of words has two parts: the most frequent ones, a bounded number of bounded length, whose ids are given to all tasks; and all others,
+which meet by word with the places that want them. Their ids are joined back by document and position.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +24,14 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import Scratch, arrow_types, record, short_batches
 
 #: Words given to all tasks, and the bytes that one of them may have.
-HOT_WORDS, HOT_BYTES = 1 << 18, 32
+HOT_WORDS, HOT_BYTES = 1 << 19, 32
 #: Distinct words that a task holds before it passes its counts on.
-HELD_WORDS = 200_000
+HELD_WORDS = 1_000_000
+#: Places of words that a task holds before it passes them on.
+HELD_PLACES = 500_000
 #: White space of str.split() that the tokenizer's pattern takes for symbols.
 _ODD = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[\\t-\\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def split_words(text: str) -> list[str]:
@@ -54,11 +57,14 @@ class Bpe:
     """A tokenizer file's content. It goes to the tasks as it is; its size is that of the vocabulary."""
 
     model: str
+    #: Integers that hold any id.
+    kind: str = "<u4"
 
     @classmethod
     def load(cls, path: str) -> Bpe:
         with open(path, encoding="utf-8") as f:
-            return cls(f.read())
+            model = f.read()
+        return cls(model, "<u2" if max(_tokenizer(model).get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else "<u4")
 
     def pieces(self) -> list[str]:
         """The piece of each id; ids without one have an empty piece."""
@@ -67,12 +73,13 @@ class Bpe:
         return [names.get(i, "") for i in range(max(names, default=-1) + 1)]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): the distinct words of ``docs`` (text), counted within tasks before they meet."""
+def frequent_words(docs: DataFrame, least: int = 2) -> DataFrame:
+    """(word, n): words that some task met ``least`` times, by how often such tasks met them. It only tells which words to give to all tasks."""
     types = arrow_types("word string, n long")
 
     def flushed(seen: Counter):
-        return record({"word": list(seen), "n": list(seen.values())}, types)
+        words = sorted(w for w, n in seen.items() if n >= least and len(w.encode()) <= HOT_BYTES)
+        return record({"word": words, "n": [seen[w] for w in words]}, types)
 
     def run(batches):
         seen: Counter = Counter()
@@ -89,17 +96,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encoded_words(counts: DataFrame, bpe: Bpe) -> DataFrame:
-    """(word, n, ids): each distinct word encoded once; ids as little-endian 32-bit integers."""
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` words, those above a count; the counts' histogram has few rows, whatever the words are."""
+    seen, floor = 0, None
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        seen += r["count"]
+        if seen > most:
+            break
+        floor = r["n"]
+    return counts.where(F.col("n") >= floor) if floor is not None else counts.where("false")
+
+
+def encoded_words(words: DataFrame, bpe: Bpe) -> DataFrame:
+    """(word, n, ids) of distinct words, each encoded once; ids as little-endian integers of the vocabulary's width."""
     types = arrow_types("word string, n long, ids binary")
 
     def run(batches):
         t = _tokenizer(bpe.model)
         for b in batches:
-            got = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(b.column("word").to_pylist(), add_special_tokens=False)]
+            got = [np.array(e.ids, bpe.kind).tobytes() for e in t.encode_batch(b.column("word").to_pylist(), add_special_tokens=False)]
             yield record({"word": b.column("word"), "n": b.column("n"), "ids": got}, types)
 
-    return counts.mapInArrow(run, "word string, n long, ids binary")
+    return words.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
 
 
 _loaded: dict[int, tuple] = {}
@@ -114,6 +132,15 @@ def _hot(key) -> tuple[dict[str, int], list[bytes]]:
     return _loaded[key.id]
 
 
+#: A place that wants a word: document, its text's mark, and the word's number among those the document asks for.
+PLACE = np.dtype([("doc", "<i8"), ("mark", "<i4"), ("k", "<i4")])
+
+
+def _mark(doc_id: int | None, text: str) -> int:
+    """Tells apart different texts of one id."""
+    return xxhash.xxh32_intdigest(text.encode(), 0 if doc_id is None else 1) - (1 << 31)
+
+
 class _Shared:
     """A broadcast with a name of its own."""
 
@@ -147,7 +174,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def encode(docs: DataFrame, bpe: Bpe, finish, schema: str, hot_words: int = HOT_WORDS) -> DataFrame:
-    """doc_id and the columns that ``finish(ids)`` gives for the ids (uint32 array) of each whole text, by ``schema``.
+    """doc_id and the columns that ``finish(ids)`` gives for the ids (an array of unsigned integers) of each whole text, by ``schema``.
 
     Null and empty texts have no ids. Null ids of documents stay null; repeated rows give one row each; an empty table gives an empty
     one; other columns are not read.
@@ -156,8 +183,8 @@ def encode(docs: DataFrame, bpe: Bpe, finish, schema: str, hot_words: int = HOT_
     short_batches(spark)
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = scratch.keep(encoded_words(word_counts(docs), bpe))
-    top = table.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids").toArrow()
+    top = encoded_words(most_frequent(scratch.keep(frequent_words(docs)), hot_words), bpe).toArrow()
+    top = top.take(np.lexsort((top.column("word").to_numpy(), -top.column("n").to_numpy()))).select(["word", "ids"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, top.schema) as w:
         w.write_table(top)
@@ -165,34 +192,61 @@ def encode(docs: DataFrame, bpe: Bpe, finish, schema: str, hot_words: int = HOT_
     n_hot = top.num_rows
     del top, sink
 
-    rare = arrow_types("doc_id long, mark binary, k int, word string")
+    wanted = arrow_types("word string, places binary")
 
     def rest(batches):
         ranks, _ = _hot(shared)
+        held: dict[str, list[tuple[int, int, int]]] = {}
+        size = 0
+
+        def flushed():
+            words = sorted(held)
+            return record({"word": words, "places": [np.array(held[w], PLACE).tobytes() for w in words]}, wanted)
+
         for b in batches:
-            ids, marks, ks, words = [], [], [], []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if t and (cold := _places(t, ranks, n_hot)[1]):
-                    ids += [d] * len(cold)
-                    marks += [hashlib.md5(t.encode(), usedforsecurity=False).digest()] * len(cold)
-                    ks += range(len(cold))
-                    words += cold
-            if ids:
-                yield record({"doc_id": ids, "mark": marks, "k": ks, "word": words}, rare)
-
-    found = docs.mapInArrow(rest, "doc_id long, mark binary, k int, word string").join(table.select("word", "ids"), "word")
-    found = found.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("k", "ids")).alias("found"))
-
-    part = arrow_types("doc_id long, mark binary, packed binary")
+                    m = _mark(d, t)
+                    for k, w in enumerate(cold):
+                        held.setdefault(w, []).append((d or 0, m, k))
+                    size += len(cold)
+            if size > HELD_PLACES:
+                yield flushed()
+                held, size = {}, 0
+        if held:
+            yield flushed()
+
+    got = arrow_types("key long, mark int, answer binary")
+
+    def answered(batches):
+        t = _tokenizer(bpe.model)
+        last: tuple[str, bytes] | None = None  # the word before this batch, with its ids
+        for b in batches:
+            words, places = b.column("word").to_pylist(), b.column("places").to_pylist()
+            new = [w for w in dict.fromkeys(words) if last is None or w != last[0]]
+            ids = {w: np.array(e.ids, bpe.kind).tobytes() for w, e in zip(new, t.encode_batch(new, add_special_tokens=False), strict=True)}
+            if last is not None:
+                ids[last[0]] = last[1]
+            at = np.frombuffer(b"".join(places), PLACE)
+            sizes = [len(p) // PLACE.itemsize for p in places]
+            each = [ids[w] for w, n in zip(words, sizes, strict=True) for _ in range(n)]
+            yield record({"key": pa.array(at["doc"]), "mark": pa.array(at["mark"]), "answer": [k.to_bytes(4, "little") + x for k, x in zip(at["k"].tolist(), each, strict=True)]}, got)
+            if words:
+                last = (words[-1], ids[words[-1]])
+
+    found = docs.mapInArrow(rest, "word string, places binary").repartition("word").sortWithinPartitions("word").mapInArrow(answered, "key long, mark int, answer binary")
+    found = found.groupBy("key", "mark").agg(F.collect_set("answer").alias("found"))
+
+    part = arrow_types("doc_id long, key long, mark int, packed binary")
 
     def packed(batches):
         ranks, _ = _hot(shared)
         for b in batches:
             if b.num_rows:
-                texts = [t or "" for t in b.column("text").to_pylist()]
-                yield record({"doc_id": b.column("doc_id"), "mark": [hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in texts], "packed": [_pack(_places(t, ranks, n_hot)[0]) for t in texts]}, part)
+                ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
+                yield record({"doc_id": ids, "key": [d or 0 for d in ids], "mark": [_mark(d, t) for d, t in zip(ids, texts, strict=True)], "packed": [_pack(_places(t, ranks, n_hot)[0]) for t in texts]}, part)
 
-    both = docs.mapInArrow(packed, "doc_id long, mark binary, packed binary").alias("p").join(found.alias("f"), F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("p.mark") == F.col("f.mark")), "left").select("p.doc_id", "packed", "found")
+    both = docs.mapInArrow(packed, "doc_id long, key long, mark int, packed binary").join(found, ["key", "mark"], "left").select("doc_id", "packed", "found")
     out = arrow_types(f"doc_id long, {schema}")
 
     def joined(batches):
@@ -203,11 +257,11 @@ def encode(docs: DataFrame, bpe: Bpe, finish, schema: str, hot_words: int = HOT_
             for p, f in zip(b.column("packed").to_pylist(), b.column("found").to_pylist(), strict=True):
                 at = _unpack(p).tolist()
                 if f:
-                    own = {n_hot + x["k"]: x["ids"] for x in f}
+                    own = {n_hot + int.from_bytes(x[:4], "little"): x[4:] for x in f}
                     ids = b"".join([hot_ids[r] if r < n_hot else own[r] for r in at])
                 else:
                     ids = b"".join([hot_ids[r] for r in at])
-                rows.append(finish(np.frombuffer(ids, "<u4")))
+                rows.append(finish(np.frombuffer(ids, bpe.kind)))
             if rows:
                 yield record({"doc_id": b.column("doc_id")} | dict(zip(names, zip(*rows, strict=True), strict=True)), out)
 
