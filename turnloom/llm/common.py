@@ -19,6 +19,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def only_texts(docs: DataFrame) -> DataFrame:
+    """doc_id (long) and text. Without a needless cast, two uses of it in one plan are alike and share an exchange."""
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id" if kind == "bigint" else F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 

@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import arrow_types, mix, record
+from turnloom.llm.common import arrow_types, mix, record, text_bytes
 
 #: Rows that a task holds before it settles them.
 HELD_ROWS = 1_500_000
@@ -21,7 +22,7 @@ HELD_ROWS = 1_500_000
 ANCHORS = "h long, doc_id long, at int, sure boolean"
 PLACES = "doc_id long, at int"
 #: ``n`` windows from ``at`` on that are gone, or one window that waits to be compared.
-WINDOWS = "h long, g long, doc_id long, at int, n int, gone boolean"
+WINDOWS = "h long, g int, doc_id long, at int, n int, gone boolean"
 RANGES = "doc_id long, at int, n int"
 
 
@@ -34,6 +35,21 @@ def _spread(d: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(d.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)).view(np.int64)
 
 
+def merged(d: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges sorted by document and place, those that follow one another joined."""
+    order = np.lexsort((at, d))
+    d, at, n = d[order], at[order].astype(np.int64), n[order].astype(np.int64)
+    new = np.concatenate([[True], (d[1:] != d[:-1]) | (at[1:] != at[:-1] + n[:-1])]) if len(d) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    return d[first], at[first].astype(np.int32), (np.add.reduceat(n, first) if len(first) else n).astype(np.int32)
+
+
+def settled_windows(d: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """WINDOWS of ranges that are gone, keyed by document, so that a document's ranges meet and are joined further."""
+    d, at, n = merged(d, at, n)
+    return record({"h": _column(_spread(d, np.zeros(len(d), np.int32)), pa.int64()), "g": _column(np.zeros(len(d), np.int32), pa.int32()), "doc_id": _column(d, pa.int64()), "at": _column(at, pa.int32()), "n": _column(n, pa.int32()), "gone": pa.array(np.ones(len(d), bool))}, arrow_types(WINDOWS))
+
+
 def local_anchors(rows: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """ANCHORS from (doc_id, hashes, places): of each key seen twice here all places are sure, and one row of place -1 tells the others."""
     types = arrow_types(ANCHORS)
@@ -42,10 +58,14 @@ def local_anchors(rows: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterato
         h, at = np.concatenate(hs).view(np.int64), np.concatenate(ats).astype(np.int32)
         d = np.repeat(np.array(docs, np.int64), sizes)
         order = np.argsort(h, kind="stable")
-        h, at, d = h[order], at[order], d[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        single = new & np.concatenate([new[1:], [True]])
-        told, sure = new & ~single, ~single
+        key = h[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        single, told = np.empty(len(h), bool), np.empty(len(h), bool)
+        single[order] = new & np.concatenate([new[1:], [True]])
+        told[order] = new
+        told &= ~single
+        sure = ~single
+        # rows stay in the order of documents and places, which packs better than that of hashes
         h = np.concatenate([h[single], h[told], _spread(d[sure], at[sure])])
         sures = np.zeros(len(h), bool)
         sures[len(h) - sure.sum() :] = True
@@ -96,7 +116,7 @@ def local_windows(rows: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
     types = arrow_types(WINDOWS)
 
     def settled(docs, sizes, hs, gs, ats):
-        h, g, at = np.concatenate(hs).view(np.int64), np.concatenate(gs).view(np.int64), np.concatenate(ats)
+        h, g, at = np.concatenate(hs).view(np.int64), (np.concatenate(gs) >> np.uint64(32)).astype(np.uint32).view(np.int32), np.concatenate(ats)
         d = np.repeat(np.array(docs, np.int64), sizes)
         order = np.lexsort((at, d, g, h))
         h, g, at, d = h[order], g[order], at[order], d[order]
@@ -104,9 +124,10 @@ def local_windows(rows: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
         start = np.flatnonzero(new)
         size = np.diff([*start, len(h)])
         gone = (d != np.repeat(d[start], size)) | (at != np.repeat(at[start], size))
-        keep = new | gone  # repeated rows of one document stand for each other
-        h[gone], g[gone] = _spread(d[gone], at[gone]), 0
-        return record({"h": _column(h[keep], pa.int64()), "g": _column(g[keep], pa.int64()), "doc_id": _column(d[keep], pa.int64()), "at": _column(at[keep].astype(np.int32), pa.int32()), "n": pa.array(np.ones(keep.sum(), np.int32)), "gone": pa.array(gone[keep])}, types)
+        # repeated rows of one document stand for each other
+        yield record({"h": _column(h[new], pa.int64()), "g": _column(g[new], pa.int32()), "doc_id": _column(d[new], pa.int64()), "at": _column(at[new].astype(np.int32), pa.int32()), "n": pa.array(np.ones(new.sum(), np.int32)), "gone": pa.array(np.zeros(new.sum(), bool))}, types)
+        if gone.any():
+            yield settled_windows(d[gone], at[gone], np.ones(gone.sum(), np.int32))
 
     docs, sizes, hs, gs, ats, held = [], [], [], [], [], 0
     for d, h, g, at in rows:
@@ -117,10 +138,10 @@ def local_windows(rows: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
         ats.append(at)
         held += len(h)
         if held >= HELD_ROWS:
-            yield settled(docs, sizes, hs, gs, ats)
+            yield from settled(docs, sizes, hs, gs, ats)
             docs, sizes, hs, gs, ats, held = [], [], [], [], [], 0
     if held:
-        yield settled(docs, sizes, hs, gs, ats)
+        yield from settled(docs, sizes, hs, gs, ats)
 
 
 def later_windows(windows: DataFrame) -> DataFrame:
@@ -145,22 +166,51 @@ def later_windows(windows: DataFrame) -> DataFrame:
                 first = (h[k], g[k], d[k], at[k])
             out = gone | (d != fd) | (at != fa)
             if out.any():
-                yield record({"doc_id": _column(d[out], pa.int64()), "at": _column(at[out], pa.int32()), "n": _column(length[out], pa.int32())}, types)
+                yield record(dict(zip(types, map(pa.array, merged(d[out], at[out], length[out])), strict=True)), types)
 
     return windows.repartition("h", "g").sortWithinPartitions("h", "g", "doc_id", "at").mapInArrow(run, RANGES)
 
 
 def by_document(places: DataFrame) -> DataFrame:
-    """(doc_id, _tl_at, and _tl_n where there are ranges): each document's places; they are bounded by its length."""
-    lists = [F.collect_list(F.struct(*[c for c in ("at", "n") if c in places.columns])).alias("x")]
-    out = places.groupBy("doc_id").agg(*lists)
-    return out.select("doc_id", *[F.col(f"x.{c}").alias(f"_tl_{c}") for c in ("at", "n") if c in places.columns])
+    """(doc_id, _tl_at): each document's places, or its ranges in one number each (see ``covered``); they are bounded by its length."""
+    one = F.col("at").cast("long") + F.shiftleft(F.col("n").cast("long"), 32) if "n" in places.columns else F.col("at")
+    return places.groupBy("doc_id").agg(F.collect_list(one).alias("_tl_at"))
 
 
-def covered(size: int, starts: list[int], counts: list[int], width: int) -> np.ndarray:
-    """Which of ``size`` units lie in one of the windows of ``width``: ``counts`` of them from each of the starts."""
-    starts = np.array(starts, np.int64)
+def covered(size: int, ranges: list[int], width: int) -> np.ndarray:
+    """Which of ``size`` units lie in one of the windows of ``width``; a range is its first window, and in the upper half how many there are."""
+    ranges = np.array(ranges, np.int64)
+    starts = ranges & 0xFFFFFFFF
     edge = np.zeros(size + 1, np.int64)
     np.add.at(edge, np.minimum(starts, size), 1)
-    np.add.at(edge, np.minimum(starts + np.array(counts, np.int64) - 1 + width, size), -1)
+    np.add.at(edge, np.minimum(starts + (ranges >> 32) - 1 + width, size), -1)
     return np.cumsum(edge[:size]) > 0
+
+
+def packed_texts(docs: DataFrame, named: bool = True) -> DataFrame:
+    """(doc_id, text), with ids where ``named``, texts compressed: they go through an exchange whole.
+
+    The last filter drops nothing; an inner join adds it to its side, and with it here both joins' sides are alike and share the exchange.
+    """
+    types = arrow_types("doc_id long, text binary")
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(3)
+        for b in batches:
+            yield record({"doc_id": b.column("doc_id"), "text": [pack.compress(t) for t in text_bytes(b)]}, types)
+
+    out = docs.mapInArrow(run, "doc_id long, text binary")
+    return out.where("doc_id is not null") if named else out
+
+
+def unpacked(b: pa.RecordBatch) -> list[bytes]:
+    return list(map(zstandard.decompress, b.column("text").to_pylist()))
+
+
+def with_gone(known: DataFrame, other: DataFrame, gone: DataFrame) -> DataFrame:
+    """(doc_id, text) of ``known`` with each document's ranges, and of ``other`` (rows without an id) with none.
+
+    Joined as ``gone_windows`` joins them, ``known`` texts are dealt out once for both.
+    """
+    none = F.lit(None).cast("array<long>").alias("_tl_at")
+    return known.join(by_document(gone), "doc_id", "left").select("doc_id", "text", "_tl_at").unionByName(other.select("doc_id", "text", none))

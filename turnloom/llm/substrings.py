@@ -3,7 +3,7 @@
 Residues D modulo a period v are a difference cover if every difference modulo v is one of two of them. Of any two equal windows of
 WIDTH words some place t < v lies on a residue of D in both documents, so the short windows hashed at such places alone, of
 WIDTH - v + 1 words, meet. Places whose anchor occurs twice are then extended: the full windows around them are compared by
-128-bit hashes, and all but the earliest of equal ones are removed.
+96-bit hashes, and all but the earliest of equal ones are removed.
 """
 
 from __future__ import annotations
@@ -14,10 +14,9 @@ import re
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from turnloom.llm.common import arrow_types, record, rewritten, short_batches, text_bytes, window_hash
-from turnloom.llm.repeats import ANCHORS, WINDOWS, by_document, covered, later_windows, local_anchors, local_windows, repeated_places
+from turnloom.llm.common import arrow_types, only_texts, record, rewritten, short_batches, text_bytes, window_hash
+from turnloom.llm.repeats import ANCHORS, WINDOWS, by_document, covered, later_windows, local_anchors, local_windows, packed_texts, repeated_places, unpacked, with_gone
 
 WIDTH = 20
 #: A perfect difference cover: fixed values of the period-13 set.
@@ -71,12 +70,11 @@ def extended(places: np.ndarray, n: int, width: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
 
 
-def gone_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, at, n): starts of the windows of ``width`` words whose sequence also starts earlier. ``docs`` has doc_id (long) and text."""
+def gone_windows(docs: DataFrame, packed: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, at, n): starts of the windows of ``width`` words whose sequence also starts earlier. ``docs`` has doc_id (long, not null) and text, ``packed`` the same packed."""
     if width < PERIOD:
         raise ValueError(f"windows need at least {PERIOD} words")
     short_batches(docs.sparkSession)
-    known = docs.where("doc_id is not null")
 
     def first(batches):
         words = WordHashes()
@@ -95,7 +93,7 @@ def gone_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
         def rows():
             for b in batches:
-                for d, t, at in zip(b.column("doc_id").to_pylist(), text_bytes(b), b.column("_tl_at").to_pylist(), strict=True):
+                for d, t, at in zip(b.column("doc_id").to_pylist(), unpacked(b), b.column("_tl_at").to_pylist(), strict=True):
                     h, g = words.of(t.split())
                     if len(h) >= width:
                         starts = extended(np.array(at), len(h), width)
@@ -103,8 +101,8 @@ def gone_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
         yield from local_windows(rows())
 
-    places = by_document(repeated_places(known.mapInArrow(first, ANCHORS)))
-    return later_windows(known.join(places, "doc_id").mapInArrow(second, WINDOWS))
+    places = by_document(repeated_places(docs.mapInArrow(first, ANCHORS)))
+    return later_windows(packed.join(places, "doc_id").mapInArrow(second, WINDOWS))
 
 
 def without_repeats(docs: DataFrame, extra: str = "kept string", width: int = WIDTH) -> DataFrame:
@@ -113,8 +111,11 @@ def without_repeats(docs: DataFrame, extra: str = "kept string", width: int = WI
     Null and empty texts have no words. Rows without an id lose nothing. doc_id names a text: repeated rows of one stand for one
     document and lose the same words. Other columns are not read; an empty table gives an empty one.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = by_document(gone_windows(docs, width))
+    docs = only_texts(docs)
+    short_batches(docs.sparkSession)
+    known, other = docs.where("doc_id is not null"), packed_texts(docs.where("doc_id is null"), False)
+    packed = packed_texts(known)
+    gone = gone_windows(known, packed, width)
     name = extra.split()[0]
     schema = f"doc_id long, n_words long, n_removed long, {extra}"
     types = arrow_types(schema)
@@ -124,18 +125,18 @@ def without_repeats(docs: DataFrame, extra: str = "kept string", width: int = WI
             if not b.num_rows:
                 continue
             out = []
-            for t, at, count in zip(text_bytes(b), b.column("_tl_at").to_pylist(), b.column("_tl_n").to_pylist(), strict=True):
+            for t, at in zip(unpacked(b), b.column("_tl_at").to_pylist(), strict=True):
                 words = t.split()
                 n = len(words)
                 if at:
-                    mask = covered(n, at, count, width)
+                    mask = covered(n, at, width)
                     words = [w for w, x in zip(words, mask.tolist(), strict=True) if not x]
                 kept = b" ".join(words)
                 out.append((n, n - len(words), hashlib.sha256(kept).hexdigest() if name == "kept_sha256" else kept.decode("utf-8", "replace")))
             n, m, kept = zip(*out, strict=True)
             yield record({"doc_id": b.column("doc_id"), "n_words": n, "n_removed": m, name: kept}, types)
 
-    return docs.join(gone, "doc_id", "left").mapInArrow(run, schema)
+    return with_gone(packed, other, gone).mapInArrow(run, schema)
 
 
 _PIECE = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -143,11 +144,13 @@ _PIECE = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 def repeats_removed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with all its columns, the texts without repeated windows' words; white space between words that stay stays."""
-    gone = by_document(gone_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width))
+    short_batches(docs.sparkSession)
+    known = only_texts(docs).where("doc_id is not null")
+    gone = by_document(gone_windows(known, packed_texts(known), width))
 
-    def change(text: bytes, at: list[int], count: list[int]) -> bytes:
+    def change(text: bytes, at: list[int]) -> bytes:
         pieces = _PIECE.findall(text)
-        mask = covered(len(pieces), at, count, width)
+        mask = covered(len(pieces), at, width)
         return text[: len(text) - sum(map(len, pieces))] + b"".join([p for p, x in zip(pieces, mask.tolist(), strict=True) if not x])
 
     return rewritten(docs, gone, change)

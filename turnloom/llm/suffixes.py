@@ -17,10 +17,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from turnloom.llm.common import arrow_types, record, short_batches, text_bytes
-from turnloom.llm.repeats import ANCHORS, WINDOWS, _spread, by_document, covered, later_windows, local_anchors, repeated_places
+from turnloom.llm.common import arrow_types, only_texts, record, short_batches, text_bytes
+from turnloom.llm.repeats import ANCHORS, WINDOWS, _spread, by_document, covered, later_windows, local_anchors, merged, packed_texts, repeated_places, settled_windows, unpacked, with_gone
 
 WIDTH = 100
 #: Bytes of a minimizer's short window.
@@ -183,10 +182,9 @@ def _held_runs(rows, width: int):
         start = np.flatnonzero(new)
         size = np.diff([*start, len(h)])
         gone = (d != np.repeat(d[start], size)) | (at != np.repeat(at[start], size))
-        keep = new | gone
-        h[gone] = _spread(d[gone], at[gone])
-        run = [None if x else run[i] for i, x in zip(order[keep].tolist(), gone[keep].tolist(), strict=True)]
-        return record({"h": pa.array(h[keep]), "doc_id": pa.array(d[keep]), "at": pa.array(at[keep]), "n": pa.array(n[keep]), "run": run}, types)
+        gd, ga, gn = merged(d[gone], at[gone], n[gone])
+        run = [run[i] for i in order[new].tolist()] + [None] * len(gd)
+        yield record({"h": pa.array(np.concatenate([h[new], _spread(gd, np.zeros(len(gd), np.int32))])), "doc_id": pa.array(np.concatenate([d[new], gd])), "at": pa.array(np.concatenate([at[new], ga])), "n": pa.array(np.concatenate([n[new], gn])), "run": run}, types)
 
     held, size = [], 0
     for d, data, (h, _, first, count) in rows:
@@ -196,10 +194,10 @@ def _held_runs(rows, width: int):
             held.append((x, g & 0xFFFFFFFFFFFFFFFF, g >> 64, d, f, c, run))
             size += len(run) + 100
         if size >= HELD_BYTES:
-            yield settled(held)
+            yield from settled(held)
             held, size = [], 0
     if held:
-        yield settled(held)
+        yield from settled(held)
 
 
 def _sorted_runs(block: list[list[tuple]], width: int):
@@ -236,8 +234,7 @@ def _met_runs(width: int, large: int):
     types = arrow_types(WINDOWS)
 
     def out(d, at, n):
-        d, at = np.asarray(d, np.int64), np.asarray(at, np.int32)
-        return record({"h": pa.array(_spread(d, at)), "g": pa.array(np.zeros(len(d), np.int64)), "doc_id": pa.array(d), "at": pa.array(at), "n": pa.array(np.asarray(n, np.int32)), "gone": pa.array(np.ones(len(d), bool))}, types)
+        return settled_windows(np.asarray(d, np.int64), np.asarray(at, np.int32), np.asarray(n, np.int32))
 
     def exploded(rows):
         for i in range(0, len(rows), 500):
@@ -249,7 +246,7 @@ def _met_runs(width: int, large: int):
                     g.append(x >> 64)
                     d.append(doc)
                     a.append(at + k)
-            yield record({"h": pa.array(np.array(h, np.uint64).view(np.int64)), "g": pa.array(np.array(g, np.uint64).view(np.int64)), "doc_id": pa.array(d, pa.int64()), "at": pa.array(a, pa.int32()), "n": pa.array(np.ones(len(d), np.int32)), "gone": pa.array(np.zeros(len(d), bool))}, types)
+            yield record({"h": pa.array(np.array(h, np.uint64).view(np.int64)), "g": pa.array((np.array(g, np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)), "doc_id": pa.array(d, pa.int64()), "at": pa.array(a, pa.int32()), "n": pa.array(np.ones(len(d), np.int32)), "gone": pa.array(np.zeros(len(d), bool))}, types)
 
     def run(batches):
         key, group, texts, over = None, [], {}, False
@@ -301,13 +298,10 @@ def _met_runs(width: int, large: int):
     return run
 
 
-def gone_windows(docs: DataFrame, width: int = WIDTH, large: int = LARGE) -> DataFrame:
-    """(doc_id, at, n): ranges of window starts whose ``width`` bytes also start earlier. ``docs`` has doc_id (long) and text."""
+def gone_windows(docs: DataFrame, packed: DataFrame, width: int = WIDTH, large: int = LARGE) -> DataFrame:
+    """(doc_id, at, n): ranges of window starts whose ``width`` bytes also start earlier. ``docs`` has doc_id (long, not null) and text, ``packed`` the same packed."""
     if width < 2 * SHORT:
         raise ValueError(f"windows need at least {2 * SHORT} bytes")
-    short_batches(docs.sparkSession)
-    known = docs.where("doc_id is not null")
-
     def first(batches):
         def rows():
             for b in batches:
@@ -322,7 +316,7 @@ def gone_windows(docs: DataFrame, width: int = WIDTH, large: int = LARGE) -> Dat
     def second(batches):
         def rows():
             for b in batches:
-                for d, t, at in zip(b.column("doc_id").to_pylist(), text_bytes(b), b.column("_tl_at").to_pylist(), strict=True):
+                for d, t, at in zip(b.column("doc_id").to_pylist(), unpacked(b), b.column("_tl_at").to_pylist(), strict=True):
                     if len(t) >= width:
                         got = runs(t, width)
                         keep = np.isin(got[1], np.array(at))
@@ -330,8 +324,9 @@ def gone_windows(docs: DataFrame, width: int = WIDTH, large: int = LARGE) -> Dat
 
         yield from _held_runs(rows(), width)
 
-    places = by_document(repeated_places(known.mapInArrow(first, ANCHORS)))
-    met = known.join(places, "doc_id").mapInArrow(second, RUNS).repartition("h").sortWithinPartitions("h", "doc_id", "at").mapInArrow(_met_runs(width, large), WINDOWS)
+    short_batches(docs.sparkSession)
+    places = by_document(repeated_places(docs.mapInArrow(first, ANCHORS)))
+    met = packed.join(places, "doc_id").mapInArrow(second, RUNS).repartition("h").sortWithinPartitions("h", "doc_id", "at").mapInArrow(_met_runs(width, large), WINDOWS)
     return later_windows(met)
 
 
@@ -342,8 +337,11 @@ def without_repeats(docs: DataFrame, extra: str = "kept binary", width: int = WI
     id lose nothing. doc_id names a text: repeated rows of one stand for one document and lose the same bytes. Other columns are not
     read; an empty table gives an empty one.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = by_document(gone_windows(docs, width, large))
+    docs = only_texts(docs)
+    short_batches(docs.sparkSession)
+    known, other = docs.where("doc_id is not null"), packed_texts(docs.where("doc_id is null"), False)
+    packed = packed_texts(known)
+    gone = gone_windows(known, packed, width, large)
     name = extra.split()[0]
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, {extra}"
     types = arrow_types(schema)
@@ -353,10 +351,10 @@ def without_repeats(docs: DataFrame, extra: str = "kept binary", width: int = WI
             if not b.num_rows:
                 continue
             out = []
-            for t, at, count in zip(text_bytes(b), b.column("_tl_at").to_pylist(), b.column("_tl_n").to_pylist(), strict=True):
+            for t, at in zip(unpacked(b), b.column("_tl_at").to_pylist(), strict=True):
                 removed, spans, kept = 0, 0, t
                 if at:
-                    mask = covered(len(t), at, count, width)
+                    mask = covered(len(t), at, width)
                     removed = int(mask.sum())
                     spans = int((mask & ~np.concatenate([[False], mask[:-1]])).sum())
                     kept = np.frombuffer(t, np.uint8)[~mask].tobytes()
@@ -364,4 +362,4 @@ def without_repeats(docs: DataFrame, extra: str = "kept binary", width: int = WI
             n, m, s, kept = zip(*out, strict=True)
             yield record({"doc_id": b.column("doc_id"), "n_bytes": n, "n_removed": m, "n_spans": s, name: kept}, types)
 
-    return docs.join(gone, "doc_id", "left").mapInArrow(run, schema)
+    return with_gone(packed, other, gone).mapInArrow(run, schema)
