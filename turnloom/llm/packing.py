@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.llm.common import Scratch
+
 BUCKETS, TOKEN_BUDGET, ALIGN = 12, 16_384, 8
 #: Documents numbered together; buckets are dealt into parts of about so many.
 PART = 4_096
@@ -73,7 +75,8 @@ def packed(docs: DataFrame, tokens: Column | None = None, buckets: int = BUCKETS
     empty one; other columns are not read.
     """
     n = word_tokens() if tokens is None else tokens
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.cast("long").alias("n_tokens")).withColumn("length", (F.ceil(F.col("n_tokens") / align) * align).cast("long"))
+    # texts are measured once; everything after works on two numbers a row
+    rows = Scratch(docs.sparkSession).keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.cast("long").alias("n_tokens"))).withColumn("length", (F.ceil(F.col("n_tokens") / align) * align).cast("long"))
     hist = rows.groupBy("length").count().toPandas().sort_values("length")
     bounds = bucket_bounds(hist["length"].to_numpy(np.int64), hist["count"].to_numpy(np.int64), buckets) or [align]
     parts = max(1, int(hist["count"].sum()) // PART)
