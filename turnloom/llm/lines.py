@@ -137,7 +137,9 @@ class LineIndex:
     def drops(self) -> DataFrame:
         """(doc_id, keys): the repeated keys that each document loses, all but its first holder's. A document's keys are bounded by its lines."""
         repeated = self.references.where("first_doc < last_doc").select(*KEY, "first_doc")
-        return self.postings.join(repeated, KEY).where("doc_id > first_doc").distinct().groupBy("doc_id").agg(F.collect_list("k1").alias("_tl_k1"), F.collect_list("k2").alias("_tl_k2"))
+        # nothing between the join and the exchange by document needs a key's rows together, so a frequent key's partition can be split
+        lost = self.postings.join(repeated, KEY).where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("k"))
+        return lost.select("doc_id", F.col("k.k1").alias("_tl_k1"), F.col("k.k2").alias("_tl_k2"))
 
 
 def _rebuilt(batch: pd.DataFrame) -> pd.DataFrame:
