@@ -338,6 +338,25 @@ def test_voices(spark):
         voices.references(bank, bank, False)
 
 
+def test_every_choice_of_speakers_can_be_drawn(spark):
+    clips = spark.createDataFrame([(f"c{i}", 3) for i in range(2_000)], "clip_id string, total int")
+
+    def drawn(n):
+        bank = spark.range(n).select(F.format_string("s%05d", "id").alias("speaker"))
+        rows = voices.sample_speakers(clips, bank).groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct("ord", "speaker_id"))).alias("x")).collect()
+        return [[int(x["speaker_id"][1:]) for x in r["x"]] for r in rows]
+
+    small = [tuple(x) for x in drawn(7)]
+    assert len(set(small)) == 7 * 6 * 5 and all(200 < sum(x[0] == k for x in small) < 380 for k in range(7))
+    for n in (101, 521, 2_456):
+        found = drawn(n)
+        assert len(found) == 2_000 and all(len({*x}) == 3 for x in found)
+        far = sum(min((a - b) % n, (b - a) % n) > n // 8 for a, b, _ in found)
+        assert 1_400 < far < 1_600
+        steps = sum((b - a) % n == (c - b) % n for a, b, c in found)
+        assert steps < 60
+
+
 def test_dsp():
     x = np.sin(np.arange(1600) / 7).astype(np.float32) * 0.5
     assert np.allclose(dsp.gain(x, 0.0), x) and dsp.gain(x, 40.0).max() == 1.0

@@ -18,23 +18,21 @@ def preset_ids(n: Column) -> Column:
 def sample_speakers(clips: DataFrame, bank: DataFrame, seed: int = 0) -> DataFrame:
     """(clip_id, ord, speaker_id): ``total`` distinct speakers of the bank (speaker) for each clip, in an order keyed by clip and speaker.
 
-    Every clip starts at a drawn speaker and steps through the bank by a drawn stride that shares no divisor with its size, so speakers
-    never repeat and the bank is not multiplied with the clips. A clip that needs more speakers than there are raises.
+    Each place draws among the speakers its clip has not taken yet, so every ordered choice is equally likely, whatever the bank's size.
+    A draw is a rank among those left: stepping over the ranks already taken gives the speaker, and the bank is not multiplied with the
+    clips. A clip that needs more speakers than there are raises.
     """
-    numbered = bank.select("speaker").distinct().withColumn("k", F.row_number().over(Window.orderBy("speaker")) - 1)
+    numbered = bank.select("speaker").distinct().withColumn("k", (F.row_number().over(Window.orderBy("speaker")) - 1).cast("long"))
     n = numbered.count()
-    strides = [s for s in range(1, max(2, n)) if _coprime(s, n)] or [1]
-    draw = lambda k: uniform(seed, F.col("clip_id"), F.lit(k))
     need = F.when(F.col("total") > n, F.raise_error("a clip needs more speakers than the bank has").cast("int")).otherwise(F.col("total"))
-    stride = F.element_at(F.array(*map(F.lit, strides)), (F.floor(draw("stride") * len(strides)) + 1).cast("int")) if len(strides) <= 512 else F.lit(strides[-1])
-    rows = clips.select("clip_id", F.explode(F.sequence(F.lit(0), need - 1)).alias("ord"), F.floor(draw("first") * n).alias("first"), stride.alias("stride"))
-    return rows.withColumn("k", ((F.col("first") + F.col("ord") * F.col("stride")) % max(n, 1)).cast("int")).join(numbered, "k").select("clip_id", "ord", F.col("speaker").alias("speaker_id"))
 
+    def taken(have: Column, _: Column) -> Column:
+        left = F.lit(n) - F.size(have)
+        rank = F.least(F.floor(uniform(seed, F.col("clip_id"), F.lit("speaker"), F.size(have)) * left), left - 1).cast("long")
+        return F.concat(have, F.array(F.aggregate(F.array_sort(have), rank, lambda r, k: r + (r >= k).cast("long"))))
 
-def _coprime(a: int, b: int) -> bool:
-    while b:
-        a, b = b, a % b
-    return a == 1
+    drawn = F.aggregate(F.array_repeat(F.lit(0), need), F.array().cast("array<long>"), taken)
+    return clips.select("clip_id", F.posexplode(drawn).alias("ord", "k")).join(numbered, "k").select("clip_id", "ord", F.col("speaker").alias("speaker_id"))
 
 
 def pick(seed: int, key: Column, options: Column) -> Column:
