@@ -530,6 +530,19 @@ def test_build(spark, tmp_path):
         run_pipeline(spark, from_mapping({"stages": ["phase1"]}))
 
 
+def test_build_speaks_every_sentence_in_turn(spark, tmp_path):
+    from turnloom.plans.build import dataset, turns_before
+
+    said = [f"Sentence{i} of many." for i in range(62)]
+    c = config(tmp_path, mixing={"max_simultaneous_speakers": 1})
+    c["dataset"] |= {"num_examples": 12, "text_options": {"sentences": said}}
+    rows = dataset(spark, from_mapping(c)).utterances.orderBy("clip_id", "ord").collect()
+    assert len(rows) > len(said)
+    assert [r["text"] for r in rows] == [said[i % len(said)] for i in range(len(rows))]
+    clips = spark.range(9_000).select(F.format_string("clip%06d", "id").alias("clip_id"), (1 + F.col("id") % 5).cast("int").alias("total"))
+    assert turns_before(clips).where("before <> 3 * 5 * (bigint(substr(clip_id, 5)) div 5) + element_at(array(0, 1, 3, 6, 10), int(bigint(substr(clip_id, 5)) % 5) + 1)").count() == 0
+
+
 def test_command_line(tmp_path, capsys):
     from turnloom.cli import main
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom.config import AugmentSpec, BalancingConfig, PipelineConfig
@@ -44,6 +44,18 @@ def plan(spark: SparkSession, config: PipelineConfig, capacity: int | None = Non
     return plan_clip_counts(spark, config.dataset.num_examples, run_balance(base, config.mixing.max_simultaneous_speakers, capacity), config.seed)
 
 
+def turns_before(clips: DataFrame) -> DataFrame:
+    """(clip_id, before): the turns of all clips before a clip of (clip_id, total), in order of their numbers.
+
+    Totals are summed in parts of 4,096 clips and the parts' sums in turn, so no window holds all clips.
+    """
+    numbered = clips.select("clip_id", "total", F.substring("clip_id", 5, 20).cast("long").alias("number")).withColumn("part", F.floor(F.col("number") / 4096))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = numbered.groupBy("part").agg(F.sum("total").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier(Window.orderBy("part"))), F.lit(0)).alias("base"))
+    within = F.coalesce(F.sum("total").over(earlier(Window.partitionBy("part").orderBy("number"))), F.lit(0))
+    return numbered.withColumn("within", within).join(sums, "part").select("clip_id", (F.col("base") + F.col("within")).alias("before"))
+
+
 def dataset(spark: SparkSession, config: PipelineConfig) -> Built:
     """Text to mixed clips: plan, speakers, sentences, speech, alignment, schedule, mix, augmentation.
 
@@ -62,10 +74,9 @@ def dataset(spark: SparkSession, config: PipelineConfig) -> Built:
     else:
         turns = sample_speakers(clips, bank, config.seed)
     turns = assign_engines(turns, weights, config.seed)
-    number = F.substring("clip_id", 5, 20).cast("long")
     feed = TEXT_SOURCES.create(d.text_source, spark=spark, **d.text_options)
     feed = feed.where(strip(F.col("sentence")) != "")
-    turns = texts.endless(turns.withColumn("i", number * 31 + F.col("ord")), feed, "i").drop("i").withColumnRenamed("sentence", "text")
+    turns = texts.endless(turns.join(turns_before(clips), "clip_id").withColumn("i", F.col("before") + F.col("ord")), feed, "i").drop("i", "before").withColumnRenamed("sentence", "text")
     spoken = None
     for name in weights:
         own = turns.where(F.col("engine") == name)
