@@ -94,6 +94,26 @@ def test_lines_match_brute_force_and_can_be_undone(spark, table):
     assert got(dropped(docs, again, "kept_sha256 string")) == brute_lines(rows)
 
 
+def test_line_dedup_keeps_keys_whose_fingerprints_collide(spark, table):
+    at, pair = {}, None
+    for i in range(100_000):
+        line = f"a line of number {i}"
+        f, *buckets = CuckooFilter(17)._place(int.from_bytes(hashlib.md5(line.encode()).digest()[:8], "little", signed=True))
+        if pair := (other := at.setdefault((f, *sorted(buckets)), line)) != line and (other, line):
+            break
+    first, second = pair
+    rows = [(1, first), (2, second), (3, second), (4, first)]
+    index = LineIndex.empty(spark, 1).insert(table(rows[:1])).insert(table(rows[1:2]))
+    for gone, more in ((1, 2), (2, 3)):
+        left = [r for r in rows[:2] if r[0] != gone] + [rows[more]]
+        after = index.delete(spark.createDataFrame([(gone,)], "doc_id long")).insert(table([rows[more]]))
+        assert got(dropped(table(left), after, "kept_sha256 string")) == brute_lines(left)
+        assert after.references.count() == after.references.select("k1", "k2").distinct().count()
+    # both gone: nothing of either stays in the filter
+    none = index.delete(spark.createDataFrame([(1,), (2,)], "doc_id long"))
+    assert not any(any(r["filter"]) for r in none.filters.collect())
+
+
 def windows_gone(units, width):
     seen, out = {}, {}
     for d in sorted(units):

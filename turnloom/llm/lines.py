@@ -4,10 +4,10 @@ A line's key is the line with ``[ \\t-\\r]`` stripped at both ends and A-Z lower
 
 * postings (k1, k2, doc_id): who holds which key, keys being 128-bit digests;
 * references (k1, k2, shard, n_docs, first_doc): one row for each key, exact;
-* filters (shard, filter): a cuckoo filter over the keys of each shard.
+* filters (shard, filter): a cuckoo filter over the keys of each shard, which holds each key of the references once.
 
 ``insert`` counts a batch's keys before anything meets in one place, asks each shard's filter which keys may be known, and joins
-only those with the reference table; ``delete`` takes documents out of postings, counts and filters again.
+only those with the reference table; those it does not have go into the filter like the others that are new. ``delete`` takes documents out of postings, counts and filters again.
 """
 
 from __future__ import annotations
@@ -113,9 +113,13 @@ class LineIndex:
             return LineIndex(self.spark, self.shards, new, fresh, asked.where("filter is not null").select("shard", "filter"))
         again = asked.where("filter is null and maybe").drop("maybe", "filter")
         o, a = self.references.alias("o"), again.alias("a")
-        both = o.join(a, KEY, "full_outer").select(*KEY, F.coalesce("o.shard", "a.shard").alias("shard"), (F.coalesce("o.n_docs", F.lit(0)) + F.coalesce("a.n_docs", F.lit(0))).alias("n_docs"), F.least("o.first_doc", "a.first_doc").alias("first_doc"), F.greatest("o.last_doc", "a.last_doc").alias("last_doc"))
-        out = LineIndex(self.spark, self.shards, scratch.keep(self.postings.unionByName(new)), scratch.keep(both.unionByName(fresh)))
-        return out._with_filters(scratch, asked.where("filter is not null").select("shard", "filter"))
+        # a key that is asked for and not held is new too: the filter took it for another
+        both = o.join(a, KEY, "full_outer").select(*KEY, F.coalesce("o.shard", "a.shard").alias("shard"), (F.coalesce("o.n_docs", F.lit(0)) + F.coalesce("a.n_docs", F.lit(0))).alias("n_docs"), F.least("o.first_doc", "a.first_doc").alias("first_doc"), F.greatest("o.last_doc", "a.last_doc").alias("last_doc"), F.col("o.n_docs").isNull().alias("mistaken"))
+        refs = scratch.keep(both.unionByName(fresh.withColumn("mistaken", F.lit(False))))
+        got = asked.where("filter is not null").select("shard", "filter")
+        more = got.groupBy("shard").cogroup(refs.where("mistaken").select("shard", "k1").groupBy("shard")).applyInPandas(_with, "shard long, filter binary")
+        out = LineIndex(self.spark, self.shards, scratch.keep(self.postings.unionByName(new)), refs.drop("mistaken"))
+        return out._with_filters(scratch, scratch.keep(more))
 
     def _with_filters(self, scratch: Scratch, got: DataFrame) -> LineIndex:
         """Filters that had no room are built again from the exact table."""
@@ -146,6 +150,15 @@ def _rebuilt(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"shard": int(batch["shard"].iloc[0]), "filter": CuckooFilter.of(batch["k1"].tolist()).to_bytes()}])
 
 
+def _with(known: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+    """A shard's filter with further keys; empty if it has no room or had none."""
+    data = known["filter"].iloc[0]
+    if len(data) and len(more):
+        f = CuckooFilter.from_bytes(data)
+        data = f.to_bytes() if all([f.insert(k) for k in more["k1"].tolist()]) else b""
+    return pd.DataFrame([{"shard": int(known["shard"].iloc[0]), "filter": data}])
+
+
 def _without(known: pd.DataFrame, lost: pd.DataFrame) -> pd.DataFrame:
     if not len(known):
         return known[["shard", "filter"]]
