@@ -235,6 +235,16 @@ def test_one_of_each_class_stays(table):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_texts_that_share_an_id_are_each_judged(table):
+    rows = near_rows()[:40] + [(7, "quite another text that nothing repeats"), (3, "x y"), (50, "x y"), (50, near_rows()[20][1] + " end"), (9, None), (9, "x y z")]
+    nodes = sorted({(d, hashlib.md5((t or "").encode()).digest(), t or "") for d, t in rows})
+    brute = brute_near([(i, t) for i, (_, _, t) in enumerate(nodes)])
+    want = sorted((nodes[i][0], nodes[c][0], n) for i, (c, n) in brute.items())
+    assert sorted(map(tuple, near_duplicates(table(rows + rows[:5])).collect())) == want
+    left = sorted((nodes[i][0], nodes[i][2]) for i, (c, _) in brute.items() if c == i)
+    assert sorted((r["doc_id"], r["text"] or "") for r in one_of_each(table(rows + rows[:5])).collect()) == left
+
+
 def test_prefix_is_shortened_to_the_recall():
     d = prefix_length()
     assert 1 - (1 - 0.8**d) ** 24 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 24

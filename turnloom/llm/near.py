@@ -233,13 +233,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, gram: int = G
     ``threshold``. Texts without words are linked to equal texts only. Documents without an id have no class and no links. An empty table
     gives an empty one; other columns are not read.
     """
+    out = _classes(docs, threshold, gram, block).select("doc_id", "class_id", "n_links")
+    return out.unionByName(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def _mark():
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
+def _classes(docs: DataFrame, threshold: float, gram: int, block: int) -> DataFrame:
+    """(doc_id, mark, class_id, first, n_links) for each distinct (doc_id, text) with an id; one row of a class is its first.
+
+    Where some id has several texts, each (doc_id, text) goes by a number instead of its id, in order of the ids.
+    """
     spark = docs.sparkSession
     short_batches(spark)
     scratch = Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    known = docs.where("doc_id is not null")
-    keyed = scratch.keep(known.select("doc_id", F.unhex(F.md5("text")).alias("mark")).distinct())
-    members = scratch.keep(keyed.join(keyed.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "mark").select("doc_id", "rep", "copies"))
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = scratch.keep(known.select("doc_id", _mark().alias("mark")).distinct())
+    names = None
+    if not keyed.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").isEmpty():
+        names = scratch.keep(keyed.orderBy("doc_id", "mark").withColumn("number", F.monotonically_increasing_id()))
+        known = known.withColumn("mark", _mark()).join(names, ["doc_id", "mark"]).select(F.col("number").alias("doc_id"), "text")
+        keyed = names.select(F.col("number").alias("doc_id"), "mark")
+    members = scratch.keep(keyed.join(keyed.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "mark").select("doc_id", "mark", "rep", "copies"))
 
     nodes = known.mapInArrow(_nodes(prefix_length(threshold), gram), NODES)
     ties = nodes.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_ties, "a long, b long").distinct()
@@ -257,12 +274,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, gram: int = G
     classes = components(scratch.keep(found.where("root <> doc_id").select(F.col("doc_id").alias("a"), F.col("root").alias("b")).distinct()))
     links = found.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
     out = members.join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.select("doc_id", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return out.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    class_id = F.coalesce("component", "rep")
+    out = out.select("doc_id", "mark", class_id.alias("class_id"), (class_id == F.col("doc_id")).alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    if names is not None:
+        own, head = names.select(F.col("number").alias("doc_id"), F.col("doc_id").alias("own")), names.select(F.col("number").alias("class_id"), F.col("doc_id").alias("head"))
+        out = out.join(own, "doc_id").join(head, "class_id").select(F.col("own").alias("doc_id"), "mark", F.col("head").alias("class_id"), "first", "n_links")
+    return out
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """``docs`` with all its columns, of each class the document with the lowest id, once; documents without an id all stay."""
-    others = near_duplicates(docs, threshold, gram).where("class_id <> doc_id").select(F.col("doc_id").alias("_tl_doc"))
-    kept = docs.join(others, docs["doc_id"] == others["_tl_doc"], "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """``docs`` with all its columns, of each class the document with the lowest id, once; documents without an id all stay.
+
+    Texts that share an id are judged each for itself; of those in one class under its lowest id, one stays.
+    """
+    others = _classes(docs, threshold, gram, BLOCK).where("not first").select(F.col("doc_id").alias("_tl_doc"), F.col("mark").alias("_tl_other"))
+    docs = docs.withColumn("_tl_mark", _mark())
+    kept = docs.join(others, (docs["doc_id"] == others["_tl_doc"]) & (docs["_tl_mark"] == others["_tl_other"]), "left_anti")
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "_tl_mark"]).unionByName(kept.where("doc_id is null")).drop("_tl_mark")
