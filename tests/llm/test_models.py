@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from turnloom.llm import docstats, rff, rules, toxicity
 from turnloom.llm.bpe import DIGESTS, Bpe, decode, digests, encode, id_lists, split_words
 from turnloom.llm.common import held_out
-from turnloom.llm.gif import Frame, GifError, digests as gif_digests, encode as gif_encode, encode_frames, frames_table, lzw_decode, lzw_encode, media_table, padded, parse, render
+from turnloom.llm.gif import Frame, GifError, digests as gif_digests, encode as gif_encode, encode_frames, frames_table, histogram, lzw_decode, lzw_encode, media_table, padded, parse, render
 from turnloom.llm.packing import bucket_bounds, packed
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -268,6 +268,17 @@ def test_disposal_transparency_interlace(spark):
 # --- packing
 
 
+def test_histograms_tell_colours_of_equal_brightness_apart():
+    red, green = (np.array([[[r, g, 0, 255]] * 2], np.uint8) for r, g in ((200, 0), (0, 102)))
+    assert (299 * 200) // 1000 // 16 == (587 * 102) // 1000 // 16
+    assert histogram(red).sum() == histogram(green).sum() == 2 and (histogram(red) != histogram(green)).any()
+    grey = np.repeat(np.arange(256, dtype=np.uint8), 4).reshape(16, 16, 4)
+    grey[..., 3] = 255
+    assert [x for x in histogram(grey).tolist() if x] == [16] * 16
+    grey[0, :, 3] = 0
+    assert histogram(grey).sum() == 240
+
+
 def test_bounds_have_the_least_padding():
     r = random.Random(8)
     for _ in range(40):

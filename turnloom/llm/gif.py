@@ -279,10 +279,10 @@ def render(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray]
 
 
 def histogram(canvas: np.ndarray, bins: int = 16) -> np.ndarray:
-    """Opaque pixels by brightness, in equal bins."""
-    c = canvas.astype(np.uint32)
-    bright = (299 * c[..., 0] + 587 * c[..., 1] + 114 * c[..., 2]) // 1000
-    return np.bincount((bright[c[..., 3] > 0] * bins) >> 8, minlength=bins)
+    """Opaque pixels by colour: equal bins of red, by bins of green, by bins of blue, blue's running fastest."""
+    c = (canvas[..., :3].astype(np.uint32) * bins) >> 8
+    place = (c[..., 0] * bins + c[..., 1]) * bins + c[..., 2]
+    return np.bincount(place[canvas[..., 3] > 0], minlength=bins**3)
 
 
 def padded(text: bytes, unit: int = WIDTH) -> bytes:
@@ -341,6 +341,7 @@ def digests(media: DataFrame) -> DataFrame:
         w, h, _, frames = parse(m)
         payload = b"".join(f.indices for f in frames)
         hist = sum(histogram(c) for c in render(w, h, frames))
+        held = np.flatnonzero(hist)
         ms = sum(10 * f.delay for f in frames)
         return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), len(frames), ms, f"{len(frames)}x{w}x{h};{ms};" + ",".join(map(str, hist.tolist()))
 
