@@ -610,3 +610,25 @@ def test_entry_points(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 50
     assert entry.entry(spark).count() > 0
+
+
+def test_arrow_batches_are_cut_by_rows_and_bytes():
+    import pyarrow as pa
+
+    from turnloom.functions.arrow import grown, short
+
+    b = pa.RecordBatch.from_pydict({"t": ["x" * n for n in (3, 900, 0, 50, 50, 2000, 1)] + [None], "v": list(range(8)), "a": [[1.0]] * 8})
+    parts = list(short([b, b.slice(0, 0)], rows=3, most=1000))
+    assert [v for p in parts for v in p.column("v").to_pylist()] == list(range(8))
+    assert [p.num_rows for p in parts] == [3, 2, 1, 2]
+    made = []
+    for p, out in grown(b, (made.append(n) or b"y" * n for n in (10, 10, 90, 5, 200, 0, 0, 1)), most=100):
+        assert len(p) == len(out) and sum(map(len, out[:-1])) < 100
+        assert len(made) <= p.column("v")[-1].as_py() + 2
+    assert len(made) == 8
+
+
+def test_default_weights_taper_after_four_speakers(spark):
+    shares = {r["count"]: r["target"] for r in balance.realized_vs_target(balance.plan_clip_counts(spark, 50)).where("dimension = 'total'").collect()}
+    assert max(shares, key=shares.get) == 4 and abs(shares[4] - 10 / 55) < 1e-12 and abs(shares[20] - 1 / 55) < 1e-12
+    assert all(shares[k] >= shares[k + 1] for k in range(4, 20))

@@ -10,6 +10,10 @@ from typing import Any
 #: Samples per second of all rendered audio.
 SAMPLE_RATE = 16_000
 
+#: Default weights of a clip's speakers in all, and at once. Fixed values.
+TOTAL_WEIGHTS = {1: 1.0, 2: 3.0, 3: 6.0, 4: 10.0, 5: 8.0, 6: 6.0, 7: 4.0, 8: 3.0, 9: 2.0, 10: 2.0} | dict.fromkeys(range(11, 21), 1.0)
+SIMULTANEOUS_WEIGHTS = {1: 1.0, 2: 3.0, 3: 6.0, 4: 10.0, 5: 6.0, 6: 3.0}
+
 
 @dataclass(frozen=True)
 class MixingConfig:
@@ -18,7 +22,7 @@ class MixingConfig:
     max_truncation_s: float = 3.0
     overlap_probability: float = 0.8
     uncut_probability: float = 0.5
-    simultaneous_weights: Mapping[int, float] = field(default_factory=lambda: {1: 1.0, 2: 3.0, 3: 6.0, 4: 10.0, 5: 6.0, 6: 3.0})
+    simultaneous_weights: Mapping[int, float] = field(default_factory=lambda: dict(SIMULTANEOUS_WEIGHTS))
     truncation_marker: str = "-"
 
 
@@ -26,7 +30,7 @@ class MixingConfig:
 class BalancingConfig:
     """Weights of a clip's speakers, in all and at once."""
 
-    total_weights: Mapping[int, float] = field(default_factory=lambda: dict.fromkeys(range(1, 21), 1.0))
+    total_weights: Mapping[int, float] = field(default_factory=lambda: dict(TOTAL_WEIGHTS))
     simultaneous_weights: Mapping[int, float] = field(default_factory=lambda: MixingConfig().simultaneous_weights)
 
 

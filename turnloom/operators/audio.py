@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 
 from turnloom.config import SAMPLE_RATE, AugmentSpec
 from turnloom.functions import dsp
+from turnloom.functions.arrow import grown, short
 from turnloom.functions.text import preset_pitch
 from turnloom.plans.registry import AUGMENTERS
 
-#: Clips in an Arrow batch.
-BATCH = 64
-
 
 def samples(pcm: bytes) -> np.ndarray:
     return np.frombuffer(pcm, "<f4")
@@ -42,20 +40,22 @@ def gained(array: Column, gain_db: float) -> Column:
     return F.transform(array, lambda x: F.greatest(F.lit(-1.0).cast("float"), F.least(F.lit(1.0).cast("float"), (x * k).cast("float"))))
 
 
+def _spoken(text: str | None, hz: float) -> bytes:
+    if not text or text.isspace():
+        raise ValueError("a blank text cannot be spoken")
+    return dsp.sine(text, hz).tobytes()
+
+
 def synthesized(clips: DataFrame) -> DataFrame:
     """``clips`` (text, preset) with the sine voice's pcm and sample_rate. Blank texts raise."""
     out = clips.withColumn("_hz", preset_pitch(F.col("preset")))
     schema = ", ".join([*(f"`{n}` {t}" for n, t in clips.dtypes), "pcm binary", "sample_rate int"])
 
     def run(batches):
-        for b in batches:
-            pcm = []
-            for t, hz in zip(b.column("text").to_pylist(), b.column("_hz").to_pylist(), strict=True):
-                if not t or t.isspace():
-                    raise ValueError("a blank text cannot be spoken")
-                pcm.append(dsp.sine(t, hz).tobytes())
+        for b in short(batches):
             keep = [n for n in b.schema.names if n != "_hz"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(pcm, pa.binary()), pa.array([SAMPLE_RATE] * len(pcm), pa.int32())], names=[*keep, "pcm", "sample_rate"])
+            for part, pcm in grown(b, map(_spoken, b.column("text").to_pylist(), b.column("_hz").to_pylist())):
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), pa.array(pcm, pa.binary()), pa.array([SAMPLE_RATE] * len(pcm), pa.int32())], names=[*keep, "pcm", "sample_rate"])
 
     return out.mapInArrow(run, schema)
 
@@ -69,24 +69,31 @@ def augmented(clips: DataFrame, chain: Sequence[AugmentSpec], seed: int = 0) ->
         return clips
     steps = [AUGMENTERS.create(s.name, **s.options) for s in chain]
 
+    def changed(clip: str, pcm: bytes, rate: int) -> bytes:
+        x = samples(pcm)
+        for i, step in enumerate(steps):
+            x = step(x, rate, dsp.generator(seed, clip, str(i)))
+        return x.astype("<f4").tobytes()
+
     def run(batches):
-        for b in batches:
-            out = []
-            for c, p, rate in zip(*(b.column(k).to_pylist() for k in ("clip_id", "pcm", "sample_rate")), strict=True):
-                x = samples(p)
-                for i, step in enumerate(steps):
-                    x = step(x, rate, dsp.generator(seed, c, str(i)))
-                out.append(x.astype("<f4").tobytes())
-            yield b.set_column(b.schema.get_field_index("pcm"), "pcm", pa.array(out, pa.binary()))
+        for b in short(batches):
+            for part, out in grown(b, map(changed, *(b.column(k).to_pylist() for k in ("clip_id", "pcm", "sample_rate")))):
+                yield part.set_column(part.schema.get_field_index("pcm"), "pcm", pa.array(out, pa.binary()))
 
     return clips.mapInArrow(run, clips.schema)
 
 
-def rendered(placed: DataFrame) -> DataFrame:
+def by_clip(parts: DataFrame) -> DataFrame:
+    """Parts (clip_id, ord) of a clip in one partition and in order."""
+    return parts.repartition("clip_id").sortWithinPartitions("clip_id", "ord")
+
+
+def rendered(placed: DataFrame, dealt: bool = False) -> DataFrame:
     """(clip_id, pcm, sample_rate, num_samples) from (clip_id, ord, offset_s, kept_s, pcm, sample_rate).
 
     Each clip's part is added where it starts; the sum is clipped once at the end. Parts of one clip need one sample rate. A clip's parts
-    are bounded by its turns and come as a stream sorted by clip, so only one canvas is held.
+    are bounded by its turns and come as a stream sorted by clip, so only one canvas is held. ``dealt`` says that ``by_clip`` dealt the
+    rows before their audio was made: then no audio moves.
     """
     schema = "clip_id string, pcm binary, sample_rate int, num_samples long"
     names = ["clip_id", "pcm", "sample_rate", "num_samples"]
@@ -107,7 +114,7 @@ def rendered(placed: DataFrame) -> DataFrame:
 
     def run(batches):
         clip, parts = None, []
-        for b in batches:
+        for b in short(batches):
             for c, o, k, p, r in zip(*(b.column(n).to_pylist() for n in ("clip_id", "offset_s", "kept_s", "pcm", "sample_rate")), strict=True):
                 if c != clip:
                     if parts:
@@ -117,7 +124,8 @@ def rendered(placed: DataFrame) -> DataFrame:
         if parts:
             yield mixed(clip, parts)
 
-    return placed.select("clip_id", "ord", "offset_s", "kept_s", "pcm", "sample_rate").repartition("clip_id").sortWithinPartitions("clip_id", "ord").mapInArrow(run, schema)
+    parts = placed.select("clip_id", "ord", "offset_s", "kept_s", "pcm", "sample_rate")
+    return (parts if dealt else by_clip(parts)).mapInArrow(run, schema)
 
 
 def array_chain(table: DataFrame, key: str, array: str, f) -> DataFrame:
@@ -125,9 +133,9 @@ def array_chain(table: DataFrame, key: str, array: str, f) -> DataFrame:
     kind = dict(table.dtypes)[key]
 
     def run(batches):
-        for b in batches:
-            xs = [np.asarray(x, np.float32) for x in b.column(array).to_pylist()]
-            out = [f(str(k), x).tolist() for k, x in zip(b.column(key).to_pylist(), xs, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(out, pa.list_(pa.float32()))], names=[key, array])
+        for b in short(batches):
+            made = (f(str(k), np.asarray(x, np.float32)) for k, x in zip(b.column(key).to_pylist(), b.column(array).to_pylist(), strict=True))
+            for part, out in grown(b, made, lambda x: x.nbytes):
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(out, pa.list_(pa.float32()))], names=[key, array])
 
     return table.select(key, array).mapInArrow(run, f"`{key}` {kind}, `{array}` array<float>")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from turnloom.config import SAMPLE_RATE
 from turnloom.functions import dsp
+from turnloom.functions.arrow import grown, short
 from turnloom.plans.registry import ENGINES
 
 #: name, voice (clone or preset), native samples per second (0: its backend says). Fixed values.
@@ -116,9 +117,10 @@ def synthesized(clips: DataFrame, engine: str, **options: Any) -> DataFrame:
 
     def run(batches):
         e = ENGINES.create(engine, **options)
-        for b in batches:
+        for b in short(batches):
             get = lambda c, b=b: b.column(c).to_pylist() if c in b.schema.names else [None] * b.num_rows
-            pcm = [e.speak(t, r, p).astype("<f4").tobytes() for t, r, p in zip(get("text"), get("reference"), get("preset"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pcm, pa.binary()), pa.array([SAMPLE_RATE] * len(pcm), pa.int32())], names=[*b.schema.names, "pcm", "sample_rate"])
+            made = (e.speak(t, r, p).astype("<f4").tobytes() for t, r, p in zip(get("text"), get("reference"), get("preset"), strict=True))
+            for part, pcm in grown(b, made):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pcm, pa.binary()), pa.array([SAMPLE_RATE] * len(pcm), pa.int32())], names=[*b.schema.names, "pcm", "sample_rate"])
 
     return clips.mapInArrow(run, schema)

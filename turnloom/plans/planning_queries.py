@@ -51,6 +51,26 @@ def balance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.realized_vs_target(_plan(spark, sf_dir), CONFIG).select("dimension", "count", F.round("target", 9).alias("target"), F.round("realized", 9).alias("realized"))
 
 
+DEFAULT_PLAN_SQL = f"""w (k, w) AS (
+  VALUES (1, 1.0::DOUBLE), (2, 3.0), (3, 6.0), (4, 10.0), (5, 8.0), (6, 6.0), (7, 4.0), (8, 3.0), (9, 2.0), (10, 2.0), (11, 1.0), (12, 1.0), (13, 1.0), (14, 1.0), (15, 1.0), (16, 1.0), (17, 1.0), (18, 1.0), (19, 1.0), (20, 1.0)
+), s (k, w) AS (
+  VALUES (1, 1.0::DOUBLE), (2, 3.0), (3, 6.0), (4, 10.0), (5, 6.0), (6, 3.0)
+), d AS (
+  SELECT clip_id, {_draw("'0:' || clip_id || ':total'")} AS a, {_draw("'0:' || clip_id || ':simultaneous'")} AS b FROM (SELECT DISTINCT 'clip' || lpad(o_orderkey::VARCHAR, 6, '0') AS clip_id FROM orders)
+), t AS (
+  SELECT clip_id, b, min(k) AS total FROM d, (SELECT k, sum(w) OVER (ORDER BY k) / sum(w) OVER () AS hi FROM w) WHERE a < hi GROUP BY ALL
+), plan AS (
+  SELECT clip_id, total, min(x.k) AS max_simultaneous FROM t, (SELECT k, sum(w) OVER (ORDER BY k) AS hi FROM s) x
+  WHERE x.k <= total AND b * (SELECT sum(w) FROM s WHERE s.k <= total) < x.hi GROUP BY ALL
+)"""
+
+
+@query("balance_defaults", f"WITH {DEFAULT_PLAN_SQL} SELECT clip_id, total::INT AS total, max_simultaneous::INT AS max_simultaneous FROM plan")
+def balance_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "orders").select(F.format_string("clip%06d", "o_orderkey").alias("clip_id")).distinct()
+    return balance.with_counts(ids, BalancingConfig())
+
+
 BUDGET_SQL = """tg AS (
   SELECT n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN 0.0 WHEN n_nationkey % 3 = 0 THEN n_nationkey / 100.0 ELSE 0.5 END::DOUBLE AS target_hours FROM nation
 ), b AS (
@@ -140,6 +160,6 @@ def schedule_peak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("mix_render_stats")
 def mix_render_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, s = _scheduled(spark, sf_dir)
-    spoken = audio.synthesized(u.select("clip_id", "ord", "text", F.col("speaker_id").alias("preset")))
-    placed = s.withColumn("kept_s", truncate.kept_seconds(F.col("duration_s"), F.col("cut_at_s"))).join(spoken, ["clip_id", "ord"])
-    return audio.rendered(placed).select("clip_id", "sample_rate", "num_samples", (F.octet_length("pcm") == 4 * F.col("num_samples")).alias("whole"))
+    placed = s.withColumn("kept_s", truncate.kept_seconds(F.col("duration_s"), F.col("cut_at_s"))).join(u.select("clip_id", "ord", "text", F.col("speaker_id").alias("preset")), ["clip_id", "ord"])
+    spoken = audio.synthesized(audio.by_clip(placed))  # texts move, audio does not
+    return audio.rendered(spoken, dealt=True).select("clip_id", "sample_rate", "num_samples", (F.octet_length("pcm") == 4 * F.col("num_samples")).alias("whole"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from turnloom.config import SAMPLE_RATE
 from turnloom.functions import dsp
+from turnloom.functions.arrow import first_size, grown, short
 
 
 def decode(content: bytes) -> tuple[np.ndarray, int]:
@@ -55,11 +56,16 @@ def read_wavs(spark: SparkSession, directory: str, recursive: bool = False, rate
 
 
 def decoded(files: DataFrame, rate: int | None = None) -> DataFrame:
+    """AUDIO of (path, content), resampled only where ``rate`` is given."""
+
+    def read(content: bytes) -> tuple[bytes, int]:
+        x, own = decode(content)
+        return (dsp.resample(x, own, rate) if rate else x).astype("<f4").tobytes(), rate or own
+
     def run(batches):
-        for b in batches:
-            got = [decode(c) for c in b.column("content").to_pylist()]
-            got = [(dsp.resample(x, r, rate), rate) if rate else (x, r) for x, r in got]
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([x.astype("<f4").tobytes() for x, _ in got], pa.binary()), pa.array([r for _, r in got], pa.int32()), pa.array([len(x) for x, _ in got], pa.int64())], names=["path", "pcm", "sample_rate", "num_samples"])
+        for b in short(batches):
+            for part, got in grown(b, map(read, b.column("content").to_pylist()), first_size):
+                yield pa.RecordBatch.from_arrays([part.column("path"), pa.array([x for x, _ in got], pa.binary()), pa.array([r for _, r in got], pa.int32()), pa.array([len(x) // 4 for x, _ in got], pa.int64())], names=["path", "pcm", "sample_rate", "num_samples"])
 
     return files.mapInArrow(run, AUDIO)
 
@@ -81,14 +87,16 @@ def local_catalogue(directory: str | None, recursive: bool) -> list[tuple[np.nda
 
 
 def encoded(clips: DataFrame) -> DataFrame:
-    """(clip_id, wav) from (clip_id, pcm, sample_rate)."""
+    """(clip_id, wav) and ``split``, where there is one, from (clip_id, pcm, sample_rate)."""
+    keep = [c for c in ("clip_id", "split") if c in clips.columns]
 
     def run(batches):
-        for b in batches:
-            wav = [encode(np.frombuffer(p, "<f4"), r) for p, r in zip(b.column("pcm").to_pylist(), b.column("sample_rate").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("clip_id"), pa.array(wav, pa.binary())], names=["clip_id", "wav"])
+        for b in short(batches):
+            made = (encode(np.frombuffer(p, "<f4"), r) for p, r in zip(b.column("pcm").to_pylist(), b.column("sample_rate").to_pylist(), strict=True))
+            for part, wav in grown(b, made):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(wav, pa.binary())], names=[*keep, "wav"])
 
-    return clips.select("clip_id", "pcm", "sample_rate").mapInArrow(run, "clip_id string, wav binary")
+    return clips.select(*keep, "pcm", "sample_rate").mapInArrow(run, ", ".join([*(f"{c} string" for c in keep), "wav binary"]))
 
 
 def write_wavs(clips: DataFrame, root: str) -> None:
@@ -98,8 +106,6 @@ def write_wavs(clips: DataFrame, root: str) -> None:
     """
     import os
 
-    rows = encoded(clips).join(clips.select("clip_id", "split"), "clip_id")
-
     def put(part):
         for r in part:
             folder = os.path.join(root, r["split"], "audio")
@@ -109,4 +115,4 @@ def write_wavs(clips: DataFrame, root: str) -> None:
                 f.write(r["wav"])
             os.replace(f"{path}.part", path)
 
-    rows.foreachPartition(put)
+    encoded(clips).foreachPartition(put)
