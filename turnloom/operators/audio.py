@@ -84,17 +84,24 @@ def augmented(clips: DataFrame, chain: Sequence[AugmentSpec], seed: int = 0) ->
 
 
 def by_clip(parts: DataFrame) -> DataFrame:
-    """Parts (clip_id, ord) of a clip in one partition and in order."""
-    return parts.repartition("clip_id").sortWithinPartitions("clip_id", "ord")
+    """Parts (clip_id, ord) of a clip in one partition and in order.
+
+    The number of partitions is named: rows without audio are small, and merged partitions would make all their audio in one task.
+    """
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(n, "clip_id").sortWithinPartitions("clip_id", "ord")
 
 
 def rendered(placed: DataFrame, dealt: bool = False) -> DataFrame:
     """(clip_id, pcm, sample_rate, num_samples) from (clip_id, ord, offset_s, kept_s, pcm, sample_rate).
 
+    Where ``placed`` has (text, preset) instead of pcm and sample_rate, the sine voice speaks the texts here, and only texts move.
+
     Each clip's part is added where it starts; the sum is clipped once at the end. Parts of one clip need one sample rate. A clip's parts
     are bounded by its turns and come as a stream sorted by clip, so only one canvas is held. ``dealt`` says that ``by_clip`` dealt the
-    rows before their audio was made: then no audio moves.
+    rows already.
     """
+    voiced = "pcm" in placed.columns
     schema = "clip_id string, pcm binary, sample_rate int, num_samples long"
     names = ["clip_id", "pcm", "sample_rate", "num_samples"]
     kinds = [pa.string(), pa.binary(), pa.int32(), pa.int64()]
@@ -104,7 +111,7 @@ def rendered(placed: DataFrame, dealt: bool = False) -> DataFrame:
         if len(rates) != 1:
             raise ValueError(f"clip {clip} mixes sample rates {sorted(rates)}")
         rate = rates.pop()
-        cut = [(round(o * rate), samples(p)[: round(k * rate)]) for o, k, p, _ in parts]
+        cut = [(round(o * rate), (samples(p) if voiced else p)[: round(k * rate)]) for o, k, p, _ in parts]
         # a part's room is what it keeps, even where its audio is shorter
         canvas = np.zeros(max(s + max(round(k * rate), len(x)) for (s, x), (_, k, _, _) in zip(cut, parts, strict=True)), np.float32)
         for s, x in cut:
@@ -115,16 +122,17 @@ def rendered(placed: DataFrame, dealt: bool = False) -> DataFrame:
     def run(batches):
         clip, parts = None, []
         for b in short(batches):
-            for c, o, k, p, r in zip(*(b.column(n).to_pylist() for n in ("clip_id", "offset_s", "kept_s", "pcm", "sample_rate")), strict=True):
+            for c, o, k, p, r in zip(*(b.column(n).to_pylist() for n in b.schema.names if n != "ord"), strict=True):
                 if c != clip:
                     if parts:
                         yield mixed(clip, parts)
                     clip, parts = c, []
-                parts.append((o, k, p, r))
+                parts.append((o, k, p, r) if voiced else (o, k, dsp.sine(p, r), SAMPLE_RATE))
         if parts:
             yield mixed(clip, parts)
 
-    parts = placed.select("clip_id", "ord", "offset_s", "kept_s", "pcm", "sample_rate")
+    source = ("pcm", "sample_rate") if voiced else ("text", preset_pitch(F.col("preset")).alias("hz"))
+    parts = placed.select("clip_id", "ord", "offset_s", "kept_s", *source)
     return (parts if dealt else by_clip(parts)).mapInArrow(run, schema)
 
 
