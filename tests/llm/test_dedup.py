@@ -10,7 +10,8 @@ import pytest
 from turnloom.llm.components import components
 from turnloom.llm.cuckoo import CuckooFilter
 from turnloom.llm.lines import LineIndex, dropped, lines_removed
-from turnloom.llm.near import near_duplicates, one_of_each, prefix_length
+from turnloom.llm import near
+from turnloom.llm.near import near_duplicates, one_of_each
 from turnloom.llm.substrings import COVER, PERIOD, repeats_removed
 from turnloom.llm.substrings import without_repeats as without_words
 from turnloom.llm.suffixes import blind_trie, deep_shallow, runs
@@ -245,10 +246,73 @@ def test_texts_that_share_an_id_are_each_judged(table):
     assert sorted((r["doc_id"], r["text"] or "") for r in one_of_each(table(rows + rows[:5])).collect()) == left
 
 
-def test_prefix_is_shortened_to_the_recall():
-    d = prefix_length()
-    assert 1 - (1 - 0.8**d) ** 24 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 24
-    assert prefix_length(0.8, 0.5) > d
+def test_prefixes_are_shortened_until_the_recall_is_measured():
+    d = near.floor_length()
+    assert 1 - (1 - 0.8**d) ** near.TREES >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** near.TREES
+    assert near.floor_length(0.8, 0.5) > d
+    sure, some = (100_000, 0, 400), (100_000, 900, 1500)
+    assert near.chosen_lengths({1: {8: sure}, 2: {8: some, 7: some, 6: sure}, 3: {8: some, 7: some, 6: some}, 4: {8: (9, 0, 0)}, 5: {}}, d) == {1: 8, 2: 6, 3: d, 4: d, 5: d}
+
+
+def pairs_at(low, high, seed):
+    """Texts in pairs whose similarity lies between the bounds, of five to 500 words."""
+    r, out = random.Random(seed), []
+    while len(out) < 400:
+        n = r.choice([9, 12, 20, 40, 100, 300, 500])
+        w = [f"a{r.randrange(10**9)}" for _ in range(n)]
+        v = list(w)
+        cut = r.randrange(n // 5 + 1)
+        v = v[: n - cut] if r.random() < 0.5 else v[cut:]
+        for _ in range(r.randrange(3)):
+            v[r.randrange(len(v))] = f"b{r.randrange(10**9)}"
+        a, b = ({tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} for x in (w, v))
+        if low <= len(a & b) / len(a | b) < high:
+            out.append((" ".join(w), " ".join(v)))
+    return out
+
+
+def test_links_next_to_the_threshold_are_found(table):
+    pairs = pairs_at(0.8, 0.85, 3)
+    rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    out = got(near_duplicates(table(rows)))
+    assert sum(out[2 * i + 1] == (2 * i, 1) for i in range(len(pairs))) >= 0.99 * len(pairs)
+
+
+def test_longer_prefixes_tie_what_shares_them(spark, monkeypatch, table):
+    rows = near_rows()
+    monkeypatch.setattr(near, "chosen_lengths", lambda seen, floor: {c: 7 for c in range(100)})
+    close = got(near_duplicates(table(rows)))
+    brute = brute_near(rows)
+    assert all(close[d][1] <= brute[d][1] for d in brute) and sum(close[d] == brute[d] for d in brute) > 0.8 * len(brute)
+    monkeypatch.setattr(near, "prefix_keys", lambda labels, length: labels[..., 0].astype(np.uint64) * np.uint64(0) + np.arange(labels[..., 0].size, dtype=np.uint64).reshape(labels.shape[:-1]))
+    assert sum(n for _, n in got(near_duplicates(table(rows))).values()) < sum(n for _, n in close.values())
+
+
+def test_labels_meet_as_often_as_texts_are_alike():
+    r = np.random.default_rng(6)
+    for n, e in ((9, 1), (90, 10), (900, 100)):
+        hits = []
+        for _ in range(150):
+            g = r.integers(0, 1 << 63, n + e).astype(np.uint64)
+            hits.append((near.signature(np.sort(g[:n])) == near.signature(np.sort(g[e:]))).mean())
+        assert abs(np.mean(hits) - (n - e) / (n + e)) < 0.02
+    assert near.matched(np.array([[1, 2, 3, 4, 5, 6, 7, 8]]), np.array([[1, 2, 9, 4, 5, 6, 7, 8]])).tolist() == [2]
+
+
+def test_a_group_of_near_copies_makes_few_rows(spark, table):
+    r = random.Random(5)
+    base = [f"v{i}" for i in range(100)]
+    rows = []
+    for d in range(1500):
+        w = list(base)
+        w[r.randrange(100)] = f"u{d}"
+        rows.append((d, " ".join(w)))
+    rows.append((1500, rows[7][1]))
+    out = got(near_duplicates(table(rows)))
+    assert {c for c, _ in out.values()} == {0}
+    brute = brute_near(rows[:150])
+    some = got(near_duplicates(table(rows[:150]), block=20))
+    assert some == brute
 
 
 def test_components_of_a_long_path(spark):
