@@ -9,7 +9,7 @@ import pytest
 
 from turnloom.llm.components import components
 from turnloom.llm.cuckoo import CuckooFilter
-from turnloom.llm.lines import LineIndex, dropped, lines_removed
+from turnloom.llm.lines import LineIndex, dropped, indexed, lines_removed
 from turnloom.llm import near
 from turnloom.llm.near import near_duplicates, one_of_each
 from turnloom.llm.substrings import COVER, PERIOD, repeats_removed
@@ -85,7 +85,8 @@ def test_lines_match_brute_force_and_can_be_undone(spark, table):
     index = LineIndex.empty(spark).insert(docs)
     assert got(dropped(docs, index, "kept_sha256 string")) == brute_lines(rows)
     first, second = table(rows[:30]), table(rows[30:])
-    parts = LineIndex.empty(spark, 16).insert(first).insert(second)
+    assert got(dropped(docs, indexed(docs), "kept_sha256 string")) == brute_lines(rows)
+    parts = LineIndex.empty(spark, 2).insert(first).insert(second)
     assert got(dropped(docs, parts, "kept_sha256 string")) == brute_lines(rows)
     gone = {d for d, _ in rows[:20]} | {200}
     left = [(d, t) for d, t in rows if d not in gone]
@@ -104,15 +105,38 @@ def test_line_dedup_keeps_keys_whose_fingerprints_collide(spark, table):
             break
     first, second = pair
     rows = [(1, first), (2, second), (3, second), (4, first)]
-    index = LineIndex.empty(spark, 1).insert(table(rows[:1])).insert(table(rows[1:2]))
+    index = LineIndex.empty(spark, 0).insert(table(rows[:1])).insert(table(rows[1:2]))
     for gone, more in ((1, 2), (2, 3)):
         left = [r for r in rows[:2] if r[0] != gone] + [rows[more]]
         after = index.delete(spark.createDataFrame([(gone,)], "doc_id long")).insert(table([rows[more]]))
         assert got(dropped(table(left), after, "kept_sha256 string")) == brute_lines(left)
-        assert after.references.count() == after.references.select("k1", "k2").distinct().count()
+        assert after.state().count() == after.state().select("k1", "k2").distinct().count()
     # both gone: nothing of either stays in the filter
     none = index.delete(spark.createDataFrame([(1,), (2,)], "doc_id long"))
-    assert not any(any(r["filter"]) for r in none.filters.collect())
+    assert not any(any(r["filter"]) for r in none.shard_filters().collect())
+
+
+def test_random_changes_of_many_lines_match_brute_force(spark, table):
+    r = random.Random(17)
+    lines = [f"a line of number {i}" for i in range(100_000)]
+    text = lambda: "\n".join(r.choice(lines) for _ in range(r.choice([5, 300, 12_000])))
+    held, index = {}, LineIndex.empty(spark, 1)
+    for step in range(5):
+        new = {d: text() for d in r.sample([d for d in range(40) if d not in held], 6)}
+        before, index = index, index.insert(table(list(new.items())))
+        held |= new
+        if step:
+            gone = r.sample(sorted(held), 3)
+            index = index.delete(spark.createDataFrame([(d,) for d in gone], "doc_id long"))
+            held = {d: t for d, t in held.items() if d not in gone}
+    assert index.bits > 1 and before.gen < index.gen
+    assert got(dropped(table(list(held.items())), index, "kept_sha256 string")) == brute_lines(list(held.items()))
+    keys = {}
+    for x in index.state().collect():
+        keys.setdefault((x["k2"] % (1 << 64) >> 7) & ((1 << index.bits) - 1), []).append(x["k1"])
+    assert sum(map(len, keys.values())) == len({x for t in held.values() for x in t.split("\n")})
+    filters = {x["shard"]: CuckooFilter.from_bytes(x["filter"]) for x in index.shard_filters().collect()}
+    assert all(filters[s].size == len(own) and all(k in filters[s] for k in own) for s, own in keys.items())
 
 
 def windows_gone(units, width):
@@ -326,11 +350,11 @@ def test_components_of_a_long_path(spark):
 @pytest.mark.parametrize("op", ["lines", "bytes", "words", "near", "rewrite_lines", "rewrite_words", "one"])
 def test_awkward_rows_have_defined_results(spark, table, awkward, op):
     run = {
-        "lines": lambda d: dropped(d, LineIndex.empty(spark).insert(d)),
+        "lines": lambda d: dropped(d, indexed(d)),
         "bytes": without_bytes,
         "words": without_words,
         "near": near_duplicates,
-        "rewrite_lines": lambda d: lines_removed(d, LineIndex.empty(spark).insert(d)),
+        "rewrite_lines": lambda d: lines_removed(d, indexed(d)),
         "rewrite_words": repeats_removed,
         "one": one_of_each,
     }[op]

@@ -1,19 +1,23 @@
 """Line dedup that can be undone: sharded cuckoo filters in front of exact reference-count tables.
 
-A line's key is the line with ``[ \\t-\\r]`` stripped at both ends and A-Z lower-cased. The state of an index is three tables:
+A line's key is the line with ``[ \\t-\\r]`` stripped at both ends and A-Z lower-cased. An index is a log of written tables; a change appends to
+it and rewrites nothing that it does not touch:
 
-* postings (k1, k2, doc_id): who holds which key, keys being 128-bit digests;
-* references (k1, k2, shard, n_docs, first_doc): one row for each key, exact;
-* filters (shard, filter): a cuckoo filter over the keys of each shard, which holds each key of the references once.
+* postings (k1, k2, doc_id, gen): who holds which key, keys being 128-bit digests, gen the change that brought them;
+* deletions (doc_id, gone): up to which change a document's postings are void;
+* references (k1, k2, gen, n_docs, first_doc, last_doc): a key's newest row is its exact state, n_docs counting postings;
+* filters (shard, gen, filter): a shard's newest row is a cuckoo filter that holds each of its keys that has postings exactly once.
 
-``insert`` counts a batch's keys before anything meets in one place, asks each shard's filter which keys may be known, and joins
-only those with the reference table; those it does not have go into the filter like the others that are new. ``delete`` takes documents out of postings, counts and filters again.
+``insert`` counts a batch's keys before anything meets in one place and asks each shard's filter which of them may be known. Only those
+meet the references; all others are new for certain. Every new key goes into its filter, those that the filter mistook for others too,
+so that taking a key out never takes out another's fingerprint. ``delete`` lowers the counts of what it touches.
 """
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,6 +33,8 @@ SPACE = b" \t\n\x0b\x0c\r"
 LEAST_POINTS = 10
 #: Keys that one shard's filter is meant for.
 SHARD_KEYS = 20_000
+#: Batches in which ``indexed`` inserts a table.
+BATCHES = 2
 KEY = ["k1", "k2"]
 
 
@@ -67,8 +73,13 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
 
 
+ASKED = "k1 long, k2 long, n_docs long, first_doc long, last_doc long, maybe boolean, shard long, filter binary"
+
+
 def _asked(batch: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """For one shard: which of a batch's keys its filter may know, then a row with the filter that has the new ones too (empty: no room)."""
+    """For one shard: which of a batch's keys its filter may know, then a row with the filter that has the others too (empty: no room)."""
+    if not len(batch):
+        return pd.DataFrame(columns=["k1", "k2", "n_docs", "first_doc", "last_doc", "maybe", "shard", "filter"])
     filt = CuckooFilter.from_bytes(known["filter"].iloc[0]) if len(known) else None
     keys = batch["k1"].tolist()
     maybe = np.array([filt is not None and k in filt for k in keys], bool)
@@ -77,81 +88,138 @@ def _asked(batch: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         filt = CuckooFilter.of(fresh)
     elif not all([filt.insert(k) for k in fresh]):
         filt = None
-    last = {"k1": 0, "k2": 0, "shard": int((batch if len(batch) else known)["shard"].iloc[0]), "n_docs": 0, "first_doc": 0, "last_doc": 0, "maybe": False, "filter": filt.to_bytes() if filt is not None else b""}
-    last = pd.DataFrame([last])
-    return pd.concat([batch[["k1", "k2", "shard", "n_docs", "first_doc", "last_doc"]].assign(maybe=maybe, filter=None), last], ignore_index=True) if len(batch) else last
+    shard = int(batch["shard"].iloc[0])
+    last = {"k1": 0, "k2": 0, "n_docs": 0, "first_doc": 0, "last_doc": 0, "maybe": False, "shard": shard, "filter": filt.to_bytes() if filt is not None else b""}
+    own = batch[["k1", "k2", "n_docs", "first_doc", "last_doc"]].assign(maybe=maybe, shard=shard, filter=None)
+    return pd.concat([own, pd.DataFrame([last])], ignore_index=True)
+
+
+def _newest(parts: tuple[DataFrame, ...], keys: list[str]) -> DataFrame:
+    """Of each key the row with the highest ``gen``; rows of one part have different keys."""
+    if len(parts) == 1:
+        return parts[0]
+    rows = reduce(DataFrame.unionByName, parts)
+    rest = ["gen", *(c for c in rows.columns if c not in ("gen", *keys))]
+    return rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_r")).select(*keys, "_r.*")
 
 
-@dataclass
+@dataclass(frozen=True)
 class LineIndex:
-    """The state after some insertions and deletions; every method returns a new one."""
+    """The state after some insertions and deletions; every method returns a new one and leaves this one as it is."""
 
     spark: SparkSession
-    shards: int
-    postings: DataFrame | None = None
-    references: DataFrame | None = None
-    filters: DataFrame | None = None
+    #: 2 ** bits shards. They are doubled as keys grow; -1: the first insertion chooses.
+    bits: int = -1
+    gen: int = 0
+    keys: int = 0
+    postings: tuple[DataFrame, ...] = ()
+    deletions: tuple[DataFrame, ...] = ()
+    references: tuple[DataFrame, ...] = ()
+    filters: tuple[DataFrame, ...] = ()
 
     @classmethod
-    def empty(cls, spark: SparkSession, shards: int = 0) -> LineIndex:
-        """With 0 shards, the first insertion chooses as many as its keys need."""
-        return cls(spark, shards)
-
-    def _shard(self):
-        return F.pmod(F.shiftrightunsigned("k2", 7), F.lit(self.shards)).cast("long")
+    def empty(cls, spark: SparkSession, bits: int = -1) -> LineIndex:
+        return cls(spark, bits)
+
+    def _shard(self, k2: str = "k2"):
+        return F.shiftrightunsigned(k2, 7).bitwiseAND(F.lit((1 << max(self.bits, 0)) - 1)).cast("long")
+
+    def held(self) -> DataFrame:
+        """(k1, k2, doc_id): postings that are not void."""
+        rows = reduce(DataFrame.unionByName, self.postings)
+        if not self.deletions:
+            return rows.select(*KEY, "doc_id")
+        void = reduce(DataFrame.unionByName, self.deletions).groupBy("doc_id").agg(F.max("gone").alias("gone"))
+        return rows.join(void, "doc_id", "left").where("gone is null or gen > gone").select(*KEY, "doc_id")
+
+    def state(self) -> DataFrame:
+        """(k1, k2, n_docs, first_doc, last_doc) of each key that has postings."""
+        return _newest(self.references, KEY).where("n_docs > 0").select(*KEY, "n_docs", "first_doc", "last_doc")
+
+    def shard_filters(self) -> DataFrame:
+        """(shard, filter) of each shard that has had keys."""
+        if not self.filters:
+            return self.spark.createDataFrame([], "shard long, filter binary")
+        return _newest(self.filters, ["shard"]).select("shard", "filter")
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        scratch = Scratch(self.spark)
-        new = scratch.keep(postings(docs))
-        if not self.shards:
-            self.shards = max(16, new.count() // SHARD_KEYS)
-        batch = new.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).withColumn("shard", self._shard())
-        known = self.filters if self.filters is not None else self.spark.createDataFrame([], "shard long, filter binary")
-        asked = scratch.keep(batch.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(_asked, "k1 long, k2 long, shard long, n_docs long, first_doc long, last_doc long, maybe boolean, filter binary"))
-        fresh = asked.where("filter is null and not maybe").drop("maybe", "filter")
-        if self.references is None:
-            return LineIndex(self.spark, self.shards, new, fresh, asked.where("filter is not null").select("shard", "filter"))
-        again = asked.where("filter is null and maybe").drop("maybe", "filter")
-        o, a = self.references.alias("o"), again.alias("a")
-        # a key that is asked for and not held is new too: the filter took it for another
-        both = o.join(a, KEY, "full_outer").select(*KEY, F.coalesce("o.shard", "a.shard").alias("shard"), (F.coalesce("o.n_docs", F.lit(0)) + F.coalesce("a.n_docs", F.lit(0))).alias("n_docs"), F.least("o.first_doc", "a.first_doc").alias("first_doc"), F.greatest("o.last_doc", "a.last_doc").alias("last_doc"), F.col("o.n_docs").isNull().alias("mistaken"))
-        refs = scratch.keep(both.unionByName(fresh.withColumn("mistaken", F.lit(False))))
+        """With the documents' lines. An id that is there already gets these lines beside those it has."""
+        scratch, gen = Scratch(self.spark), self.gen + 1
+        new = scratch.keep(postings(docs).withColumn("gen", F.lit(gen)))
+        out = replace(self, gen=gen, keys=self.keys + new.count(), postings=(*self.postings, new))._roomy(scratch)
+        batch = new.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).withColumn("shard", out._shard())
+        asked = scratch.keep(batch.groupBy("shard").cogroup(out.shard_filters().groupBy("shard")).applyInPandas(_asked, ASKED))
+        row = [*KEY, F.lit(gen).alias("gen"), "n_docs", "first_doc", "last_doc"]
+        fresh = asked.where("filter is null and not maybe").select(*row)
         got = asked.where("filter is not null").select("shard", "filter")
-        more = got.groupBy("shard").cogroup(refs.where("mistaken").select("shard", "k1").groupBy("shard")).applyInPandas(_with, "shard long, filter binary")
-        out = LineIndex(self.spark, self.shards, scratch.keep(self.postings.unionByName(new)), refs.drop("mistaken"))
-        return out._with_filters(scratch, scratch.keep(more))
+        if not self.references:
+            return replace(out, references=(fresh,))._with_filters(scratch, got)
+        a, o = asked.where("filter is null and maybe").alias("a"), self.state().alias("o")
+        met = a.join(o, KEY, "left").select(*KEY, F.lit(gen).alias("gen"), (F.col("a.n_docs") + F.coalesce("o.n_docs", F.lit(0))).alias("n_docs"), F.least("a.first_doc", "o.first_doc").alias("first_doc"), F.greatest("a.last_doc", "o.last_doc").alias("last_doc"), F.col("o.n_docs").isNull().alias("mistaken"))
+        met = scratch.keep(met)
+        more = got.groupBy("shard").cogroup(met.where("mistaken").select(out._shard().alias("shard"), "k1").groupBy("shard")).applyInPandas(_with, "shard long, filter binary")
+        return replace(out, references=(*self.references, fresh.unionByName(met.drop("mistaken"))))._with_filters(scratch, more)
+
+    def delete(self, doc_ids: DataFrame) -> LineIndex:
+        """Without the documents in ``doc_ids`` (doc_id): their keys' counts go down, first holders move on, unheld keys leave the filters."""
+        if not self.postings:
+            return self
+        scratch, gen = Scratch(self.spark), self.gen + 1
+        gone = scratch.keep(doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct())
+        fewer = scratch.keep(self.held().join(gone, "doc_id", "left_semi").groupBy(*KEY).agg(F.count("*").alias("fewer")))
+        rest = self.held().join(gone, "doc_id", "left_anti").join(fewer, KEY, "left_semi").groupBy(*KEY).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+        old = self.state().select(*KEY, "n_docs")
+        rows = scratch.keep(fewer.join(old, KEY).join(rest, KEY, "left").select(*KEY, F.lit(gen).alias("gen"), (F.col("n_docs") - F.col("fewer")).alias("n_docs"), "first_doc", "last_doc"))
+        lost = rows.where("n_docs = 0").select(self._shard().alias("shard"), "k1")
+        smaller = self.shard_filters().groupBy("shard").cogroup(lost.groupBy("shard")).applyInPandas(_without, "shard long, filter binary")
+        out = replace(self, gen=gen, deletions=(*self.deletions, gone.withColumn("gone", F.lit(gen))), references=(*self.references, rows))
+        return out._with_filters(scratch, smaller)
+
+    def _roomy(self, scratch: Scratch) -> LineIndex:
+        """With as many shards as its keys need; filters of another number of shards are built again from the exact table."""
+        bits = max(4, (self.keys // SHARD_KEYS).bit_length())
+        if self.bits < 0 or not self.filters:
+            return replace(self, bits=bits if self.bits < 0 else self.bits)
+        if bits < self.bits + 2:
+            return self
+        out = replace(self, bits=bits)
+        rebuilt = out.state().select(out._shard().alias("shard"), "k1").groupBy("shard").applyInPandas(_rebuilt, "shard long, filter binary")
+        return replace(out, filters=(scratch.keep(rebuilt.withColumn("gen", F.lit(self.gen))),))
 
     def _with_filters(self, scratch: Scratch, got: DataFrame) -> LineIndex:
-        """Filters that had no room are built again from the exact table."""
+        """With the shards' filters in ``got``; those that had no room are built again from the exact table."""
+        got = scratch.keep(got)
         full = got.where(F.length("filter") == 0).select("shard")
-        rebuilt = self.references.select("shard", "k1").join(full, "shard", "left_semi").groupBy("shard").applyInPandas(_rebuilt, "shard long, filter binary")
-        self.filters = scratch.keep(got.where(F.length("filter") > 0).unionByName(rebuilt))
-        return self
-
-    def delete(self, doc_ids: DataFrame) -> LineIndex:
-        """Without the documents in ``doc_ids`` (doc_id): counts go down, first holders move on, unheld keys leave the filters."""
-        scratch = Scratch(self.spark)
-        gone = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-        left = scratch.keep(self.postings.join(gone, "doc_id", "left_anti"))
-        refs = scratch.keep(left.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).withColumn("shard", self._shard()).select("k1", "k2", "shard", "n_docs", "first_doc", "last_doc"))
-        lost = self.references.join(refs, KEY, "left_anti").select("shard", "k1")
-        filters = scratch.keep(self.filters.groupBy("shard").cogroup(lost.groupBy("shard")).applyInPandas(_without, "shard long, filter binary"))
-        return LineIndex(self.spark, self.shards, left, refs, filters)
+        rebuilt = self.state().select(self._shard().alias("shard"), "k1").join(full, "shard", "left_semi").groupBy("shard").applyInPandas(_rebuilt, "shard long, filter binary")
+        part = got.where(F.length("filter") > 0) if full.isEmpty() else scratch.keep(got.where(F.length("filter") > 0).unionByName(rebuilt))
+        return replace(self, filters=(*self.filters, part.withColumn("gen", F.lit(self.gen))))
 
     def drops(self) -> DataFrame:
         """(doc_id, keys): the repeated keys that each document loses, all but its first holder's. A document's keys are bounded by its lines."""
-        repeated = self.references.where("first_doc < last_doc").select(*KEY, "first_doc")
+        none = self.spark.createDataFrame([], "doc_id long, k1 long, k2 long, first_doc long")
+        repeated = self.state().where("first_doc < last_doc").select(*KEY, "first_doc") if self.references else none.drop("doc_id")
         # nothing between the join and the exchange by document needs a key's rows together, so a frequent key's partition can be split
-        lost = self.postings.join(repeated, KEY).where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("k"))
+        held = self.held() if self.postings else none.drop("first_doc")
+        lost = held.join(repeated, KEY).where("doc_id > first_doc").groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("k"))
         return lost.select("doc_id", F.col("k.k1").alias("_tl_k1"), F.col("k.k2").alias("_tl_k2"))
 
 
+def indexed(docs: DataFrame, batches: int = BATCHES) -> LineIndex:
+    """An index of all rows of ``docs``, inserted in so many batches dealt by id, the later ones asking the filters that the earlier ones left."""
+    out = LineIndex.empty(docs.sparkSession)
+    for i in range(batches):
+        out = out.insert(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
+    return out
+
+
 def _rebuilt(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"shard": int(batch["shard"].iloc[0]), "filter": CuckooFilter.of(batch["k1"].tolist()).to_bytes()}])
 
 
 def _with(known: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
     """A shard's filter with further keys; empty if it has no room or had none."""
+    if not len(known):
+        return pd.DataFrame(columns=["shard", "filter"])
     data = known["filter"].iloc[0]
     if len(data) and len(more):
         f = CuckooFilter.from_bytes(data)
@@ -160,8 +228,9 @@ def _with(known: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
 
 
 def _without(known: pd.DataFrame, lost: pd.DataFrame) -> pd.DataFrame:
-    if not len(known):
-        return known[["shard", "filter"]]
+    """A shard's filter without the lost keys; no row for a shard that lost none."""
+    if not len(known) or not len(lost):
+        return pd.DataFrame(columns=["shard", "filter"])
     f = CuckooFilter.from_bytes(known["filter"].iloc[0])
     for k in lost["k1"].tolist():
         f.delete(k)

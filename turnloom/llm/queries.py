@@ -20,10 +20,10 @@ def query(f):
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from turnloom.llm.lines import LineIndex, dropped
+    from turnloom.llm.lines import dropped, indexed
 
     docs = documents(spark, sf_dir)
-    return dropped(docs, LineIndex.empty(spark).insert(docs), "kept_sha256 string")
+    return dropped(docs, indexed(docs), "kept_sha256 string")
 
 
 ORACLE["op9_line_dedup"] = r"""
