@@ -121,20 +121,56 @@ def test_toxicity_arcs_come_from_training_rows_only(spark, table, learned):
     assert a.arcs == b.arcs and np.allclose(a.weights, b.weights)
 
 
-def test_grammar_marks_negation_reports_and_targets():
+def marked(text, table=toxicity.TABLE):
+    """Marks of the clauses' insults and threats, what finds them aside."""
+    g = toxicity.Grammar({"idiot ": 3.0, "grumb": 2.0}, table)
+    return [m & ~(toxicity.MATCHED | toxicity.AIMED) for c in g.clauses(text) for _, m, _ in c]
+
+
+def test_grammar_marks_insults_and_threats():
+    n, r, t, again, threat = toxicity.NEGATED, toxicity.REPORTED, toxicity.TARGETED, toxicity.REPEATED, toxicity.THREATENED
+    for text, want in {
+        "an idiot here": [0],
+        "not an idiot": [n],
+        "not one two three idiot": [0],
+        "the man said idiot": [r],
+        "you are an idiot": [t],
+        "you are a very big and fat idiot": [0],
+        "an idiot is what you are": [t],
+        "an idiot grumbles": [0, again],
+        "they will kill you": [threat],
+        "you will kill": [threat],
+        "kill the old tree over there with you": [],
+        "he told them kill you": [threat | r],
+        "do not kill you": [threat | n],
+        "idiotic plans. nothing else": [],
+        "idiot. fine\nidiot! end": [0, 0],
+    }.items():
+        assert marked(text) == want, text
     g = toxicity.Grammar({"idiot ": 3.0, "grumb": 2.0})
-    one = lambda t: next(iter(g.clauses(t)))[0]
-    marked = lambda t: {m for m, x in enumerate(one(t)) if x}
-    assert marked("an idiot here") == {0}
-    assert marked("not an idiot") == {toxicity.NEGATED}
-    assert marked("not one two three idiot") == {0}
-    assert marked("the man said idiot") == {toxicity.REPORTED}
-    assert marked("you are an idiot") == {toxicity.TARGETED}
-    assert list(g.clauses("idiotic plans. nothing else")) == []
-    assert sum(one("grumbles and IDIOT. fine")) == 5.0
-    assert len(list(g.clauses("idiot. fine\nidiot! end"))) == 2
-    assert next(iter(g.clauses("they will kill you")))[1] == 1
-    assert len(toxicity.TABLE) == (toxicity.REACH + 1) * 4
+    assert sum(x for c in g.clauses("grumbles and IDIOT. fine") for x, _, _ in c) == 5.0
+    [[(_, _, y)]] = list(g.clauses("the man said you are not an idiot"))
+    assert abs(y - 3.0 * 0.5 * 0.7 * 1.3) < 1e-12
+
+
+@pytest.mark.parametrize("name, text", [("insult", "an idiot"), ("threat", "they will kill you"), ("target", "you idiot"), ("negation", "not an idiot"), ("reported", "she says idiot")])
+def test_each_transducer_changes_the_score(name, text):
+    silent = toxicity.compose(*(toxicity.Transducer({}) if k == name else p for k, p in toxicity.PARTS.items()))
+    g, other = toxicity.Grammar({"idiot ": 3.0}), toxicity.Grammar({"idiot ": 3.0}, silent)
+    assert g.features(text) != other.features(text)
+
+
+def test_composed_table_is_the_transducers_side_by_side():
+    r = random.Random(12)
+    for _ in range(200):
+        state, apart = 0, [0] * 5
+        for _ in range(12):
+            c = r.randrange(6)
+            state, marks, weight = toxicity.TABLE[state][c]
+            read = [p.read(s, c) for p, s in zip(toxicity.PARTS.values(), apart, strict=True)]
+            apart = [s for s, _ in read]
+            assert marks == sum(m for _, m in read)
+            assert abs(weight - np.prod([w for m, w in toxicity.WEIGHTS.items() if marks & m])) < 1e-12
 
 
 def test_models_without_labels(spark, table):

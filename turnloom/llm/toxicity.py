@@ -1,15 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers run in a cascade over the words of a clause:
+Five weighted transducers read the words of a clause side by side:
 
-* insult: words to weights, arcs being word stems learned from labelled documents beside a few given ones;
-* threat: verbs of harm;
-* target: words that point at a person;
-* negation: after a negating word the next few words' matches are marked as negated;
-* reported speech: after a verb of saying, the matches up to the clause's end are marked as reported.
+* insult: words whose weight comes from arcs learned from labelled documents, word stems beside a few given ones; close repeats weigh more;
+* threat: a verb of harm and a word that points at a person, within a few words of each other, either way round;
+* target: insults shortly after, or before, a word that points at a person;
+* negation: after a negating word the next few words' matches are negated;
+* reported speech: after a verb of saying, the matches up to the clause's end are reported.
 
-The last four are automata over word classes; they are composed into one table before any text is read. A clause's score is the weight
-of its best arcs under the marks they got; a document's score comes from its matched clauses through a logistic fit.
+They are composed into one table before any text is read: its states are those of all five, its arcs carry all marks and the product of all
+weights. A clause's score is the sum of its matches by those weights; a document's score comes from its matched clauses through a
+logistic fit.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import arrow_types, record, short_batches
+from turnloom.functions.arrow import short
+from turnloom.llm.common import arrow_types, record
 from turnloom.llm.docstats import labelled_sample
 
 #: Labelled rows that the grammar is learned from, at most.
@@ -34,8 +36,8 @@ SAMPLE_ROWS = 24_000
 MOST_ARCS = 6_000
 #: Lengths of the stems that may become arcs; 0 is the whole word.
 STEMS = (0, 3, 4, 5, 6, 7, 8)
-#: Words after a negation that it reaches.
-REACH = 3
+#: Words after a negation, an insult or a verb of harm that it reaches, and words after one that points at a person.
+REACH, AIM = 3, 4
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Words of the closed classes, English, German, French and Spanish.
@@ -54,44 +56,79 @@ _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 _CLAUSE_END = re.compile(r"[.?!;\n]")
 
 
+NEGATED, REPORTED, TARGETED, REPEATED, MATCHED, THREATENED, AIMED = (1 << i for i in range(7))
+#: What a match weighs under each mark; a threat's own weight is that of its two words together.
+WEIGHTS = {NEGATED: 0.5, REPORTED: 0.7, TARGETED: 1.3, REPEATED: 1.1, THREATENED: 2.0}
+
+
 @dataclass(frozen=True)
 class Transducer:
-    """States from 0, and for each (state, class): next state and marks put on a match there."""
+    """For each (state, class) the next state and the marks on what is matched there; class -1 is any other, and without it states stay."""
+
+    arcs: dict[tuple[int, int], tuple[int, int]]
+
+    def read(self, state: int, symbol: int) -> tuple[int, int]:
+        return self.arcs.get((state, symbol), self.arcs.get((state, -1), (state, 0)))
+
+
+def _insult() -> Transducer:
+    down = {(s, -1): (max(0, s - 1), 0) for s in range(REACH + 1)}
+    return Transducer(down | {(s, INSULT): (REACH, MATCHED | REPEATED * (s > 0)) for s in range(REACH + 1)})
+
+
+def _threat() -> Transducer:
+    """States 1 to REACH wait for a person, those above for a verb of harm."""
+    verb, person = range(1, REACH + 1), range(REACH + 1, 2 * REACH + 1)
+    arcs = {(0, -1): (0, 0)} | {(s, -1): (s - 1, 0) for s in verb} | {(s, -1): (s - 1 if s > REACH + 1 else 0, 0) for s in person}
+    for s in (0, *verb, *person):
+        arcs[s, THREAT] = (0, THREATENED) if s in person else (REACH, 0)
+        arcs[s, TARGET] = (0, THREATENED) if s in verb else (2 * REACH, 0)
+    return Transducer(arcs)
+
+
+def _target() -> Transducer:
+    """A state counts words left since a person, and since an insult that no person came before."""
+    number = {(a, i): a * (REACH + 1) + i for a in range(AIM + 1) for i in range(REACH + 1)}
+    arcs = {}
+    for (a, i), s in number.items():
+        arcs[s, -1] = (number[max(0, a - 1), max(0, i - 1)], 0)
+        arcs[s, TARGET] = (number[AIM, 0], AIMED * (i > 0))
+        arcs[s, INSULT] = (number[max(0, a - 1), 0], TARGETED) if a else (number[0, REACH], 0)
+    return Transducer(arcs)
+
+
+def _negation() -> Transducer:
+    mark = lambda s: NEGATED * (s > 0)
+    return Transducer({(s, -1): (max(0, s - 1), mark(s - 1)) for s in range(REACH + 1)} | {(s, NEGATION): (REACH, NEGATED) for s in range(REACH + 1)})
 
-    states: int
-    step: dict[tuple[int, int], int]
-    marks: dict[int, int]
 
-    def after(self, state: int, symbol: int) -> int:
-        return self.step.get((state, symbol), self.step.get((state, -1), state))
+def _reported() -> Transducer:
+    return Transducer({(0, REPORT): (1, 0), (1, -1): (1, REPORTED)})
 
 
-NEGATED, REPORTED, TARGETED = 1, 2, 4
-_negation = Transducer(REACH + 1, {(s, -1): max(0, s - 1) for s in range(REACH + 1)} | {(s, NEGATION): REACH for s in range(REACH + 1)}, {s: NEGATED for s in range(1, REACH + 1)})
-_reported = Transducer(2, {(0, REPORT): 1}, {1: REPORTED})
-_target = Transducer(2, {(0, TARGET): 1}, {1: TARGETED})
+PARTS = {"insult": _insult(), "threat": _threat(), "target": _target(), "negation": _negation(), "reported": _reported()}
 
 
-def compose(*parts: Transducer) -> tuple[list[list[int]], list[int]]:
-    """The product's table, states by classes, and each state's marks; only states that can be reached."""
+def compose(*parts: Transducer) -> list[list[tuple[int, int, float]]]:
+    """The product's table, states by classes: next state, marks, and the product of the marks' weights. Only states that can be reached."""
     start = (0,) * len(parts)
-    number, todo, table, marks = {start: 0}, [start], [], []
+    number, todo, table = {start: 0}, [start], []
     for state in todo:
         row = []
         for symbol in range(6):
-            to = tuple(p.after(s, symbol) for p, s in zip(parts, state, strict=True))
+            read = [p.read(s, symbol) for p, s in zip(parts, state, strict=True)]
+            to, marks = tuple(s for s, _ in read), sum(m for _, m in read)
             if to not in number:
                 number[to] = len(number)
                 todo.append(to)
-            row.append(number[to])
+            row.append((number[to], marks, math.prod(w for m, w in WEIGHTS.items() if marks & m)))
         table.append(row)
-        marks.append(sum(p.marks.get(s, 0) for p, s in zip(parts, state, strict=True)))
-    return table, marks
+    return table
 
 
-TABLE, MARKS = compose(_negation, _reported, _target)
+TABLE = compose(*PARTS.values())
 #: Features of a document: see ``Grammar.features``.
-N_FEATURES = 8
+N_FEATURES = 10
 
 
 def stems(word: str) -> list[str]:
@@ -103,10 +140,10 @@ def stems(word: str) -> list[str]:
 class Grammar:
     """The learned arcs, ready to run: an automaton finds words that may match; clauses with none cost nothing."""
 
-    def __init__(self, arcs: dict[str, float]):
+    def __init__(self, arcs: dict[str, float], table: list[list[tuple[int, int, float]]] = TABLE):
         import ahocorasick
 
-        self.arcs = arcs
+        self.arcs, self.table = arcs, table
         self.find = ahocorasick.Automaton()
         for a in arcs:
             self.find.add_word(a.rstrip(" "), len(a.rstrip(" ")))
@@ -122,7 +159,7 @@ class Grammar:
         return max([get(s, 0.0) for s in stems(word)])
 
     def clauses(self, text: str):
-        """(insult weight by marks, threats, words) of each clause that has a match."""
+        """The matches, (weight of the words, marks, weight by the marks), of each clause that has one."""
         low = text.lower()
         if not len(self.find):
             return
@@ -142,38 +179,50 @@ class Grammar:
             if got is not None:
                 yield got
 
-    def clause(self, words: list[str]) -> tuple[list[float], int, int] | None:
-        by_mark, threats, state, found = [0.0] * 8, 0, 0, False
-        later_target = any(GIVEN.get(w) == TARGET for w in words)
+    def clause(self, words: list[str]) -> list[tuple[float, int, float]] | None:
+        out: list[tuple[float, int, float]] = []
+        state, insult = 0, -1
         for w in words:
             c = GIVEN.get(w, OTHER)
             x = self.weight(w) if c == OTHER else 0.0
-            if x > 0:
-                c = INSULT
-            state = TABLE[state][c]
-            if c == INSULT:
-                found = True
-                by_mark[MARKS[state] | TARGETED * later_target] += x
-            elif c == THREAT and later_target and not MARKS[state] & NEGATED:
-                found, threats = True, threats + 1
-        return (by_mark, threats, len(words)) if found else None
+            state, marks, factor = self.table[state][INSULT if x > 0 else c]
+            if marks & MATCHED:
+                insult = len(out)
+                out.append((x, marks, x * factor))
+            if marks & THREATENED:
+                out.append((0.0, marks & ~MATCHED, factor))
+            if marks & AIMED and insult >= 0:  # the insult that this person follows
+                x, m, y = out[insult]
+                out[insult] = (x, m | TARGETED, y * WEIGHTS[TARGETED])
+        return out or None
 
     def features(self, text: str | None) -> list[float]:
-        """The document's matched clauses in numbers: plain, negated, reported and targeted weight, best clause, their count and share."""
+        """The document's matched clauses in numbers: weight by marks, direct and other threats, best clause, their count and share."""
         out = [0.0] * N_FEATURES
         if not text:
             return out
-        plain = negated = reported = targeted = best = 0.0
-        n = threats = 0
-        for by_mark, t, _ in self.clauses(text):
-            p = sum(x for m, x in enumerate(by_mark) if not m & (NEGATED | REPORTED))
-            g = sum(x for m, x in enumerate(by_mark) if m & NEGATED)
-            r = sum(x for m, x in enumerate(by_mark) if m & REPORTED and not m & NEGATED)
-            plain, negated, reported, threats, n = plain + p, negated + g, reported + r, threats + t, n + 1
-            targeted += sum(x for m, x in enumerate(by_mark) if m & TARGETED and not m & (NEGATED | REPORTED))
-            best = max(best, p + 0.5 * g + 0.7 * r)
-        total = plain + negated + reported
-        return [math.log1p(plain), math.log1p(negated), math.log1p(reported), math.log1p(targeted), best, math.log1p(threats), math.log1p(n), total / (5.0 + len(text) / 100.0)]
+        plain = negated = reported = targeted = repeated = threats = indirect = best = total = 0.0
+        n = 0
+        for matches in self.clauses(text):
+            n += 1
+            score = 0.0
+            for x, m, y in matches:
+                score += y
+                if m & THREATENED:
+                    if m & (NEGATED | REPORTED):
+                        indirect += 1
+                    else:
+                        threats += 1
+                elif m & NEGATED:
+                    negated += x
+                elif m & REPORTED:
+                    reported += x
+                else:
+                    plain += x
+                    targeted += x * bool(m & TARGETED)
+                    repeated += x * bool(m & REPEATED)
+            best, total = max(best, score), total + score
+        return [math.log1p(plain), math.log1p(negated), math.log1p(reported), math.log1p(targeted), best, math.log1p(threats), math.log1p(n), total / (5.0 + len(text) / 100.0), math.log1p(indirect), math.log1p(repeated)]
 
 
 @dataclass(frozen=True)
@@ -195,7 +244,7 @@ def _arc_counts(sample: DataFrame, wanted: dict[str, None] | None = None) -> Dat
 
     def run(batches):
         seen: dict[tuple[int, int], Counter] = {}
-        for b in batches:
+        for b in short(batches):
             for t, f, y in zip(b.column("text").to_pylist(), b.column("fold").to_pylist(), b.column("y").to_pylist(), strict=True):
                 own = {s for w in set(_WORD.findall((t or "").lower())) if w not in GIVEN for s in stems(w)}
                 seen.setdefault((f, y), Counter()).update(own if wanted is None else own & wanted.keys())
@@ -253,7 +302,7 @@ def _feature_rows(sample: DataFrame, arcs: list[dict[str, float]]) -> DataFrame:
 
     def run(batches):
         g = [Grammar(a) for a in arcs]
-        for b in batches:
+        for b in short(batches):
             x = [g[f].features(t) for t, f in zip(b.column("text").to_pylist(), b.column("fold").to_pylist(), strict=True)]
             yield record({"doc_id": b.column("doc_id"), "y": b.column("y"), "x": x}, types)
 
@@ -265,7 +314,6 @@ def fit(docs: DataFrame, marks: DataFrame, usable: Column, rows: int = SAMPLE_RO
 
     Arcs are counted in two folds; each document's features for the fit come from arcs that did not see it.
     """
-    short_batches(docs.sparkSession)
     sample = labelled_sample(docs, marks.where(usable), "toxic", rows).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")).persist()
     try:
         size = {(r["fold"], r["y"]): r["count"] for r in sample.groupBy("fold", "y").count().collect()}
@@ -288,7 +336,7 @@ def fit(docs: DataFrame, marks: DataFrame, usable: Column, rows: int = SAMPLE_RO
     x = np.array(got["x"].tolist(), float).reshape(-1, N_FEATURES)
     y = got["y"].to_numpy(float)
     if not len(x) or y.min() == y.max():
-        mean, scale, w = np.zeros(N_FEATURES), np.ones(N_FEATURES), np.array([0, 0, 0, 0, 1.0, 1.0, 0, 0, -2.0])
+        mean, scale, w = np.zeros(N_FEATURES), np.ones(N_FEATURES), np.array([0, 0, 0, 0, 1.0, 1.0, 0, 0, 0, 0, -2.0])
     else:
         mean, scale, w = _logistic(x, y)
     return ToxicityModel(arcs[2], mean, scale, w)
@@ -302,12 +350,11 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     Null ids stay null; repeated rows and ties get equal scores; an empty table gives an empty one; other columns are not read.
     """
-    short_batches(docs.sparkSession)
     types = arrow_types(SCORES)
 
     def run(batches):
         g = Grammar(model.arcs)
-        for b in batches:
+        for b in short(batches):
             if b.num_rows:
                 x = np.array([g.features(t) for t in b.column("text").to_pylist()])
                 n = np.rint(np.expm1(x[:, 6])).astype(np.int32)
