@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnloom.llm import docstats, rff, rules, toxicity
-from turnloom.llm.bpe import DIGESTS, Bpe, decode, digests, encode, id_lists, split_words
+from turnloom.llm.bpe import Bpe, decode, digests, encode, split_words
 from turnloom.llm.common import held_out
 from turnloom.llm.gif import Frame, GifError, digests as gif_digests, encode as gif_encode, encode_frames, frames_table, histogram, lzw_decode, lzw_encode, media_table, padded, parse, render
 from turnloom.llm.packing import bucket_bounds, packed
@@ -220,8 +220,8 @@ def tokenizer():
 ODD = ["", None, " \n", "Hello, wörld!! it's 12,5 é 😀 <|endoftext|> x<|startoftext|>y", "a\x1cb\x1d c", "é ́x İΣ ς　z​ w", "x" * 3000, "don't we've 'S 'LL", "tab\tnl\r\n\x0b\x85end", "ＡＢ １２ ² Ⅷ"]
 
 
-@pytest.mark.parametrize("hot", [1 << 19, 2, 0])
-def test_bpe_matches_the_library(table, tokenizer, hot):
+@pytest.mark.parametrize("stretch", [8 << 20, 700, 1])
+def test_bpe_matches_the_library(table, tokenizer, stretch):
     bpe, t = tokenizer
     r = random.Random(6)
     rows = list(enumerate(ODD)) + [(100 + i, " ".join("".join(r.choice("abcdé'.,19") for _ in range(r.randint(1, 9))) for _ in range(60))) for i in range(30)]
@@ -230,16 +230,33 @@ def test_bpe_matches_the_library(table, tokenizer, hot):
     for d, x in rows:
         ids = t.encode(x or "", add_special_tokens=False).ids
         want[d] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest())
-    out = encode(table(rows), bpe, digests(bpe), DIGESTS, hot).collect()
+    out = digests(table(rows), bpe, stretch).collect()
     assert len(out) == len(rows) and all(tuple(x)[1:] == want[x["doc_id"]] for x in out)
 
 
 def test_ids_decode_through_the_piece_table(table, tokenizer):
     bpe, t = tokenizer
-    ids = encode(table(list(enumerate(ODD))), bpe, id_lists, "ids array<long>")
+    ids = encode(table(list(enumerate(ODD))), bpe)
     assert {r["doc_id"]: r["text"] for r in decode(ids, bpe).collect()} == {d: t.decode(t.encode(x or "", add_special_tokens=False).ids, skip_special_tokens=False) for d, x in enumerate(ODD)}
 
 
+def test_decoded_digests_come_from_the_piece_table(table, tokenizer, monkeypatch):
+    bpe, _ = tokenizer
+    rows = [(1, "hello there"), (2, "")]
+    before = {r["doc_id"]: r["decoded_sha256"] for r in digests(table(rows), bpe).collect()}
+    pieces = bpe.pieces()
+    monkeypatch.setattr(Bpe, "pieces", lambda self: [p + "?" for p in pieces])
+    after = {r["doc_id"]: r["decoded_sha256"] for r in digests(table(rows), bpe).collect()}
+    assert before[1] != after[1] and before[2] == after[2]
+
+
+def test_a_tokenizer_with_a_decoder_is_refused(tmp_path):
+    path = tmp_path / "t.json"
+    path.write_text('{"decoder": {"type": "ByteLevel"}}')
+    with pytest.raises(ValueError):
+        Bpe.load(str(path))
+
+
 def test_words_split_like_the_pattern():
     assert split_words("a\x1cb c d") == ["a\x1cb", "c", "d"] and split_words(" a  b ") == ["a", "b"]
 
@@ -356,7 +373,7 @@ def test_awkward_rows(awkward, learned, tokenizer, op):
         "toxicity": lambda d: toxicity.scored(d, toxicity.fit(docs, marks, F.lit(True))),
         "quality": lambda d: rff.scored(d, rff.fit(docs, marks, F.lit(True))),
         "rules": lambda d: rules.judged(d, rules.fit_decision_list(docs, marks)),
-        "bpe": lambda d: encode(d, tokenizer[0], digests(tokenizer[0]), DIGESTS),
+        "bpe": lambda d: digests(d, tokenizer[0]),
         "gif": lambda d: gif_digests(media_table(d)),
         "packing": packed,
     }[op]

@@ -57,8 +57,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(docs, rules).select("doc_id", *BASE, "base_failed", "kept")
 
 
-
-
 @query
 def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnloom.llm.gif import digests, media_table
@@ -70,10 +68,9 @@ def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from turnloom.llm.bpe import DIGESTS, Bpe, digests, encode
+    from turnloom.llm.bpe import Bpe, digests
 
-    bpe = Bpe.load(public_tokenizers.path("word_bpe_49k.json"))
-    return encode(documents(spark, sf_dir), bpe, digests(bpe), DIGESTS)
+    return digests(documents(spark, sf_dir), Bpe.load(public_tokenizers.path("word_bpe_49k.json")))
 
 
 @query
