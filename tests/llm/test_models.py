@@ -294,7 +294,16 @@ def test_media_reads_back(table):
         r = out[d]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
         assert r["media_sha256"] == hashlib.sha256(gif_encode(p)).hexdigest()
-    assert out[4]["n_frames"] == 4
+    assert len(out[4]["frames"]) == 4
+    for d, t in rows:
+        p, canvas, seen = np.frombuffer(padded((t or "").encode()), np.uint8), None, []
+        for i in range(0, len(p), 65_536):  # a short last frame leaves what was shown below it
+            canvas = np.concatenate([p[i : i + 65_536], canvas[len(p) - i :] if canvas is not None else p[:0]])
+            seen.append(np.bincount(canvas >> 4, minlength=16).tolist())
+        assert all([f[c] for f in out[d]["frames"]] == seen for c in ("red", "green", "blue"))
+        assert [f["start_ms"] for f in out[d]["frames"]] == [40 * i for i in range(len(out[d]["frames"]))]
+        told = ";".join(f"{f['width']}x{f['height']}@{f['start_ms']}+{f['delay_ms']}:" + "/".join(",".join(map(str, f[c])) for c in ("red", "green", "blue")) for f in out[d]["frames"])
+        assert out[d]["feature"] == told
 
 
 def test_disposal_transparency_interlace(spark):
@@ -310,7 +319,7 @@ def test_disposal_transparency_interlace(spark):
         assert tuple(b[1, 1]) == (0, 0, 255, 255) and tuple(b[1, 2]) == ((255, 0, 0, 255) if clear == 0 else (0, 0, 0, 255))
         assert tuple(c[1, 1]) == {1: (0, 0, 255, 255), 2: (0, 0, 0, 0), 3: (255, 0, 0, 255)}[disposal]
     rows = frames_table(spark.createDataFrame([(7, bytearray(data)), (8, None)], "doc_id long, media binary")).orderBy("frame").collect()
-    assert [(r["frame"], r["start_ms"], r["delay_ms"]) for r in rows] == [(0, 0, 50), (1, 50, 50), (2, 100, 50)] and sum(rows[0]["histogram"]) == 16
+    assert [(r["frame"], r["start_ms"], r["delay_ms"]) for r in rows] == [(0, 0, 50), (1, 50, 50), (2, 100, 50)] and [sum(rows[0][c]) for c in ("red", "green", "blue")] == [16] * 3 and rows[0]["red"][15] == 16
     lines = bytes(range(8))
     order = [0, 4, 2, 6, 1, 3, 5, 7]
     stream = lzw_encode(bytes(lines[i] for i in order))
@@ -324,12 +333,12 @@ def test_disposal_transparency_interlace(spark):
 def test_histograms_tell_colours_of_equal_brightness_apart():
     red, green = (np.array([[[r, g, 0, 255]] * 2], np.uint8) for r, g in ((200, 0), (0, 102)))
     assert (299 * 200) // 1000 // 16 == (587 * 102) // 1000 // 16
-    assert histogram(red).sum() == histogram(green).sum() == 2 and (histogram(red) != histogram(green)).any()
+    assert histogram(red).sum() == histogram(green).sum() == 6 and (histogram(red) != histogram(green)).any()
     grey = np.repeat(np.arange(256, dtype=np.uint8), 4).reshape(16, 16, 4)
     grey[..., 3] = 255
-    assert [x for x in histogram(grey).tolist() if x] == [16] * 16
+    assert histogram(grey).tolist() == [[16] * 16] * 3
     grey[0, :, 3] = 0
-    assert histogram(grey).sum() == 240
+    assert histogram(grey).sum() == 720
 
 
 def test_bounds_have_the_least_padding():

@@ -13,9 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from turnloom.llm.common import arrow_types, record, short_batches, text_bytes
+from turnloom.functions.arrow import grown, short
+from turnloom.llm.common import arrow_types, record, text_bytes
 
 WIDTH = 64
 #: Rows of one frame: longer payloads go on in the next frame.
@@ -23,6 +26,8 @@ FRAME_ROWS = 1024
 #: Hundredths of a second that each frame is shown.
 DELAY = 4
 TABLE = 4096
+#: Bins of each colour's histogram, a power of two.
+BINS = 16
 GRAY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 
 
@@ -278,11 +283,10 @@ def render(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray]
             canvas = before
 
 
-def histogram(canvas: np.ndarray, bins: int = 16) -> np.ndarray:
-    """Opaque pixels by colour: equal bins of red, by bins of green, by bins of blue, blue's running fastest."""
-    c = (canvas[..., :3].astype(np.uint32) * bins) >> 8
-    place = (c[..., 0] * bins + c[..., 1]) * bins + c[..., 2]
-    return np.bincount(place[canvas[..., 3] > 0], minlength=bins**3)
+def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Opaque pixels by equal bins of red, of green and of blue: (3, bins)."""
+    seen = canvas[..., :3][canvas[..., 3] > 0] >> (8 - bins.bit_length() + 1)
+    return np.stack([np.bincount(seen[:, c], minlength=bins) for c in range(3)])
 
 
 def padded(text: bytes, unit: int = WIDTH) -> bytes:
@@ -290,67 +294,78 @@ def padded(text: bytes, unit: int = WIDTH) -> bytes:
     return text + b"\0" * (-len(text) % unit if text else unit)
 
 
-FRAME_SCHEMA = "doc_id long, frame int, start_ms long, delay_ms long, disposal int, width int, height int, rgba binary, histogram array<long>"
+def timed(media: bytes) -> Iterator[tuple[dict, np.ndarray]]:
+    """A GIF's frames in order: when and where each shows, the colour histogram of what is then seen, and the canvas."""
+    w, h, _, frames = parse(media)
+    start = 0
+    for i, (f, canvas) in enumerate(zip(frames, render(w, h, frames), strict=True)):
+        red, green, blue = histogram(canvas).tolist()
+        yield {"frame": i, "start_ms": start, "delay_ms": 10 * f.delay, "disposal": f.disposal, "width": w, "height": h, "red": red, "green": green, "blue": blue}, canvas
+        start += 10 * f.delay
+
+
+FRAME = "frame int, start_ms long, delay_ms long, disposal int, width int, height int, red array<long>, green array<long>, blue array<long>"
 
 
 def frames_table(media: DataFrame, column: str = "media") -> DataFrame:
-    """One row for each frame of each GIF in ``media`` (doc_id, ``column``): when it shows, the canvas and its histogram.
+    """One row for each frame of each GIF in ``media`` (doc_id, ``column``): when it shows, its colour histogram and the canvas in RGBA.
 
     Null media has no frames; bytes that are no GIF raise.
     """
-    short_batches(media.sparkSession)
-    types = arrow_types(FRAME_SCHEMA)
+    schema = f"doc_id long, {FRAME}, rgba binary"
+    types = arrow_types(schema)
 
     def run(batches):
-        for b in batches:
+        for b in short(batches):
             for d, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if m is None:
-                    continue
-                w, h, _, frames = parse(m)
-                start = 0
-                for i, (f, c) in enumerate(zip(frames, render(w, h, frames), strict=True)):
-                    yield record({"doc_id": [d], "frame": [i], "start_ms": [start], "delay_ms": [10 * f.delay], "disposal": [f.disposal], "width": [w], "height": [h], "rgba": [c.tobytes()], "histogram": [histogram(c).tolist()]}, types)
-                    start += 10 * f.delay
+                for f, canvas in timed(m) if m is not None else ():
+                    yield record({"doc_id": [d], "rgba": [canvas.tobytes()]} | {k: [v] for k, v in f.items()}, types)
 
-    return media.select("doc_id", column).mapInArrow(run, FRAME_SCHEMA)
+    return media.select("doc_id", column).mapInArrow(run, schema)
 
 
 def media_table(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text's bytes, padded, as a GIF."""
-    short_batches(docs.sparkSession)
     schema = "doc_id long, n_bytes long, media binary"
     types = arrow_types(schema)
 
     def run(batches):
-        for b in batches:
-            texts = text_bytes(b)
-            yield record({"doc_id": b.column("doc_id"), "n_bytes": [len(t) for t in texts], "media": [encode(padded(t)) for t in texts]}, types)
+        for b in short(batches):
+            for part, media in grown(b, (encode(padded(t)) for t in text_bytes(b))):
+                yield record({"doc_id": part.column("doc_id"), "n_bytes": [len(t) for t in text_bytes(part)], "media": media}, types)
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
 
 
-DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int, duration_ms long, feature string"
+STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
 
 
-def digests(media: DataFrame) -> DataFrame:
-    """What the stored GIFs hold: payload digests read back from their code streams, and features of the frames shown."""
-    short_batches(media.sparkSession)
-    types = arrow_types(DIGESTS)
+def stored(media: DataFrame) -> DataFrame:
+    """What the stored GIFs hold: digests of the payload read back from their code streams, and ``frames``, the timed frames with their histograms.
+
+    Frames are kept without their pixels, which the media has; ``frames_table`` gives them.
+    """
+    types = arrow_types(STORED) | {"frames": pa.list_(pa.struct(list(arrow_types(FRAME).items())))}
 
     def one(n: int, m: bytes) -> tuple:
-        w, h, _, frames = parse(m)
-        payload = b"".join(f.indices for f in frames)
-        hist = sum(histogram(c) for c in render(w, h, frames))
-        held = np.flatnonzero(hist)
-        ms = sum(10 * f.delay for f in frames)
-        return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), len(frames), ms, f"{len(frames)}x{w}x{h};{ms};" + ",".join(map(str, hist.tolist()))
+        payload = b"".join(f.indices for f in parse(m)[3])
+        return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), [f for f, _ in timed(m)]
 
     def run(batches):
         names = list(types)[1:]
-        for b in batches:
-            if b.num_rows:
-                cols = zip(*map(one, b.column("n_bytes").to_pylist(), b.column("media").to_pylist()), strict=True)
-                yield record({"doc_id": b.column("doc_id")} | dict(zip(names, cols, strict=True)), types)
+        for b in short(batches):
+            cols = zip(*map(one, b.column("n_bytes").to_pylist(), b.column("media").to_pylist()), strict=True)
+            yield record({"doc_id": b.column("doc_id")} | dict(zip(names, cols, strict=True)), types)
+
+    fields = ",".join(x.strip().replace(" ", ":", 1) for x in FRAME.split(", "))
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"{STORED}, frames array<struct<{fields}>>")
+
+
+def digests(media: DataFrame) -> DataFrame:
+    """``stored`` with ``feature``: from the frames, for each its size, when it shows and its colours."""
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGESTS)
+    def told(f):
+        colours = [F.concat_ws(",", F.transform(f[c], lambda n: n.cast("string"))) for c in ("red", "green", "blue")]
+        return F.concat(F.concat_ws("x", f["width"], f["height"]), F.lit("@"), F.concat_ws("+", f["start_ms"], f["delay_ms"]), F.lit(":"), F.concat_ws("/", *colours))
 
+    return stored(media).withColumn("feature", F.concat_ws(";", F.transform("frames", told)))
