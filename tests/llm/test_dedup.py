@@ -10,7 +10,7 @@ import pytest
 from turnloom.llm.components import components
 from turnloom.llm.cuckoo import CuckooFilter
 from turnloom.llm.lines import LineIndex, dropped, indexed, lines_removed
-from turnloom.llm import near
+from turnloom.llm import near, suffixes
 from turnloom.llm.near import near_duplicates, one_of_each
 from turnloom.llm.substrings import COVER, PERIOD, repeats_removed
 from turnloom.llm.substrings import without_repeats as without_words
@@ -164,7 +164,73 @@ def test_bytes_match_brute_force(table):
         want[d] = (len(m), sum(m), sum(y and (i == 0 or not m[i - 1]) for i, y in enumerate(m)), sha(kept))
     assert any(x[1] for x in want.values())
     assert got(without_bytes(table(rows), "kept_sha256 string")) == want
-    assert got(without_bytes(table(rows), "kept_sha256 string", large=2)) == want
+    for large in (0, 2, 40):
+        assert got(without_bytes(table(rows), "kept_sha256 string", large=large)) == want
+
+
+def brute_bytes(rows):
+    units = {d: t.encode() for d, t in rows}
+    return {d: (len(m), sum(m), sum(y and (i == 0 or not m[i - 1]) for i, y in enumerate(m)), sha(bytes(x for x, y in zip(units[d], m, strict=True) if not y))) for d, m in windows_gone(units, 100).items()}
+
+
+def test_runs_that_share_a_minimizer_in_great_number(table):
+    r = random.Random(3)
+    line = "".join(r.choice("abcdefgh ") for _ in range(110))
+    rows = [(i, "".join(r.choice("xyz") for _ in range(9)) + str(i) + line + str(i % 70) + "".join(r.choice("uvw") for _ in range(90))) for i in range(300)]
+    rows += [(400 + i, rows[i][1][5:]) for i in range(0, 40, 7)]
+    want = brute_bytes(rows)
+    assert sum(x[1] > 0 for x in want.values()) > 250
+    for large in (20_000, 100, 3):  # the hot minimizers have 300 runs
+        assert got(without_bytes(table(rows), "kept_sha256 string", large=large)) == want
+
+
+def test_tries_and_quicksort_decide_what_is_equal(monkeypatch):
+    r = random.Random(8)
+    data = b"".join(bytes(r.choice(b"ab") for _ in range(90)) for _ in range(3)) * 2
+    starts, groups = np.arange(len(data) - 100), np.zeros(len(data) - 100, np.int64)
+    _, same = deep_shallow(data, starts, groups, 100)
+    assert len(set(same.tolist())) < len(same)
+    monkeypatch.setattr(suffixes, "blind_trie", lambda strings: [[i] for i in range(len(strings))])
+    assert len(set(deep_shallow(data, starts, groups, 100)[1].tolist())) == len(same)
+    monkeypatch.undo()
+    monkeypatch.setattr(suffixes, "multikey", lambda words, starts, groups, depth: (np.arange(len(starts)), np.empty(0, np.int64), np.empty(0, np.int64)))
+    assert len(set(deep_shallow(data, starts, groups, 100)[1].tolist())) == len(same)
+
+
+def test_multikey_quicksort_orders_segments():
+    r = np.random.default_rng(2)
+    for n, kinds in ((0, 2), (1, 2), (700, 2), (700, 200), (3000, 5)):
+        keys = r.integers(0, kinds, (n + 64,)).astype(np.uint64)
+        starts, groups = r.permutation(n), r.integers(0, 4, n)
+        order, first, size = suffixes.multikey(lambda at: keys[at], starts, groups, 16)
+        row = [(groups[i], keys[starts[i]], keys[starts[i] + 8]) for i in order]
+        assert row == sorted(row)
+        runs_ = {f: k for f, k in zip(first.tolist(), size.tolist(), strict=True)}
+        want, i = {}, 0
+        while i < n:
+            j = i
+            while j < n and row[j] == row[i]:
+                j += 1
+            if j - i > 1:
+                want[i] = j - i
+            i = j
+        assert runs_ == want
+
+
+def test_parts_of_equal_windows_have_one_key():
+    r = random.Random(5)
+    data = bytes(r.choice(b"abc ") for _ in range(3000))
+    data += data[700:1500]
+    found = {}
+    for windows in (8, 1):
+        for h, place, first, count in zip(*(x.tolist() for x in runs(data)), strict=True):
+            run = data[first : first + count + 99]
+            seen = []
+            for key, k, n in suffixes.parts(run, count, 100, windows):
+                seen += range(k, k + n)
+                for i in range(k, k + n):
+                    assert found.setdefault((windows, run[i : i + 100]), key) == key
+            assert seen == list(range(count))
 
 
 def test_runs_cover_all_windows_once():
@@ -183,8 +249,8 @@ def test_deep_shallow_sorts_and_names_equal_suffixes():
     keys = [(groups[i], data[starts[i] : starts[i] + 100]) for i in order]
     assert keys == sorted(keys)
     assert [same[i] == same[i + 1] for i in range(399)] == [keys[i] == keys[i + 1] for i in range(399)]
-    strings = list({bytes(r.choice(b"ab") for _ in range(12)) for _ in range(200)})
-    assert [strings[i] for i in blind_trie(strings)] == sorted(strings)
+    strings = [bytes(r.choice(b"ab") for _ in range(7)) for _ in range(200)]
+    assert [[strings[i] for i in leaf] for leaf in blind_trie(strings)] == [[x] * strings.count(x) for x in sorted(set(strings))]
 
 
 def test_cover_has_every_difference():

@@ -6,7 +6,11 @@ have the same minimizer: the place in them whose short hash is lowest. So:
 1. each document's windows fall into runs with one minimizer; minimizers whose hash occurs once in the corpus are left out;
 2. the remaining runs meet by their minimizer, equal ones from one task as a single row;
 3. where runs meet, their windows' suffixes are sorted to WIDTH bytes: multikey quicksort, eight bytes a key, to a shallow depth,
-   then blind tries order the groups that have a long common prefix. Equal neighbours are copies; all but the earliest are removed.
+   then blind tries order the groups that have a long common prefix. Windows that end in one leaf are copies; all but the earliest go.
+
+Where more than LARGE runs share a minimizer they are split by the bytes around it: each run falls into parts of a few windows, which meet
+again by all the bytes that these windows have in common, and are sorted there. The last split is into single windows, which meet by
+all their bytes, so that however many there are, one of each is held.
 """
 
 from __future__ import annotations
@@ -18,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from turnloom.llm.common import arrow_types, only_texts, record, short_batches, text_bytes
-from turnloom.llm.repeats import ANCHORS, WINDOWS, _spread, by_document, covered, later_windows, local_anchors, merged, packed_texts, repeated_places, settled_windows, unpacked, with_gone
+from turnloom.functions.arrow import short
+from turnloom.llm.common import arrow_types, only_texts, record, text_bytes
+from turnloom.llm.repeats import ANCHORS, _spread, by_document, covered, local_anchors, merged, packed_texts, repeated_places, unpacked, with_gone
 
 WIDTH = 100
 #: Bytes of a minimizer's short window.
@@ -30,8 +35,8 @@ SHALLOW = 32
 PIECE = 1 << 22
 #: Bytes of runs that a task holds before it settles them; windows that are sorted at once.
 HELD_BYTES, BLOCK = 32 << 20, 200_000
-#: Runs of one minimizer that are sorted together; of more, windows are compared by hashes that go to all tasks.
-LARGE = 20_000
+#: Runs that are sorted together; where more meet they are split, into parts of so many windows.
+LARGE, PARTS = 20_000, (8, 1)
 
 RUNS = "h long, doc_id long, at int, n int, run binary"
 
@@ -74,27 +79,30 @@ def runs(data: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
-def blind_trie(strings: list[bytes]) -> list[int]:
-    """The order of distinct strings of one length, by a trie that keeps branching bytes only.
+def blind_trie(strings: list[bytes]) -> list[list[int]]:
+    """The order of strings of one length, equal ones together, by a trie that keeps branching bytes only.
 
     A string goes down by its bytes at the branching depths, blind to those between; the leaf it reaches shares the longest prefix that
-    any string in the trie shares with it, and one comparison there tells where it branches off.
+    any string in the trie shares with it, and one comparison there tells whether it is equal or where it branches off.
     """
-    root: int | list = 0  # a leaf is a string's number, an inner node [depth, children by byte]
+    root: list | tuple = [0]  # a leaf is a list of equal strings' numbers, an inner node a pair of depth and children by byte
     for i in range(1, len(strings)):
         s, node = strings[i], root
-        while not isinstance(node, int):
-            kids = node[1]
-            node = kids.get(s[node[0]], next(iter(kids.values())))
-        t = strings[node]
+        while type(node) is tuple:
+            depth, kids = node
+            node = kids.get(s[depth]) or next(iter(kids.values()))
+        t = strings[node[0]]
+        if s == t:
+            node.append(i)
+            continue
         depth = _shared(s, t)
         parent, node = None, root
-        while not isinstance(node, int) and node[0] < depth:
+        while type(node) is tuple and node[0] < depth:
             parent, node = node, node[1][s[node[0]]]
-        if not isinstance(node, int) and node[0] == depth:
-            node[1][s[depth]] = i
+        if type(node) is tuple and node[0] == depth:
+            node[1][s[depth]] = [i]
         else:
-            new = [depth, {s[depth]: i, t[depth]: node}]
+            new = (depth, {s[depth]: [i], t[depth]: node})
             if parent is None:
                 root = new
             else:
@@ -102,7 +110,7 @@ def blind_trie(strings: list[bytes]) -> list[int]:
     out, todo = [], [root]
     while todo:
         node = todo.pop()
-        if isinstance(node, int):
+        if type(node) is list:
             out.append(node)
         else:
             todo += [node[1][k] for k in sorted(node[1], reverse=True)]
@@ -111,14 +119,52 @@ def blind_trie(strings: list[bytes]) -> list[int]:
 
 def _shared(s: bytes, t: bytes) -> int:
     """Length of the common prefix of two different strings of one length."""
-    low, high = 0, len(s)
-    while high - low > 1:
-        mid = (low + high) // 2
-        if s[low:mid] == t[low:mid]:
-            low = mid
-        else:
-            high = mid
-    return low
+    return len(s) - ((int.from_bytes(s) ^ int.from_bytes(t)).bit_length() + 7) // 8
+
+
+def multikey(words, starts: np.ndarray, groups: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multikey quicksort of the suffixes at ``starts`` within their groups, eight bytes a key (``words(places)``), to ``depth`` bytes.
+
+    All open segments are partitioned at once: by the median of three of a segment's keys into those below it, equal to it and above it; the
+    equal ones go on eight bytes deeper, the others with another pivot. Returns the order, and where along it segments that are equal
+    to ``depth`` begin, and their sizes.
+    """
+    order = np.argsort(groups, kind="stable")
+    g = groups[order]
+    edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
+    size = np.diff([*edge, len(g)])
+    at, level = edge, np.zeros(len(edge), np.int64)
+    done_at, done_size = [], []
+    while len(at):
+        many = size > 1
+        deep = many & (level >= depth)
+        done_at.append(at[deep])
+        done_size.append(size[deep])
+        live = many & ~deep
+        at, size, level = at[live], size[live], level[live]
+        if not len(at):
+            break
+        begin = np.cumsum(size) - size
+        segment = np.repeat(np.arange(len(at)), size)
+        place = np.arange(len(segment)) - begin[segment] + at[segment]
+        key = words(starts[order[place]] + level[segment])
+        three = np.sort(np.stack([key[begin], key[begin + size // 2], key[begin + size - 1]]), axis=0)
+        pivot = three[1][segment]
+        below, above = key < pivot, key > pivot
+        moved = order[place]
+        to, counts = np.empty(len(place), np.int64), []
+        offset = at
+        for part in (below, ~(below | above), above):
+            run = np.cumsum(part)
+            before = run[begin] - part[begin]
+            n = run[begin + size - 1] - before
+            to[part] = (run - 1 - before[segment])[part] + offset[segment][part]
+            counts.append((offset, n))
+            offset = offset + n
+        order[to] = moved
+        at, size = (np.concatenate(x) for x in zip(*counts, strict=True))
+        level = np.concatenate([level, level + 8, level])
+    return order, np.concatenate([*done_at, np.empty(0, np.int64)]).astype(np.int64), np.concatenate([*done_size, np.empty(0, np.int64)]).astype(np.int64)
 
 
 def deep_shallow(data: bytes, starts: np.ndarray, groups: np.ndarray, width: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
@@ -126,78 +172,77 @@ def deep_shallow(data: bytes, starts: np.ndarray, groups: np.ndarray, width: int
 
     Returns the order and, along it, numbers that are equal exactly for neighbours with equal bytes in one group.
     """
-    n = len(starts)
     whole = np.frombuffer(data + bytes(8), np.uint8)
-    words = np.ndarray((len(data),), ">u8", whole.data, strides=(1,))
-    order = np.argsort(groups, kind="stable")
-    rank = groups[order]
-    here = np.arange(n)  # places in the order whose group has several members
-    for depth in range(0, min(shallow, width) // 8 * 8, 8):
-        word = words[starts[order[here]] + depth].astype(np.uint64)
-        by = np.lexsort((word, rank[here]))
-        order[here] = order[here][by]
-        word = word[by]
-        old = rank[here]
-        new = np.concatenate([[True], (old[1:] != old[:-1]) | (word[1:] != word[:-1])]) if len(here) else np.empty(0, bool)
-        at = here[new]
-        rank[here] = np.repeat(at, np.diff([*np.flatnonzero(new), len(here)])) + n if len(here) else rank[here]
-        single = new & np.concatenate([new[1:], [True]]) if len(here) else new
-        here = here[~single]
-        if not len(here):
-            break
-    same = np.arange(n)
-    if len(here):
-        edge = np.flatnonzero(np.concatenate([[True], rank[here[1:]] != rank[here[:-1]]]))
-        first, size = here[edge], np.diff([*edge, len(here)])
-        at = starts[order]
-        for f, k in zip(first.tolist(), size.tolist(), strict=True):
-            own = at[f : f + k].tolist()
-            seen: dict[bytes, list[int]] = {}
-            for i, a in enumerate(own):
-                seen.setdefault(data[a : a + width], []).append(i)
-            if len(seen) == 1:
-                same[f : f + k] = f
-                continue
-            strings = list(seen)
-            members = [seen[strings[j]] for j in blind_trie(strings)]
-            moved = order[f : f + k].copy()
-            p = f
-            for m in members:
-                order[p : p + len(m)] = moved[m]
-                same[p : p + len(m)] = p
-                p += len(m)
+    eight = np.ndarray((len(data),), ">u8", whole.data, strides=(1,))
+    order, first, size = multikey(lambda at: eight[at].astype(np.uint64), starts, groups, min(shallow, width) // 8 * 8)
+    same = np.arange(len(starts))
+    for f, k in zip(first.tolist(), size.tolist(), strict=True):
+        moved = order[f : f + k].copy()
+        p = f
+        for leaf in blind_trie([data[a : a + width] for a in starts[moved].tolist()]):
+            order[p : p + len(leaf)] = moved[leaf]
+            same[p : p + len(leaf)] = p
+            p += len(leaf)
     return order, same
 
 
-def _held_runs(rows, width: int):
-    """RUNS from (doc_id, data, runs): of equal runs in this task the earliest goes on with its bytes, the others are gone."""
+def _settled_runs(held: list[tuple]):
+    """RUNS of (key, two hashes of the run, document, place, windows, run): of equal ones the earliest goes on with its bytes, the others are gone."""
     types = arrow_types(RUNS)
+    h, g1, g2, d, at, n, run = zip(*held, strict=True)
+    h, g1, g2, d, at, n = np.array(h, np.uint64).view(np.int64), np.array(g1, np.uint64), np.array(g2, np.uint64), np.array(d, np.int64), np.array(at, np.int32), np.array(n, np.int32)
+    order = np.lexsort((at, d, g2, g1, h))
+    h, g1, g2, d, at, n = h[order], g1[order], g2[order], d[order], at[order], n[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])])
+    start = np.flatnonzero(new)
+    size = np.diff([*start, len(h)])
+    gone = (d != np.repeat(d[start], size)) | (at != np.repeat(at[start], size))
+    run = [run[i] for i in order[new].tolist()]
+    yield record({"h": pa.array(h[new]), "doc_id": pa.array(d[new]), "at": pa.array(at[new]), "n": pa.array(n[new]), "run": run}, types)
+    if gone.any():
+        yield _gone_runs(d[gone], at[gone], n[gone])
+
 
-    def settled(held):
-        h, g1, g2, d, at, n, run = zip(*held, strict=True)
-        h, g1, g2, d, at, n = np.array(h, np.uint64).view(np.int64), np.array(g1, np.uint64), np.array(g2, np.uint64), np.array(d, np.int64), np.array(at, np.int32), np.array(n, np.int32)
-        order = np.lexsort((at, d, g2, g1, h))
-        h, g1, g2, d, at, n = h[order], g1[order], g2[order], d[order], at[order], n[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])])
-        start = np.flatnonzero(new)
-        size = np.diff([*start, len(h)])
-        gone = (d != np.repeat(d[start], size)) | (at != np.repeat(at[start], size))
-        gd, ga, gn = merged(d[gone], at[gone], n[gone])
-        run = [run[i] for i in order[new].tolist()] + [None] * len(gd)
-        yield record({"h": pa.array(np.concatenate([h[new], _spread(gd, np.zeros(len(gd), np.int32))])), "doc_id": pa.array(np.concatenate([d[new], gd])), "at": pa.array(np.concatenate([at[new], ga])), "n": pa.array(np.concatenate([n[new], gn])), "run": run}, types)
+def _gone_runs(d: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """RUNS without bytes: ranges that are gone, keyed by document, so that a document's ranges meet and are joined further."""
+    d, at, n = merged(np.asarray(d, np.int64), np.asarray(at, np.int32), np.asarray(n, np.int32))
+    return record({"h": pa.array(_spread(d, np.zeros(len(d), np.int32))), "doc_id": pa.array(d), "at": pa.array(at), "n": pa.array(n), "run": pa.nulls(len(d), pa.binary())}, arrow_types(RUNS))
 
+
+def _hashed(key: int, d: int, at: int, n: int, run: bytes) -> tuple:
+    g = xxhash.xxh3_128_intdigest(run)
+    return key, g & 0xFFFFFFFFFFFFFFFF, g >> 64, d, at, n, run
+
+
+def _held_runs(rows, width: int):
+    """RUNS from (doc_id, data, runs), those of this task settled as far as it holds them."""
     held, size = [], 0
     for d, data, (h, _, first, count) in rows:
         for x, f, c in zip(h.tolist(), first.tolist(), count.tolist(), strict=True):
             run = data[f : f + c - 1 + width]
-            g = xxhash.xxh3_128_intdigest(run)
-            held.append((x, g & 0xFFFFFFFFFFFFFFFF, g >> 64, d, f, c, run))
+            held.append(_hashed(x, d, f, c, run))
             size += len(run) + 100
-        if size >= HELD_BYTES:
-            yield from settled(held)
-            held, size = [], 0
+            if size >= HELD_BYTES:
+                yield from _settled_runs(held)
+                held, size = [], 0
     if held:
-        yield from settled(held)
+        yield from _settled_runs(held)
+
+
+def parts(run: bytes, n: int, width: int, windows: int):
+    """The run's ``n`` windows in parts of ``windows``, cut by how far before the minimizer they start: (key, first window, how many).
+
+    Equal windows start equally far before it and are in parts with one key, that of the bytes which all windows of a whole part have.
+    """
+    place = int(runs(run, width)[1][0])
+    k = 0
+    while k < n:
+        part = (place - k) // windows
+        last = min(n - 1, place - part * windows)
+        begin = place - part * windows
+        core = run[begin : begin + width - windows + 1] if begin < len(run) else b""
+        yield xxhash.xxh3_64_intdigest(core, part), k, last - k + 1
+        k = last + 1
 
 
 def _sorted_runs(block: list[list[tuple]], width: int):
@@ -229,71 +274,63 @@ def _sorted_runs(block: list[list[tuple]], width: int):
     return doc[b], at[b], e - b + 1
 
 
-def _met_runs(width: int, large: int):
-    """From RUNS sorted by minimizer to WINDOWS: ranges that are gone, and single windows of groups too large to be sorted here."""
-    types = arrow_types(WINDOWS)
-
-    def out(d, at, n):
-        return settled_windows(np.asarray(d, np.int64), np.asarray(at, np.int32), np.asarray(n, np.int32))
-
-    def exploded(rows):
-        for i in range(0, len(rows), 500):
-            h, g, d, a = [], [], [], []
-            for doc, at, n, run in rows[i : i + 500]:
-                for k in range(n):
-                    x = xxhash.xxh3_128_intdigest(run[k : k + width])
-                    h.append(x & 0xFFFFFFFFFFFFFFFF)
-                    g.append(x >> 64)
-                    d.append(doc)
-                    a.append(at + k)
-            yield record({"h": pa.array(np.array(h, np.uint64).view(np.int64)), "g": pa.array((np.array(g, np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)), "doc_id": pa.array(d, pa.int64()), "at": pa.array(a, pa.int32()), "n": pa.array(np.ones(len(d), np.int32)), "gone": pa.array(np.zeros(len(d), bool))}, types)
+def _met_runs(width: int, large: int | None, windows: int):
+    """From RUNS sorted by key to RUNS: ranges that are gone, and of more than ``large`` runs with one key their parts, to meet again."""
 
     def run(batches):
         key, group, texts, over = None, [], {}, False
         block, size = [], 0
-        gone = ([], [], [])
+        gone: tuple[list, list, list] = ([], [], [])
+        held: list[tuple] = []
 
-        def closed():
-            nonlocal size
-            if len(group) > 1 and not over:
-                block.append(group)
-                size += sum(x[2] for x in group)
+        def split():
+            nonlocal held
+            for d, at, n, r in group:
+                held += [_hashed(k, d, at + f, m, r[f : f + m - 1 + width]) for k, f, m in parts(r, n, width, windows)]
 
-        for b in batches:
+        for b in short(batches):
             for h, d, at, n, r in zip(*(b.column(k).to_pylist() for k in ("h", "doc_id", "at", "n", "run")), strict=True):
                 if r is None:
                     for x, v in zip(gone, (d, at, n), strict=True):
                         x.append(v)
                     continue
                 if h != key:
-                    if over and group:
-                        yield from exploded(group)
-                    closed()
+                    if over:
+                        split()
+                    elif len(group) > 1:
+                        block.append(group)
+                        size += sum(x[2] for x in group)
                     key, group, texts, over = h, [], {}, False
                     if size > BLOCK:
                         got = _sorted_runs(block, width)
                         block, size = [], 0
                         if len(got[0]):
-                            yield out(*got)
+                            yield _gone_runs(*got)
                 first = texts.setdefault(r, (d, at))
                 if first != (d, at):  # rows come in order of document and place, so the first of equal runs stays
                     for x, v in zip(gone, (d, at, n), strict=True):
                         x.append(v)
                     continue
                 group.append((d, at, n, r))
-                if len(group) > large:
-                    yield from exploded(group)
+                if large is not None and len(group) > large:
+                    split()
                     group, texts, over = [], {}, True
             if len(gone[0]) > 10_000:
-                yield out(*gone)
+                yield _gone_runs(*gone)
                 gone = ([], [], [])
-        if over and group:
-            yield from exploded(group)
-        closed()
+            if len(held) > 100_000:
+                yield from _settled_runs(held)
+                held = []
+        if over:
+            split()
+        elif len(group) > 1:
+            block.append(group)
         if block and len((got := _sorted_runs(block, width))[0]):
-            yield out(*got)
+            yield _gone_runs(*got)
         if gone[0]:
-            yield out(*gone)
+            yield _gone_runs(*gone)
+        if held:
+            yield from _settled_runs(held)
 
     return run
 
@@ -302,9 +339,10 @@ def gone_windows(docs: DataFrame, packed: DataFrame, width: int = WIDTH, large:
     """(doc_id, at, n): ranges of window starts whose ``width`` bytes also start earlier. ``docs`` has doc_id (long, not null) and text, ``packed`` the same packed."""
     if width < 2 * SHORT:
         raise ValueError(f"windows need at least {2 * SHORT} bytes")
+
     def first(batches):
         def rows():
-            for b in batches:
+            for b in short(batches):
                 for d, t in zip(b.column("doc_id").to_pylist(), text_bytes(b), strict=True):
                     if len(t) >= width:
                         h, place, _, _ = runs(t, width)
@@ -315,7 +353,7 @@ def gone_windows(docs: DataFrame, packed: DataFrame, width: int = WIDTH, large:
 
     def second(batches):
         def rows():
-            for b in batches:
+            for b in short(batches):
                 for d, t, at in zip(b.column("doc_id").to_pylist(), unpacked(b), b.column("_tl_at").to_pylist(), strict=True):
                     if len(t) >= width:
                         got = runs(t, width)
@@ -324,10 +362,11 @@ def gone_windows(docs: DataFrame, packed: DataFrame, width: int = WIDTH, large:
 
         yield from _held_runs(rows(), width)
 
-    short_batches(docs.sparkSession)
     places = by_document(repeated_places(docs.mapInArrow(first, ANCHORS)))
-    met = packed.join(places, "doc_id").mapInArrow(second, RUNS).repartition("h").sortWithinPartitions("h", "doc_id", "at").mapInArrow(_met_runs(width, large), WINDOWS)
-    return later_windows(met)
+    met = packed.join(places, "doc_id").mapInArrow(second, RUNS)
+    for many, windows in ((large, PARTS[0]), (large, PARTS[1]), (None, 0)):
+        met = met.repartition("h").sortWithinPartitions("h", "doc_id", "at").mapInArrow(_met_runs(width, many, windows), RUNS)
+    return met.where("run is null").select("doc_id", "at", "n")
 
 
 def without_repeats(docs: DataFrame, extra: str = "kept binary", width: int = WIDTH, large: int = LARGE) -> DataFrame:
@@ -338,7 +377,6 @@ def without_repeats(docs: DataFrame, extra: str = "kept binary", width: int = WI
     read; an empty table gives an empty one.
     """
     docs = only_texts(docs)
-    short_batches(docs.sparkSession)
     known, other = docs.where("doc_id is not null"), packed_texts(docs.where("doc_id is null"), False)
     packed = packed_texts(known)
     gone = gone_windows(known, packed, width, large)
@@ -347,9 +385,7 @@ def without_repeats(docs: DataFrame, extra: str = "kept binary", width: int = WI
     types = arrow_types(schema)
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in short(batches):
             out = []
             for t, at in zip(unpacked(b), b.column("_tl_at").to_pylist(), strict=True):
                 removed, spans, kept = 0, 0, t
