@@ -375,6 +375,15 @@ def test_batches_keep_the_budget(table):
     assert packed(table([])).collect() == []
 
 
+def test_numbers_run_through_all_parts(table, monkeypatch):
+    from turnloom.llm import packing
+
+    monkeypatch.setattr(packing, "PART", 3)
+    rows = [(i if i % 4 else None, "w " * 5) for i in range(200)]
+    out = packed(table(rows), budget=80).collect()
+    assert sorted(x["batch"] * 10 + x["slot"] for x in out) == list(range(200))
+
+
 @pytest.mark.parametrize("op", ["toxicity", "quality", "rules", "bpe", "gif", "packing"])
 def test_awkward_rows(awkward, learned, tokenizer, op):
     docs, marks, _ = learned

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from turnloom.llm.common import arrow_types, record, short_batches, text_bytes
+from turnloom.functions.arrow import short
+from turnloom.llm.common import arrow_types, record, text_bytes
 
 #: Counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -61,28 +62,26 @@ def doc_stats(text: bytes) -> tuple:
     )
 
 
-def stats_table(docs: DataFrame) -> DataFrame:
-    """One row of statistics per row of ``docs`` (doc_id, text), every whole text read once."""
-    short_batches(docs.sparkSession)
-    types = arrow_types(SCHEMA)
+def stats_table(docs: DataFrame, **extra: str) -> DataFrame:
+    """One row of statistics per row of ``docs`` (doc_id, text), every whole text read once. ``extra`` names columns of ``docs`` that come along, with their types."""
+    schema = ", ".join([SCHEMA, *(f"{k} {t}" for k, t in extra.items())])
+    types = arrow_types(schema)
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                cols = list(zip(*map(doc_stats, text_bytes(b)), strict=True))
-                yield record({"doc_id": b.column("doc_id")} | dict(zip((*BASE, *RATIOS), cols, strict=True)), types)
+        for b in short(batches):
+            cols = list(zip(*map(doc_stats, text_bytes(b)), strict=True))
+            yield record({k: b.column(k) for k in ("doc_id", *extra)} | dict(zip((*BASE, *RATIOS), cols, strict=True)), types)
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text", *extra).mapInArrow(run, schema)
 
 
 def with_stats(docs: DataFrame, prefix: str) -> DataFrame:
     """All columns of ``docs`` and the statistics of its texts, their names after ``prefix``."""
-    short_batches(docs.sparkSession)
     own = T.StructType([*(T.StructField(prefix + x, T.LongType()) for x in BASE), *(T.StructField(prefix + x, T.DoubleType()) for x in RATIOS)])
     types = [pa.int64() for _ in BASE] + [pa.float64() for _ in RATIOS]
 
     def run(batches):
-        for b in batches:
+        for b in short(batches):
             if b.num_rows:
                 cols = zip(*map(doc_stats, text_bytes(b)), strict=True)
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*b.schema.names, *(f.name for f in own)])
@@ -91,7 +90,10 @@ def with_stats(docs: DataFrame, prefix: str) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, rows: int) -> DataFrame:
-    """(doc_id, text, y): at most ``rows`` labelled documents, those whose ids hash lowest. Ids are bounded by ``rows``, so they are broadcast."""
+    """(doc_id, text, y): at most ``rows`` labelled documents, those whose ids hash lowest. Ids are bounded by ``rows``, so they are broadcast.
+
+    Where an id has several labels, the highest counts; labels other than 0 and 1, and rows without an id, are left out.
+    """
     from pyspark.sql import functions as F
 
     ids = marks.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)

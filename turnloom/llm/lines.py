@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import Scratch, arrow_types, record, rewritten, short_batches, text_bytes
+from turnloom.functions.arrow import short
+from turnloom.llm.common import Scratch, arrow_types, record, rewritten, text_bytes
 from turnloom.llm.cuckoo import CuckooFilter
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -54,12 +55,11 @@ def digest(key: bytes) -> bytes:
 
 def postings(docs: DataFrame) -> DataFrame:
     """(doc_id, k1, k2): each row's distinct keys that count. Rows without an id take no part."""
-    short_batches(docs.sparkSession)
     schema = "doc_id long, k1 long, k2 long"
     types = arrow_types(schema)
 
     def run(batches):
-        for b in batches:
+        for b in short(batches):
             ids, sizes, keys = [], [], []
             for d, t in zip(b.column("doc_id").to_pylist(), text_bytes(b), strict=True):
                 if d is not None and (own := {digest(k) for k in set(line_keys(t)) if counts(k)}):
@@ -252,15 +252,12 @@ def dropped(docs: DataFrame, index: LineIndex, extra: str = "kept string") -> Da
     Null and empty texts have one empty line. Rows without an id lose nothing. Repeated rows of one id count as one document and keep
     what it keeps. Other columns are not read; an empty table gives an empty one.
     """
-    short_batches(docs.sparkSession)
     name = extra.split()[0]
     schema = f"doc_id long, n_lines long, n_dropped long, {extra}"
     types = arrow_types(schema)
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in short(batches):
             out = []
             for t, k1, k2 in zip(text_bytes(b), b.column("_tl_k1").to_pylist(), b.column("_tl_k2").to_pylist(), strict=True):
                 own = {x.to_bytes(8, "little", signed=True) + y.to_bytes(8, "little", signed=True) for x, y in zip(k1 or (), k2 or (), strict=True)}
@@ -274,8 +271,6 @@ def dropped(docs: DataFrame, index: LineIndex, extra: str = "kept string") -> Da
 
 def lines_removed(docs: DataFrame, index: LineIndex) -> DataFrame:
     """``docs`` with all its columns, the texts without the lines that ``dropped`` counts."""
-    short_batches(docs.sparkSession)
-
     def change(text: bytes, k1: list[int], k2: list[int]) -> bytes:
         return without_lines(text, {x.to_bytes(8, "little", signed=True) + y.to_bytes(8, "little", signed=True) for x, y in zip(k1, k2, strict=True)})[2]
 

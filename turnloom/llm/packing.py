@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import Scratch
 
 BUCKETS, TOKEN_BUDGET, ALIGN = 12, 16_384, 8
-#: Documents numbered together; buckets are dealt into parts of about so many.
+#: Documents numbered together, and parts whose sizes are summed together; buckets are dealt into parts of about so many.
 PART = 4_096
 
 
@@ -75,15 +75,23 @@ def packed(docs: DataFrame, tokens: Column | None = None, buckets: int = BUCKETS
     empty one; other columns are not read.
     """
     n = word_tokens() if tokens is None else tokens
+    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0)  # so that rows without an id do not meet in one part
     # texts are measured once; everything after works on two numbers a row
-    rows = Scratch(docs.sparkSession).keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.cast("long").alias("n_tokens"))).withColumn("length", (F.ceil(F.col("n_tokens") / align) * align).cast("long"))
+    rows = Scratch(docs.sparkSession).keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.cast("long").alias("n_tokens"), salt.alias("salt"))).withColumn("length", (F.ceil(F.col("n_tokens") / align) * align).cast("long"))
     hist = rows.groupBy("length").count().toPandas().sort_values("length")
     bounds = bucket_bounds(hist["length"].to_numpy(np.int64), hist["count"].to_numpy(np.int64), buckets) or [align]
     parts = max(1, int(hist["count"].sum()) // PART)
     array = F.array(*[F.lit(x).cast("long") for x in bounds])
-    rows = rows.withColumn("bucket", F.size(F.filter(array, lambda x: x < F.col("length")))).withColumn("padded", F.element_at(array, F.col("bucket") + 1)).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
-    before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("bucket", "part").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    rows = rows.withColumn("bucket", F.size(F.filter(array, lambda x: x < F.col("length")))).withColumn("padded", F.element_at(array, F.col("bucket") + 1)).withColumn("part", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(parts)))
+
+    def before(counts: DataFrame, order: str, *within: str) -> DataFrame:
+        """(within, order, before): what the rows before have, in all."""
+        earlier = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("before", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+
+    sizes = rows.groupBy("bucket", "part").count().withColumn("group", F.floor(F.col("part") / PART))
+    groups = before(sizes.groupBy("bucket", "group").agg(F.sum("count").alias("count")), "group", "bucket").select("bucket", "group", F.col("before").alias("base"))
+    offsets = before(sizes, "part", "bucket", "group").join(groups, ["bucket", "group"]).select("bucket", "part", (F.col("before") + F.col("base")).alias("before"))
     own = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("doc_id", "n_tokens"))
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("padded")))).cast("long")
     numbered = rows.withColumn("number", own).join(offsets, ["bucket", "part"]).withColumn("number", F.col("number") + F.col("before") - 1)

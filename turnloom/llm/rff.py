@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import arrow_types, record, short_batches, text_bytes
+from turnloom.functions.arrow import short
+from turnloom.llm.common import arrow_types, record, text_bytes
 from turnloom.llm.docstats import BASE, RATIOS, doc_stats, labelled_sample, stats_table
 
 #: Labelled rows that the scores are learned from, at most.
@@ -60,7 +61,7 @@ def normal_sums(stats: DataFrame, features, width: int) -> tuple[np.ndarray, np.
 
     def run(batches):
         a, c = np.zeros((width, width)), np.zeros(width)
-        for b in batches:
+        for b in short(batches):
             if b.num_rows:
                 z = features(squashed(np.column_stack([b.column(k).to_numpy() for k in INPUTS])))
                 a += z.T @ z
@@ -99,8 +100,7 @@ def isotonic(raw: np.ndarray, y: np.ndarray, least: int = 20) -> tuple[np.ndarra
 def fit(docs: DataFrame, marks: DataFrame, usable: Column, rows: int = SAMPLE_ROWS, width: int = FEATURES, ridge: float = RIDGE, seed: int = 17) -> QualityModel:
     """Learn from at most ``rows`` labelled documents for which ``usable`` (of doc_id) holds; a quarter of them calibrate."""
     sample = labelled_sample(docs, marks.where(usable), "quality", rows)
-    y = sample.select("doc_id", "y").distinct()
-    table = stats_table(sample).join(F.broadcast(y), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4))).persist()
+    table = stats_table(sample, y="int").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4))).persist()
     try:
         sums = table.agg(*[F.avg(_squashed(k)).alias(k) for k in INPUTS], *[F.stddev_pop(_squashed(k)).alias("s_" + k) for k in INPUTS], F.count("*").alias("n")).first()
         if not sums["n"]:
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, marks: DataFrame, usable: Column, rows: int = SAMPLE_RO
         a, c = normal_sums(table.where("part > 0"), features, width + 1)
         n = max(a[-1, -1], 1.0)
         beta = np.linalg.solve(a / n + ridge * np.eye(width + 1), c / n)
-        held = table.where("part = 0").select("doc_id", "y", *INPUTS).orderBy("doc_id").toPandas()
+        held = table.where("part = 0").select("doc_id", "y", *INPUTS).orderBy("doc_id", *INPUTS).toPandas()
     finally:
         table.unpersist()
     if held.empty:
@@ -141,12 +141,11 @@ def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     Null ids stay null; repeated rows and ties get equal scores; an empty table gives an empty one; other columns are not read.
     """
-    short_batches(docs.sparkSession)
     types = arrow_types(SCORES)
     skip = len(BASE)
 
     def run(batches):
-        for b in batches:
+        for b in short(batches):
             if b.num_rows:
                 x = np.array([doc_stats(t)[skip:] for t in text_bytes(b)], float)
                 yield record({"doc_id": b.column("doc_id"), "score": pa.array(np.round(model.score(squashed(x)), 9))}, types)

@@ -118,9 +118,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, most_rules: int = 12, lo
 
 def fit_decision_list(docs: DataFrame, marks: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> DecisionList:
     """Learn from at most ``rows`` labelled documents; label 0 is what rules reject. Without labels the list is empty."""
-    sample = labelled_sample(docs, marks, label, rows)
-    y = sample.select("doc_id", "y")
-    got = stats_table(sample).join(F.broadcast(y.distinct()), "doc_id").orderBy("doc_id").toPandas()
+    got = stats_table(labelled_sample(docs, marks, label, rows), y="int").orderBy("doc_id", *BASE).toPandas()
     if got.empty:
         return DecisionList(())
     x = {k: got[k].to_numpy(np.float64) for k in (*BASE, *RATIOS)}

@@ -15,7 +15,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 
-from turnloom.llm.common import arrow_types, only_texts, record, rewritten, short_batches, text_bytes, window_hash
+from turnloom.functions.arrow import short
+from turnloom.llm.common import arrow_types, only_texts, record, rewritten, text_bytes, window_hash
 from turnloom.llm.repeats import ANCHORS, WINDOWS, by_document, covered, later_windows, local_anchors, local_windows, packed_texts, repeated_places, unpacked, with_gone
 
 WIDTH = 20
@@ -74,13 +75,11 @@ def gone_windows(docs: DataFrame, packed: DataFrame, width: int = WIDTH) -> Data
     """(doc_id, at, n): starts of the windows of ``width`` words whose sequence also starts earlier. ``docs`` has doc_id (long, not null) and text, ``packed`` the same packed."""
     if width < PERIOD:
         raise ValueError(f"windows need at least {PERIOD} words")
-    short_batches(docs.sparkSession)
-
     def first(batches):
         words = WordHashes()
 
         def rows():
-            for b in batches:
+            for b in short(batches):
                 for d, t in zip(b.column("doc_id").to_pylist(), text_bytes(b), strict=True):
                     h, at = anchors(words.of(t.split())[0], width)
                     if len(h):
@@ -92,7 +91,7 @@ def gone_windows(docs: DataFrame, packed: DataFrame, width: int = WIDTH) -> Data
         words = WordHashes()
 
         def rows():
-            for b in batches:
+            for b in short(batches):
                 for d, t, at in zip(b.column("doc_id").to_pylist(), unpacked(b), b.column("_tl_at").to_pylist(), strict=True):
                     h, g = words.of(t.split())
                     if len(h) >= width:
@@ -112,7 +111,6 @@ def without_repeats(docs: DataFrame, extra: str = "kept string", width: int = WI
     document and lose the same words. Other columns are not read; an empty table gives an empty one.
     """
     docs = only_texts(docs)
-    short_batches(docs.sparkSession)
     known, other = docs.where("doc_id is not null"), packed_texts(docs.where("doc_id is null"), False)
     packed = packed_texts(known)
     gone = gone_windows(known, packed, width)
@@ -121,9 +119,7 @@ def without_repeats(docs: DataFrame, extra: str = "kept string", width: int = WI
     types = arrow_types(schema)
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in short(batches):
             out = []
             for t, at in zip(unpacked(b), b.column("_tl_at").to_pylist(), strict=True):
                 words = t.split()
@@ -144,7 +140,6 @@ _PIECE = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 def repeats_removed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with all its columns, the texts without repeated windows' words; white space between words that stay stays."""
-    short_batches(docs.sparkSession)
     known = only_texts(docs).where("doc_id is not null")
     gone = by_document(gone_windows(known, packed_texts(known), width))
 
