@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from turnloom.llm.common import Scratch, documents, labels
-from turnloom.llm.lines import LineIndex, lines_removed
+from turnloom.llm.lines import indexed, lines_removed
 from turnloom.llm.near import one_of_each
 from turnloom.llm.packing import packed
 from turnloom.llm.rules import accepted, fit_decision_list
@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go."""
-    return lines_removed(docs, LineIndex.empty(spark).insert(docs))
+    return lines_removed(docs, indexed(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
