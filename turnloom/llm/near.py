@@ -61,15 +61,24 @@ _WALK = np.argsort(mix(np.arange(_BINS * _BINS, dtype=np.uint64) * np.uint64(0x9
 
 def signature(grams: np.ndarray) -> np.ndarray:
     """TREES labels of DEPTH values: each bin's lowest hash, an empty bin's from the first full one on its walk."""
-    h = mix(grams)
-    at = ((h >> np.uint64(32)) * np.uint64(_BINS) >> np.uint64(32)).astype(np.int64)
-    low = np.full(_BINS, 1 << 32, np.uint64)
-    np.minimum.at(low, at, h & np.uint64(0xFFFFFFFF))
-    empty = low == 1 << 32
-    if empty.any():
-        full = ~empty[_WALK[empty]]
-        low[empty] = low[_WALK[empty, full.argmax(1)]]
-    return (mix(low) >> np.uint64(48)).astype(np.uint16).reshape(TREES, DEPTH)
+    h = np.sort(mix(grams))
+    at = ((h >> np.uint64(32)) * np.uint64(_BINS) >> np.uint64(32)).astype(np.int64)  # rises with the hash, so a bin's first is its lowest
+    first = np.concatenate([[True], at[1:] != at[:-1]])
+    low, empty = np.zeros(_BINS, np.uint64), np.ones(_BINS, bool)
+    low[at[first]] = mix(h[first])
+    empty[at[first]] = False
+    wants = np.flatnonzero(empty)
+    for step in range(8):
+        if not len(wants):
+            break
+        source = _WALK[wants, step]
+        found = ~empty[source]
+        low[wants[found]] = low[source[found]]
+        wants = wants[~found]
+    if len(wants):
+        walk = _WALK[wants]
+        low[wants] = low[walk[np.arange(len(wants)), (~empty[walk]).argmax(1)]]
+    return (low >> np.uint64(48)).astype(np.uint16).reshape(TREES, DEPTH)
 
 
 def prefix_keys(labels: np.ndarray, length: int) -> np.ndarray:
