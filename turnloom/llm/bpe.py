@@ -1,14 +1,11 @@
 """BPE encoding over a table of distinct words, and decoding through an id-to-piece join.
 
-A word here is a run between white space, which no pre-token of the tokenizer crosses.
+A word here is a run between white space, which no pre-token of the tokenizer crosses. Every distinct word is encoded once. The table
+of words has two parts: the most frequent ones, a bounded number of bounded length, whose ids are given to all tasks; and all others,
+which meet by word with the places that want them. Their ids are joined back by document and position.
 
-1. Every text is split once. A stretch of texts of a task keeps a list of its distinct words, and each text is the numbers of its words
-   in that list, by position.
-2. All lists together give the table of distinct words. Each word of it is encoded once, and its ids are decoded by a join with the
-   id-to-piece table, whose rows are those of the vocabulary.
-3. Ids and pieces go back to the stretches' lists, by word; each stretch meets its list again and puts its texts together by position.
-
-No key has more rows than there are stretches, and a stretch is bounded, so no word and no document can be too frequent or too long.
+Texts are decoded from these ids: each id by position meets its piece in the id-to-piece table, which has a row for each id of the vocabulary
+and is broadcast; the rows of a text stay side by side, so that its pieces are put together as they stream by.
 """
 
 from __future__ import annotations
@@ -17,22 +14,27 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Callable
+from collections import Counter
 from dataclasses import dataclass
-from functools import cached_property, lru_cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.functions.arrow import short
 from turnloom.llm.common import Scratch, arrow_types, record
 
-#: Bytes of texts, and distinct words, after which a stretch ends.
-STRETCH_BYTES, STRETCH_WORDS = 8 << 20, 200_000
+#: Words given to all tasks, and the bytes that one of them may have.
+HOT_WORDS, HOT_BYTES = 1 << 19, 32
+#: Distinct words that a task holds before it passes its counts on.
+HELD_WORDS = 1_000_000
+#: Places of words that a task holds before it passes them on.
+HELD_PLACES = 500_000
 #: White space of str.split() that the tokenizer's pattern takes for symbols.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -61,6 +63,8 @@ class Bpe:
     """A tokenizer file's content. It goes to the tasks as it is; its size is that of the vocabulary."""
 
     model: str
+    #: Integers that hold any id.
+    kind: str = "<u4"
 
     @classmethod
     def load(cls, path: str) -> Bpe:
@@ -68,7 +72,7 @@ class Bpe:
             model = f.read()
         if json.loads(model).get("decoder") is not None:
             raise ValueError("pieces are joined by spaces, which is what a tokenizer without a decoder does; this one has a decoder")
-        return cls(model)
+        return cls(model, "<u2" if max(_tokenizer(model).get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else "<u4")
 
     def pieces(self) -> list[str]:
         """The piece of each id; ids without one have an empty piece."""
@@ -77,153 +81,294 @@ class Bpe:
         return [names.get(i, "") for i in range(max(names, default=-1) + 1)]
 
 
-SPLIT = "chunk long, doc_id long, places binary, words array<string>"
+def frequent_words(docs: DataFrame, least: int = 2) -> DataFrame:
+    """(word, n): words that some task met ``least`` times, by how often such tasks met them. It only tells which words to give to all tasks."""
+    types = arrow_types("word string, n long")
 
+    def flushed(seen: Counter):
+        words = sorted(w for w, n in seen.items() if n >= least and len(w.encode()) <= HOT_BYTES)
+        return record({"word": words, "n": [seen[w] for w in words]}, types)
 
-def _pack(at: np.ndarray) -> bytes:
-    """Byte planes, compressed."""
-    return zstandard.compress(at.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+    def run(batches):
+        seen: Counter = Counter()
+        for b in short(batches):
+            for t in b.column("text").to_pylist():
+                if t:
+                    seen.update(split_words(t))
+                if len(seen) > HELD_WORDS:
+                    yield flushed(seen)
+                    seen.clear()
+        if seen:
+            yield flushed(seen)
 
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.tobytes(), "<u4")
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` words, those above a count; the counts' histogram has few rows, whatever the words are."""
+    seen, floor = 0, None
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        seen += r["count"]
+        if seen > most:
+            break
+        floor = r["n"]
+    return counts.where(F.col("n") >= floor) if floor is not None else counts.where("false")
 
 
-class _Numbers(dict):
-    """Words' numbers in order of their first use."""
+def encoded_words(words: DataFrame, bpe: Bpe) -> DataFrame:
+    """(word, n, ids) of distinct words, each encoded once; ids as little-endian integers of the vocabulary's width."""
+    types = arrow_types("word string, n long, ids binary")
+
+    def run(batches):
+        t = _tokenizer(bpe.model)
+        for b in batches:
+            got = [np.array(e.ids, bpe.kind).tobytes() for e in t.encode_batch(b.column("word").to_pylist(), add_special_tokens=False)]
+            yield record({"word": b.column("word"), "n": b.column("n"), "ids": got}, types)
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+    return words.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
 
 
-def _split(stretch: int):
-    """From (doc_id, text) to SPLIT: a row for each text, its words' numbers by place, and after a stretch of them a row with their distinct words."""
-    types = arrow_types(SPLIT)
+_loaded: dict[int, tuple] = {}
 
-    def listed(chunk: int, words: _Numbers) -> pa.RecordBatch:
-        return record({"chunk": [chunk], "doc_id": [None], "places": [None], "words": [list(words)]}, types)
 
-    def run(batches):
-        chunk = TaskContext.get().partitionId() << 32
-        words, size = _Numbers(), 0
-        for b in short(batches, most=stretch):
-            rows = []
-            for t in b.column("text").to_pylist():
-                own = split_words(t or "")
-                rows.append(_pack(np.fromiter(map(words.__getitem__, own), "<u4", len(own))))
-                size += len(t or "")
-            n = len(rows)
-            yield record({"chunk": pa.array(np.full(n, chunk)), "doc_id": b.column("doc_id"), "places": rows, "words": pa.nulls(n, pa.list_(pa.string()))}, types)
-            if size >= stretch or len(words) >= STRETCH_WORDS:
-                yield listed(chunk, words)
-                words, size, chunk = _Numbers(), 0, chunk + 1
-        if words:
-            yield listed(chunk, words)
+def _hot(key) -> tuple[dict[str, int], list[bytes]]:
+    """The frequent words with their ranks, and their ids by rank; unpacked once in each worker."""
+    if key.id not in _loaded:
+        _loaded.clear()
+        t = pa.ipc.open_stream(zstandard.decompress(key.value)).read_all()
+        _loaded[key.id] = ({w: i for i, w in enumerate(t.column("word").to_pylist())}, t.column("ids").to_pylist())
+    return _loaded[key.id]
 
-    return run
 
+#: A place that wants a word: document, its text's mark, and the word's number among those the document asks for.
+PLACE = np.dtype([("doc", "<i8"), ("mark", "<i4"), ("k", "<i4")])
 
-def piece_table(spark: SparkSession, bpe: Bpe) -> DataFrame:
-    """(id, piece) of the whole vocabulary."""
-    return spark.createDataFrame(list(enumerate(bpe.pieces())), "id long, piece string")
 
+def _mark(doc_id: int | None, text: str) -> int:
+    """Tells apart different texts of one id."""
+    return xxhash.xxh32_intdigest(text.encode(), 0 if doc_id is None else 1) - (1 << 31)
 
-def encoded_words(words: DataFrame, bpe: Bpe) -> DataFrame:
-    """(word, ids) of distinct words, each encoded once."""
-    types = arrow_types("word string, ids array<long>")
 
-    def run(batches):
-        t = _tokenizer(bpe.model)
-        for b in batches:
-            if b.num_rows:
-                yield record({"word": b.column("word"), "ids": [e.ids for e in t.encode_batch(b.column("word").to_pylist(), add_special_tokens=False)]}, types)
+class _Shared:
+    """A broadcast with a name of its own."""
 
-    return words.select("word").mapInArrow(run, "word string, ids array<long>")
+    def __init__(self, spark, data: bytes):
+        self.id, self.b = hash(hashlib.sha256(data).digest()), spark.sparkContext.broadcast(data)
 
+    @property
+    def value(self) -> bytes:
+        return self.b.value
 
-def word_table(words: DataFrame, bpe: Bpe) -> DataFrame:
-    """(word, ids, text) of distinct words: encoded once, and decoded by joining each of the ids with its piece."""
-    rows = encoded_words(words, bpe).select("word", F.posexplode_outer("ids").alias("pos", "id"))
-    met = rows.join(F.broadcast(piece_table(words.sparkSession, bpe)), "id", "left")  # as many rows as the vocabulary has
-    own = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id", "piece"))))
-    return met.groupBy("word").agg(own.alias("x")).select("word", F.transform("x", lambda p: p.id).alias("ids"), F.array_join(F.transform("x", lambda p: p.piece), " ").alias("text"))
 
+def _places(text: str, ranks: dict[str, int], hot: int) -> tuple[np.ndarray, list[str]]:
+    """Each word's rank, or ``hot`` plus the number of a word that is not frequent; and those words, each once."""
+    words = split_words(text)
+    at = list(map(ranks.get, words))
+    cold: dict[str, int] = {}
+    if None in at:
+        for i, r in enumerate(at):
+            if r is None:
+                at[i] = hot + cold.setdefault(words[i], len(cold))
+    return np.array(at, "<u4"), list(cold)
 
-@dataclass
-class WordList:
-    """A stretch's distinct words by number: how many ids, the ids in decimal, as numbers, and the decoded text."""
 
-    sizes: np.ndarray
-    ids: list[list[int]]
-    texts: list[str]
+def _pack(at: np.ndarray) -> bytes:
+    """Byte planes, compressed."""
+    return zstandard.compress(at.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.tobytes(), "<u4")
 
-    @cached_property
-    def decimals(self) -> list[str]:
-        return [" ".join(map(str, x)) for x in self.ids]
 
+def _encoded(docs: DataFrame, bpe: Bpe, finish, schema: str, hot_words: int) -> DataFrame:
+    """doc_id and the columns that ``finish(ids)`` gives for the ids (an array of unsigned integers) of each whole text, by ``schema``."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    top = encoded_words(most_frequent(scratch.keep(frequent_words(docs)), hot_words), bpe).toArrow()
+    top = top.take(np.lexsort((top.column("word").to_numpy(), -top.column("n").to_numpy()))).select(["word", "ids"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, top.schema) as w:
+        w.write_table(top)
+    shared = _Shared(spark, zstandard.compress(sink.getvalue().to_pybytes()))
+    n_hot = top.num_rows
+    del top, sink
+
+    wanted = arrow_types("word string, places binary")
+
+    def rest(batches):
+        ranks, _ = _hot(shared)
+        held: dict[str, list[tuple[int, int, int]]] = {}
+        size = 0
+
+        def flushed():
+            words = sorted(held)
+            return record({"word": words, "places": [np.array(held[w], PLACE).tobytes() for w in words]}, wanted)
+
+        for b in short(batches):
+            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if t and (cold := _places(t, ranks, n_hot)[1]):
+                    m = _mark(d, t)
+                    for k, w in enumerate(cold):
+                        held.setdefault(w, []).append((d or 0, m, k))
+                    size += len(cold)
+            if size > HELD_PLACES:
+                yield flushed()
+                held, size = {}, 0
+        if held:
+            yield flushed()
+
+    got = arrow_types("key long, mark int, answer binary")
+
+    def answered(batches):
+        t = _tokenizer(bpe.model)
+        last: tuple[str, bytes] | None = None  # the word before this batch, with its ids
+        for b in short(batches):
+            words, places = b.column("word").to_pylist(), b.column("places").to_pylist()
+            new = [w for w in dict.fromkeys(words) if last is None or w != last[0]]
+            ids = {w: np.array(e.ids, bpe.kind).tobytes() for w, e in zip(new, t.encode_batch(new, add_special_tokens=False), strict=True)}
+            if last is not None:
+                ids[last[0]] = last[1]
+            at = np.frombuffer(b"".join(places), PLACE)
+            sizes = [len(p) // PLACE.itemsize for p in places]
+            each = [ids[w] for w, n in zip(words, sizes, strict=True) for _ in range(n)]
+            yield record({"key": pa.array(at["doc"]), "mark": pa.array(at["mark"]), "answer": [k.to_bytes(4, "little") + x for k, x in zip(at["k"].tolist(), each, strict=True)]}, got)
+            if words:
+                last = (words[-1], ids[words[-1]])
+
+    found = docs.mapInArrow(rest, "word string, places binary").repartition("word").sortWithinPartitions("word").mapInArrow(answered, "key long, mark int, answer binary")
+    found = found.groupBy("key", "mark").agg(F.collect_set("answer").alias("found"))
+
+    part = arrow_types("doc_id long, key long, mark int, packed binary")
+
+    def packed(batches):
+        ranks, _ = _hot(shared)
+        for b in short(batches):
+            if b.num_rows:
+                ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
+                yield record({"doc_id": ids, "key": [d or 0 for d in ids], "mark": [_mark(d, t) for d, t in zip(ids, texts, strict=True)], "packed": [_pack(_places(t, ranks, n_hot)[0]) for t in texts]}, part)
 
-def _joined(docs: DataFrame, bpe: Bpe, finish: Callable[[np.ndarray, WordList], tuple], schema: str, stretch: int) -> DataFrame:
-    """doc_id and the columns that ``finish`` gives for the numbers of a text's words, by place, and the list they number."""
-    scratch = Scratch(docs.sparkSession)
-    split = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_split(stretch), SPLIT))
-    lists = split.where("words is not null").select("chunk", F.posexplode("words").alias("number", "word"))
-    back = lists.join(word_table(lists.select("word").distinct(), bpe), "word").select(F.col("chunk").alias("stretch"), "number", "ids", F.col("text").alias("decoded"))
+    both = docs.mapInArrow(packed, "doc_id long, key long, mark int, packed binary").join(found, ["key", "mark"], "left").select("doc_id", "packed", "found")
     out = arrow_types(f"doc_id long, {schema}")
 
-    def together(texts: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words.column("number").to_numpy(), kind="stable")
-        ids, decoded = words.column("ids").to_pylist(), words.column("decoded").to_pylist()
-        ids = [ids[i] for i in order]
-        table = WordList(np.fromiter(map(len, ids), np.int64, len(ids)), ids, [decoded[i] for i in order])
-        rows = [finish(_unpack(p), table) for p in texts.column("places").to_pylist()]
-        columns = zip(*rows, strict=True) if rows else ((),) * (len(out) - 1)
-        doc_id = texts.column("doc_id").combine_chunks().cast(pa.int64()) if rows else pa.nulls(0, pa.int64())
-        own = {"doc_id": doc_id} | dict(zip(list(out)[1:], columns, strict=True))
-        return pa.Table.from_batches([record(own, out)])
+    def joined(batches):
+        _, hot_ids = _hot(shared)
+        names = list(out)[1:]
+        for b in short(batches):
+            rows = []
+            for p, f in zip(b.column("packed").to_pylist(), b.column("found").to_pylist(), strict=True):
+                at = _unpack(p).tolist()
+                if f:
+                    own = {n_hot + int.from_bytes(x[:4], "little"): x[4:] for x in f}
+                    ids = b"".join([hot_ids[r] if r < n_hot else own[r] for r in at])
+                else:
+                    ids = b"".join([hot_ids[r] for r in at])
+                rows.append(finish(np.frombuffer(ids, bpe.kind)))
+            if rows:
+                yield record({"doc_id": b.column("doc_id")} | dict(zip(names, zip(*rows, strict=True), strict=True)), out)
+
+    return both.mapInArrow(joined, f"doc_id long, {schema}")
+
 
-    texts = split.where("words is null").select("chunk", "doc_id", "places")
-    return texts.groupBy("chunk").cogroup(back.groupBy("stretch")).applyInArrow(together, f"doc_id long, {schema}")
+def encode(docs: DataFrame, bpe: Bpe, hot_words: int = HOT_WORDS) -> DataFrame:
+    """(doc_id, ids): the ids of each whole text, as ``digests`` takes them."""
+    return _encoded(docs, bpe, lambda ids: (ids.astype(np.int64),), "ids array<long>", hot_words)
 
 
-DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def digests(docs: DataFrame, bpe: Bpe, stretch: int = STRETCH_BYTES) -> DataFrame:
+def digests(docs: DataFrame, bpe: Bpe, hot_words: int = HOT_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each whole text: of its ids in decimal, and of what they decode to.
 
     Null and empty texts have no ids. Null ids of documents stay null; repeated rows give one row each; an empty table gives an empty
     one; other columns are not read.
     """
+    numbers = [str(i) for i in range(len(bpe.pieces()))]
+
+    def finish(ids: np.ndarray) -> tuple[str, np.ndarray]:
+        return hashlib.sha256(" ".join([numbers[i] for i in ids.tolist()]).encode()).hexdigest(), ids.astype(np.int32)
 
-    def sha(parts: list[str]) -> str:
-        return hashlib.sha256(" ".join(parts).encode()).hexdigest()
+    types = arrow_types(DIGESTS)
 
-    def finish(at: np.ndarray, words: WordList) -> tuple[int, str, str]:
-        sizes = words.sizes[at]
-        own = (at if sizes.all() else at[sizes > 0]).tolist()  # words without ids leave nothing between their neighbours
-        return int(sizes.sum()), sha([words.decimals[i] for i in own]), sha([words.texts[i] for i in own])
+    def done(held: list, n: int, text) -> tuple:
+        return held[0], n, held[1], text.hexdigest()
 
-    return _joined(docs, bpe, finish, DIGESTS, stretch)
+    def run(batches):
+        held, n, text = None, 0, None
+        for b in batches:
+            out = []
+            for first, doc, sha, count, said in _stretches(b):
+                if first:
+                    if held is not None:
+                        out.append(done(held, n, text))
+                    held, n, text = (doc, sha), 0, hashlib.sha256()
+                elif count and n:
+                    text.update(b" ")
+                text.update(said)
+                n += count
+            if out:
+                yield record(dict(zip(types, zip(*out, strict=True), strict=True)), types)
+        if held is not None:
+            yield record({k: [v] for k, v in zip(types, done(held, n, text), strict=True)}, types)
+
+    ids = _encoded(docs, bpe, finish, "sha string, ids array<int>", hot_words)
+    return _pieces(ids, bpe, "doc_id", "sha").mapInArrow(run, DIGESTS)
 
 
-def encode(docs: DataFrame, bpe: Bpe, stretch: int = STRETCH_BYTES) -> DataFrame:
-    """(doc_id, ids): the ids of each whole text, as ``digests`` takes them."""
+def piece_table(spark: SparkSession, bpe: Bpe) -> DataFrame:
+    """(id, piece) of the whole vocabulary."""
+    return spark.createDataFrame(list(enumerate(bpe.pieces())), "id int, piece string")
+
 
-    def finish(at: np.ndarray, words: WordList) -> tuple[list[int]]:
-        return ([x for i in at.tolist() for x in words.ids[i]],)
+def _pieces(encoded: DataFrame, bpe: Bpe, *columns: str) -> DataFrame:
+    """(first, pos, piece, columns): the ids of each row by position, with their pieces; the first of a row has the other columns.
 
-    return _joined(docs, bpe, finish, "ids array<long>", stretch)
+    Explode and a broadcast join keep rows in place, so a text's pieces follow one another; a reader can tell by ``pos``.
+    """
+    rows = encoded.select(*columns, F.posexplode_outer(F.col("ids").cast("array<int>")).alias("pos", "id"))
+    met = rows.join(F.broadcast(piece_table(encoded.sparkSession, bpe)), "id", "left")  # as many rows as the vocabulary has
+    first = F.coalesce(F.col("pos") == 0, F.lit(True))
+    return met.select(first.alias("first"), F.coalesce("pos", F.lit(-1)).alias("pos"), "piece", *[F.when(first, F.col(c)).alias(c) for c in columns])
+
+
+def _stretches(b: pa.RecordBatch):
+    """(first, columns, pieces, their text) for each text's rows in a batch of ``_pieces``; the first may go on from the batch before."""
+    n = b.num_rows
+    if not n:
+        return
+    pos = b.column("pos").to_numpy()
+    first = b.column("first").to_numpy(zero_copy_only=False)
+    if not (first[1:] | (pos[1:] == pos[:-1] + 1)).all():
+        raise ValueError("pieces came out of order")
+    edge = np.flatnonzero(first)
+    if not len(edge) or edge[0]:
+        edge = np.concatenate([[0], edge])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(edge, n), pa.int32()), b.column("piece"))
+    said = pc.binary_join(lists, " ")
+    size = np.diff(np.append(edge, n))
+    for i, at, k, text in zip(range(len(edge)), edge.tolist(), size.tolist(), said.cast(pa.binary()).to_pylist(), strict=True):
+        none = pos[at] < 0  # a text without ids has one row, without a piece
+        yield bool(first[at]), *[b.column(c)[at].as_py() for c in b.schema.names[3:]], 0 if none else k, b"" if none else text
 
 
 def decode(encoded: DataFrame, bpe: Bpe) -> DataFrame:
-    """(doc_id, ids, text) from (doc_id, ids): ids exploded by position, joined with the id-to-piece table, put together again.
+    """(doc_id, ids, text) from (doc_id, ids), each id joined with its piece. Null or empty ids give an empty text."""
+    schema = "doc_id long, ids array<long>, text string"
+    types = arrow_types(schema)
 
-    The table has a row for each id of the vocabulary and is broadcast. Null or empty ids give an empty text.
-    """
-    spark = encoded.sparkSession
-    pieces = piece_table(spark, bpe)
-    rows = encoded.select(F.monotonically_increasing_id().alias("_tl_row"), "doc_id", "ids")
-    rows = Scratch(spark).keep(rows)
-    text = rows.select("_tl_row", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces), "id").groupBy("_tl_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x.piece), " ").alias("text"))
-    return rows.join(text, "_tl_row", "left").select("doc_id", "ids", F.coalesce("text", F.lit("")).alias("text"))
+    def run(batches):
+        held, parts = None, []
+        for b in batches:
+            for first, doc, ids, count, said in _stretches(b):
+                if first:
+                    if held is not None:
+                        yield record({"doc_id": [held[0]], "ids": [held[1]], "text": [b" ".join(parts).decode()]}, types)
+                    held, parts = (doc, ids), []
+                parts += [said] if count else []
+        if held is not None:
+            yield record({"doc_id": [held[0]], "ids": [held[1]], "text": [b" ".join(parts).decode()]}, types)
+
+    rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<long>").alias("ids"))
+    return _pieces(rows.withColumn("all_ids", F.col("ids")), bpe, "doc_id", "all_ids").mapInArrow(run, schema)
