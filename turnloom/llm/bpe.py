@@ -4,8 +4,9 @@ A word here is a run between white space, which no pre-token of the tokenizer cr
 of words has two parts: the most frequent ones, a bounded number of bounded length, whose ids are given to all tasks; and all others,
 which meet by word with the places that want them. Their ids are joined back by document and position.
 
-Texts are decoded from these ids: each id by position meets its piece in the id-to-piece table, which has a row for each id of the vocabulary
-and is broadcast; the rows of a text stay side by side, so that its pieces are put together as they stream by.
+Texts are decoded from these ids. A stretch of encoded texts goes on as one row with its texts' ids by position, numbered within the stretch,
+and one row for each distinct id. Those meet their pieces in the id-to-piece table, which has a row for each id of the vocabulary and is
+broadcast; rows stay side by side, so that the stretch's texts are put together by position as its pieces stream by.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ import json
 import os
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,8 @@ HOT_WORDS, HOT_BYTES = 1 << 19, 32
 HELD_WORDS = 1_000_000
 #: Places of words that a task holds before it passes them on.
 HELD_PLACES = 500_000
+#: Bytes of ids that are decoded at once.
+STRETCH_BYTES = 8 << 20
 #: White space of str.split() that the tokenizer's pattern takes for symbols.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -258,12 +262,12 @@ def _encoded(docs: DataFrame, bpe: Bpe, finish, schema: str, hot_words: int) ->
         for b in short(batches):
             rows = []
             for p, f in zip(b.column("packed").to_pylist(), b.column("found").to_pylist(), strict=True):
-                at = _unpack(p).tolist()
+                at = _unpack(p)
                 if f:
                     own = {n_hot + int.from_bytes(x[:4], "little"): x[4:] for x in f}
-                    ids = b"".join([hot_ids[r] if r < n_hot else own[r] for r in at])
+                    ids = b"".join([hot_ids[r] if r < n_hot else own[r] for r in at.tolist()])
                 else:
-                    ids = b"".join([hot_ids[r] for r in at])
+                    ids = b"".join(taken(hot_ids, at))
                 rows.append(finish(np.frombuffer(ids, bpe.kind)))
             if rows:
                 yield record({"doc_id": b.column("doc_id")} | dict(zip(names, zip(*rows, strict=True), strict=True)), out)
@@ -287,34 +291,22 @@ def digests(docs: DataFrame, bpe: Bpe, hot_words: int = HOT_WORDS) -> DataFrame:
     """
     numbers = [str(i) for i in range(len(bpe.pieces()))]
 
-    def finish(ids: np.ndarray) -> tuple[str, np.ndarray]:
-        return hashlib.sha256(" ".join([numbers[i] for i in ids.tolist()]).encode()).hexdigest(), ids.astype(np.int32)
+    def finish(ids: np.ndarray) -> tuple[str, bytes]:
+        return sha256(taken(numbers, ids)), ids.astype("<i4").tobytes()
 
-    types = arrow_types(DIGESTS)
+    def done(docs: list, notes: list, sizes: list[int], texts: Iterator[str]) -> dict:
+        return {"doc_id": docs, "n_tokens": sizes, "ids_sha256": notes, "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in texts]}
 
-    def done(held: list, n: int, text) -> tuple:
-        return held[0], n, held[1], text.hexdigest()
+    return _decoded(_encoded(docs, bpe, finish, "note string, ids binary", hot_words), bpe, done, DIGESTS)
+
+
+def taken(table: list, at: np.ndarray) -> tuple:
+    """The table's values at the places."""
+    return itemgetter(*at.tolist())(table) if len(at) > 1 else tuple(table[i] for i in at.tolist())
 
-    def run(batches):
-        held, n, text = None, 0, None
-        for b in batches:
-            out = []
-            for first, doc, sha, count, said in _stretches(b):
-                if first:
-                    if held is not None:
-                        out.append(done(held, n, text))
-                    held, n, text = (doc, sha), 0, hashlib.sha256()
-                elif count and n:
-                    text.update(b" ")
-                text.update(said)
-                n += count
-            if out:
-                yield record(dict(zip(types, zip(*out, strict=True), strict=True)), types)
-        if held is not None:
-            yield record({k: [v] for k, v in zip(types, done(held, n, text), strict=True)}, types)
 
-    ids = _encoded(docs, bpe, finish, "sha string, ids array<int>", hot_words)
-    return _pieces(ids, bpe, "doc_id", "sha").mapInArrow(run, DIGESTS)
+def sha256(parts: tuple[str, ...]) -> str:
+    return hashlib.sha256(" ".join(parts).encode()).hexdigest()
 
 
 def piece_table(spark: SparkSession, bpe: Bpe) -> DataFrame:
@@ -322,53 +314,75 @@ def piece_table(spark: SparkSession, bpe: Bpe) -> DataFrame:
     return spark.createDataFrame(list(enumerate(bpe.pieces())), "id int, piece string")
 
 
-def _pieces(encoded: DataFrame, bpe: Bpe, *columns: str) -> DataFrame:
-    """(first, pos, piece, columns): the ids of each row by position, with their pieces; the first of a row has the other columns.
+STRETCH = "pos int, id int, docs array<long>, notes array<string>, sizes array<int>, places binary"
 
-    Explode and a broadcast join keep rows in place, so a text's pieces follow one another; a reader can tell by ``pos``.
-    """
-    rows = encoded.select(*columns, F.posexplode_outer(F.col("ids").cast("array<int>")).alias("pos", "id"))
-    met = rows.join(F.broadcast(piece_table(encoded.sparkSession, bpe)), "id", "left")  # as many rows as the vocabulary has
-    first = F.coalesce(F.col("pos") == 0, F.lit(True))
-    return met.select(first.alias("first"), F.coalesce("pos", F.lit(-1)).alias("pos"), "piece", *[F.when(first, F.col(c)).alias(c) for c in columns])
-
-
-def _stretches(b: pa.RecordBatch):
-    """(first, columns, pieces, their text) for each text's rows in a batch of ``_pieces``; the first may go on from the batch before."""
-    n = b.num_rows
-    if not n:
-        return
-    pos = b.column("pos").to_numpy()
-    first = b.column("first").to_numpy(zero_copy_only=False)
-    if not (first[1:] | (pos[1:] == pos[:-1] + 1)).all():
-        raise ValueError("pieces came out of order")
-    edge = np.flatnonzero(first)
-    if not len(edge) or edge[0]:
-        edge = np.concatenate([[0], edge])
-    lists = pa.ListArray.from_arrays(pa.array(np.append(edge, n), pa.int32()), b.column("piece"))
-    said = pc.binary_join(lists, " ")
-    size = np.diff(np.append(edge, n))
-    for i, at, k, text in zip(range(len(edge)), edge.tolist(), size.tolist(), said.cast(pa.binary()).to_pylist(), strict=True):
-        none = pos[at] < 0  # a text without ids has one row, without a piece
-        yield bool(first[at]), *[b.column(c)[at].as_py() for c in b.schema.names[3:]], 0 if none else k, b"" if none else text
 
+def _stretches(batches):
+    """From (doc_id, note, ids) to STRETCH: a row with a stretch's texts, their ids as places among its distinct ids, then these ids in order."""
+    types = arrow_types(STRETCH)
 
-def decode(encoded: DataFrame, bpe: Bpe) -> DataFrame:
-    """(doc_id, ids, text) from (doc_id, ids), each id joined with its piece. Null or empty ids give an empty text."""
-    schema = "doc_id long, ids array<long>, text string"
+    def closed(docs, notes, ids):
+        distinct, places = np.unique(np.frombuffer(b"".join(ids), "<i4"), return_inverse=True)
+        n = len(distinct)
+        first = {"docs": docs, "notes": notes, "sizes": [len(x) // 4 for x in ids], "places": places.astype("<i4").tobytes()}
+        columns = {k: pa.concat_arrays([pa.array([v], types[k]), pa.nulls(n, types[k])]) for k, v in first.items()}
+        return record({"pos": pa.array(np.arange(-1, n, dtype=np.int32)), "id": pa.concat_arrays([pa.nulls(1, pa.int32()), pa.array(distinct, pa.int32())])} | columns, types)
+
+    docs, notes, ids, size = [], [], [], 0
+    for b in short(batches):
+        docs += b.column("doc_id").to_pylist()
+        notes += b.column("note").to_pylist()
+        ids += b.column("ids").to_pylist()
+        size += sum(map(len, b.column("ids").to_pylist()))
+        if size >= STRETCH_BYTES:
+            yield closed(docs, notes, ids)
+            docs, notes, ids, size = [], [], [], 0
+    if docs:
+        yield closed(docs, notes, ids)
+
+
+def _decoded(encoded: DataFrame, bpe: Bpe, done: Callable[[list, list, list[int], Iterator[str]], dict], schema: str) -> DataFrame:
+    """The columns that ``done(doc ids, notes, numbers of ids, texts)`` gives for each stretch of ``encoded`` (doc_id, note, ids in four bytes each)."""
+    rows = encoded.select("doc_id", "note", "ids").mapInArrow(_stretches, STRETCH)
+    met = rows.join(F.broadcast(piece_table(encoded.sparkSession, bpe)), "id", "left")  # as many rows as the vocabulary has
     types = arrow_types(schema)
 
+    def closed(held: dict, pieces: list[str]) -> pa.RecordBatch:
+        places, sizes = np.frombuffer(held["places"], "<i4"), held["sizes"]
+        ends = np.cumsum(sizes)
+        texts = (" ".join(taken(pieces, places[e - n : e])) for n, e in zip(sizes, ends.tolist(), strict=True))
+        return record(done(held["docs"], held["notes"], sizes, texts), types)
+
     def run(batches):
-        held, parts = None, []
+        held, pieces = None, []
         for b in batches:
-            for first, doc, ids, count, said in _stretches(b):
-                if first:
+            pos, found = b.column("pos").to_numpy(), b.column("piece").to_pylist()
+            begin = np.flatnonzero(pos < 0).tolist()
+            for i, j in zip([0, *begin], [*begin, len(pos)], strict=True):
+                if i == j:
+                    continue
+                if pos[i] < 0:
                     if held is not None:
-                        yield record({"doc_id": [held[0]], "ids": [held[1]], "text": [b" ".join(parts).decode()]}, types)
-                    held, parts = (doc, ids), []
-                parts += [said] if count else []
+                        yield closed(held, pieces)
+                    held, pieces = {c: b.column(c)[i].as_py() for c in ("docs", "notes", "sizes", "places")}, []
+                    i += 1
+                if (pos[i:j] != np.arange(len(pieces), len(pieces) + j - i)).any():
+                    raise ValueError("pieces came out of order")
+                pieces += found[i:j]
         if held is not None:
-            yield record({"doc_id": [held[0]], "ids": [held[1]], "text": [b" ".join(parts).decode()]}, types)
+            yield closed(held, pieces)
+
+    return met.select("pos", "piece", "docs", "notes", "sizes", "places").mapInArrow(run, schema)
+
+
+def decode(encoded: DataFrame, bpe: Bpe) -> DataFrame:
+    """(doc_id, text) from (doc_id, ids), each id joined with its piece. Null or empty ids give an empty text."""
+    own = arrow_types("doc_id long, note string, ids binary")
+
+    def packed(batches):
+        for b in short(batches):
+            ids = [np.array(x or [], "<i4").tobytes() for x in b.column("ids").to_pylist()]
+            yield record({"doc_id": b.column("doc_id"), "note": pa.nulls(len(ids), pa.string()), "ids": ids}, own)
 
-    rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<long>").alias("ids"))
-    return _pieces(rows.withColumn("all_ids", F.col("ids")), bpe, "doc_id", "all_ids").mapInArrow(run, schema)
+    rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(packed, "doc_id long, note string, ids binary")
+    return _decoded(rows, bpe, lambda docs, notes, sizes, texts: {"doc_id": docs, "text": list(texts)}, "doc_id long, text string")
