@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,23 +82,36 @@ def snr_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(level / 0.25, 7).alias("scale"))
 
 
-def _stats(t: DataFrame) -> DataFrame:
-    return t.select("vec_id", F.size("embedding").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("energy"))
+def _stats(t: DataFrame, digits: int = 4) -> DataFrame:
+    return t.select("vec_id", F.size("embedding").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), digits).alias("energy"))
 
 
-@query("resample_linear")
+def _energy(samples: str, digits: int = 4) -> str:
+    return f"SELECT vec_id, len(y)::INT AS n, round(list_sum(list_transform(y, lambda v: v::DOUBLE * v::DOUBLE)), {digits}) AS energy FROM (SELECT vec_id, {samples} AS y FROM e)"
+
+
+E_SQL = "WITH e AS (SELECT vec_id, embedding AS x, len(embedding) AS m FROM embeddings)"
+
+
+# twice the rate: every other sample lies halfway between its neighbours, the last one holds
+@query("resample_linear", f"{E_SQL} {_energy('list_transform(range(2 * m), lambda i: ((x[i // 2 + 1]::DOUBLE + x[least(m, (i + 1) // 2 + 1)]::DOUBLE) / 2)::FLOAT)')}")
 def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stats(audio.array_chain(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda k, x: dsp.resample(x, HZ, 2 * HZ)))
 
 
-@query("fit_length")
+# the table's vectors are shorter than 100 samples: they are repeated
+@query("fit_length", f"{E_SQL} {_energy('list_transform(range(100), lambda i: x[i % m + 1])')}")
 def fit_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stats(audio.array_chain(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda k, x: dsp.fit_length(x, 100, dsp.generator(0, k))))
 
 
-@query("reverb")
+@query(
+    "reverb",
+    f"""WITH r AS (SELECT list_transform(range(48), lambda k: exp(-k / 8.0::DOUBLE)) AS h), e AS (SELECT vec_id, embedding AS x, len(embedding) AS m, list_transform(h, lambda v: v / list_sum(h)) AS h FROM embeddings, r)
+{_energy("list_transform(range(m), lambda i: greatest(-1, least(1, 0.7::DOUBLE * x[i + 1] + 0.3::DOUBLE * list_sum(list_transform(range(least(i, 47) + 1), lambda k: x[i - k + 1] * h[k + 1])))))", 3)}""",
+)
 def reverb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stats(audio.array_chain(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda k, x: dsp.reverb(x, dsp.decaying_response(0.001, HZ), 0.3)))
+    return _stats(audio.array_chain(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda k, x: dsp.reverb(x, dsp.decaying_response(0.001, HZ), 0.3)), 3)
 
 
 @query("white_noise")
@@ -107,16 +119,12 @@ def white_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stats(audio.array_chain(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda k, x: dsp.white_noise(x, 20.0, dsp.generator(0, k))))
 
 
-@query("pcm16_roundtrip", "SELECT vec_id, true AS close FROM embeddings")
+# samples come back as whole steps: cut towards zero at 32767 a unit, read at 32768
+@query("pcm16_roundtrip", f"{E_SQL} {_energy('list_transform(x, lambda v: trunc(greatest(-1.0::FLOAT, least(1.0::FLOAT, v)) * 32767::FLOAT)::DOUBLE / 32768)')}")
 def pcm16_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnloom.sources.wav import decode, encode
 
-    def back(k: str, x: np.ndarray) -> np.ndarray:
-        y, rate = decode(encode(x, HZ))
-        return np.abs(y - np.clip(x, -1, 1))
-
-    out = audio.array_chain(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", back)
-    return out.select("vec_id", (F.array_max("embedding") < 1e-3).alias("close"))
+    return _stats(audio.array_chain(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda k, x: decode(encode(x, HZ))[0]))
 
 
 @query("sine_duration", f"WITH {U_SQL} SELECT clip_id, ord, dur_s FROM u")

@@ -145,19 +145,51 @@ def _scheduled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return u, schedule.schedule(u, peaks, MixingConfig(max_simultaneous_speakers=2))
 
 
-@query("schedule_clips")
+def _slot_draw(what: str) -> str:
+    return _draw(f"'0:' || clip_id || ':' || ord || ':{what}'")
+
+
+# one slot more a step, as in a sequential run: where the latest slot is, whether this clip falls into it, and whether it cuts it
+SLOT_SQL = f"""q AS (
+  SELECT clip_id, ord, dur_s, row_number() OVER (PARTITION BY clip_id ORDER BY ord) AS k, {_slot_draw("overlap")} AS r_overlap, {_slot_draw("start")} AS r_start, {_slot_draw("uncut")} AS r_uncut, {_slot_draw("cut")} AS r_cut FROM u
+), st AS (
+  SELECT DISTINCT clip_id, 0::BIGINT AS k, []::STRUCT(o DOUBLE, d DOUBLE, c DOUBLE)[] AS slots FROM u
+  UNION ALL
+  SELECT clip_id, k, list_append(list_transform(slots, lambda x, i: CASE WHEN cuts AND i = v THEN {{'o': x.o, 'd': x.d, 'c': cut}} ELSE x END), {{'o': CASE WHEN falls THEN start ELSE after END, 'd': dur_s, 'c': NULL::DOUBLE}}) FROM (
+    SELECT *, falls AND r_uncut >= 0.5 AND (victim.c IS NULL OR cut < victim.c) AS cuts FROM (
+      SELECT *, coalesce(victim IS NOT NULL AND r_overlap < 0.8 AND len(list_filter(slots, lambda x: x.o <= start AND start < x.o + coalesce(x.c, x.d))) < 2, false) AS falls,
+             least(victim.d, (start - victim.o) + 0.01::DOUBLE + r_cut * 2.99::DOUBLE) AS cut FROM (
+        SELECT *, victim.o + r_start * (victim.o + coalesce(victim.c, victim.d) - victim.o) AS start FROM (
+          SELECT *, slots[v] AS victim FROM (
+            SELECT q.*, slots, list_position(list_transform(slots, lambda x: x.o), list_max(list_transform(slots, lambda x: x.o))) AS v, coalesce(list_max(list_transform(slots, lambda x: x.o + coalesce(x.c, x.d))), 0::DOUBLE) AS after
+            FROM st JOIN q ON q.clip_id = st.clip_id AND q.k = st.k + 1))))
+  )
+), s AS (
+  SELECT q.clip_id, q.ord, slots[q.k].o AS offset_s, slots[q.k].d AS duration_s, slots[q.k].c AS cut_at_s
+  FROM q JOIN (SELECT clip_id, arg_max(slots, k) AS slots FROM st GROUP BY clip_id) f ON q.clip_id = f.clip_id
+)"""
+
+
+@query("schedule_clips", f"WITH RECURSIVE {U_SQL}, {SLOT_SQL} SELECT clip_id, ord, round(offset_s, 6) AS offset_s, round(duration_s, 6) AS duration_s, round(cut_at_s, 6) AS cut_at_s FROM s")
 def schedule_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scheduled(spark, sf_dir)[1]
+    return _scheduled(spark, sf_dir)[1].select("clip_id", "ord", *[F.round(c, 6).alias(c) for c in ("offset_s", "duration_s", "cut_at_s")])
 
 
-@query("schedule_peak_check", f"WITH {U_SQL} SELECT DISTINCT clip_id, true AS within FROM u")
+@query(
+    "schedule_peak_check",
+    f"""WITH RECURSIVE {U_SQL}, {SLOT_SQL}, k AS (SELECT clip_id, offset_s AS a, offset_s + least(duration_s, coalesce(cut_at_s, duration_s)) AS b FROM s)
+SELECT x.clip_id, max((SELECT count(*) FROM k y WHERE y.clip_id = x.clip_id AND y.a <= x.a AND x.a < y.b))::INT AS peak, max((SELECT count(*) FROM k y WHERE y.clip_id = x.clip_id AND y.a <= x.a AND x.a < y.b)) <= 2 AS within FROM k x GROUP BY x.clip_id""",
+)
 def schedule_peak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scheduled(spark, sf_dir)[1]
     placed = s.withColumn("end_s", F.col("offset_s") + truncate.kept_seconds(F.col("duration_s"), F.col("cut_at_s")))
-    return counts.peak_overlap(placed, "clip_id", "offset_s").select("clip_id", (F.col("peak") <= 2).alias("within"))
+    return counts.peak_overlap(placed, "clip_id", "offset_s").select("clip_id", F.col("peak").cast("int").alias("peak"), (F.col("peak") <= 2).alias("within"))
 
 
-@query("mix_render_stats")
+@query(
+    "mix_render_stats",
+    f"""WITH RECURSIVE {U_SQL}, {SLOT_SQL} SELECT clip_id, 16000::INT AS sample_rate, max(round_even(offset_s * 16000, 0) + round_even(least(duration_s, coalesce(cut_at_s, duration_s)) * 16000, 0))::BIGINT AS num_samples, true AS whole FROM s GROUP BY clip_id""",
+)
 def mix_render_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, s = _scheduled(spark, sf_dir)
     placed = s.withColumn("kept_s", truncate.kept_seconds(F.col("duration_s"), F.col("cut_at_s"))).join(u.select("clip_id", "ord", "text", F.col("speaker_id").alias("preset")), ["clip_id", "ord"])
