@@ -83,7 +83,40 @@ def der_from_sot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return der.der_from_sot(serialize(u), serialize(h)).select("clip_id", F.round("rate", 5).alias("rate"))
 
 
-@query("cpwer")
+# word edits of every pair of streams, a row of the table at a time; then the pairing that saves most against deleting and inserting everything
+CPWER_SQL = f"""{H_SQL}, rs AS (
+  SELECT clip_id, speaker_id, list_filter(string_split(string_agg(text, ' ' ORDER BY start_s, end_s, ord), ' '), lambda x: x <> '') AS w FROM u GROUP BY ALL
+), hs AS (
+  SELECT clip_id, speaker_id, list_filter(string_split(string_agg(text, ' ' ORDER BY start_s, end_s, ord), ' '), lambda x: x <> '') AS w FROM h GROUP BY ALL
+), pq AS (
+  SELECT row_number() OVER () AS p, rs.clip_id, rs.speaker_id AS r, hs.speaker_id AS h, rs.w AS rw, hs.w AS hw FROM rs JOIN hs ON rs.clip_id = hs.clip_id
+), rx AS (
+  SELECT p, unnest(rw) AS word, unnest(range(1, len(rw) + 1)) AS i FROM pq
+), hx AS (
+  SELECT p, unnest(hw) AS word, unnest(range(1, len(hw) + 1)) AS j FROM pq
+), ed AS (
+  SELECT p, 0::BIGINT AS i, unnest(range(len(hw) + 1)) AS j, unnest(range(len(hw) + 1)) AS v FROM pq
+  UNION ALL
+  SELECT p, i, j, min(base - j) OVER (PARTITION BY p ORDER BY j) + j FROM (
+    SELECT ed.p, rx.i, ed.j, CASE WHEN ed.j = 0 THEN rx.i ELSE least(v + 1, lag(v) OVER (PARTITION BY ed.p ORDER BY ed.j) + (rx.word <> hx.word)::BIGINT) END AS base
+    FROM ed JOIN rx ON rx.p = ed.p AND rx.i = ed.i + 1 LEFT JOIN hx ON hx.p = ed.p AND hx.j = ed.j)
+), sv AS (
+  SELECT clip_id, r, h, len(rw) + len(hw) - v AS saved FROM pq JOIN ed ON ed.p = pq.p AND ed.i = len(rw) AND ed.j = len(hw)
+), nm AS (
+  SELECT clip_id, speaker_id AS s FROM rs UNION ALL SELECT DISTINCT clip_id, '-' FROM rs
+), pr AS (
+  SELECT x.clip_id, x.s AS x, y.s AS y, z.s AS z FROM nm x JOIN nm y ON x.clip_id = y.clip_id JOIN nm z ON x.clip_id = z.clip_id
+  WHERE (x.s <> y.s OR x.s = '-') AND (x.s <> z.s OR x.s = '-') AND (y.s <> z.s OR y.s = '-')
+), bs AS (
+  SELECT clip_id, max(saved) AS saved FROM (SELECT pr.clip_id, x, y, z, coalesce(sum(saved), 0) AS saved FROM pr LEFT JOIN sv ON sv.clip_id = pr.clip_id AND (h = 'X' AND r = x OR h = 'Y' AND r = y OR h = 'Z' AND r = z) GROUP BY ALL) GROUP BY clip_id
+), nr AS (
+  SELECT clip_id, sum(len(w)) AS n FROM rs GROUP BY clip_id
+), nh AS (
+  SELECT clip_id, sum(len(w)) AS n FROM hs GROUP BY clip_id
+)"""
+
+
+@query("cpwer", f"WITH RECURSIVE {CPWER_SQL} SELECT nr.clip_id, (nr.n + coalesce(nh.n, 0) - saved)::BIGINT AS errors, nr.n::BIGINT AS n_ref_words, (nr.n + coalesce(nh.n, 0) - saved)::DOUBLE / nr.n AS cpwer FROM nr JOIN bs ON bs.clip_id = nr.clip_id LEFT JOIN nh ON nh.clip_id = nr.clip_id")
 def cpwer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp.cpwer(*_sides(spark, sf_dir))
 
