@@ -130,6 +130,33 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(documents(spark, sf_dir), "kept_sha256 string")
 
 
+ORACLE["op6_suffix_dedup"] = r"""
+WITH t AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS x FROM documents
+), v AS (
+  SELECT doc_id, o, octet_length(b) - 99 - o AS n, x[2 * o + 1 : 2 * o + 598] AS y FROM (SELECT doc_id, b, x, unnest(range(0, octet_length(b) - 99, 200)) AS o FROM t WHERE octet_length(b) >= 100)
+), s AS (
+  SELECT doc_id, o + unnest(range(least(n, 200))) AS i, unnest(range(least(n, 200))) AS j, y FROM v
+), k AS (
+  SELECT doc_id, i, md5_number(y[2 * j + 1 : 2 * j + 200]) AS k FROM s
+), g AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM k) WHERE r > 1
+), e AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g
+), o AS (
+  SELECT doc_id, i, sum((before IS NULL OR i > before + 100)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM e
+), p AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM o GROUP BY doc_id, n
+), c AS (
+  SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS kept_from FROM p
+), d AS (
+  SELECT c.doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(x[2 * kept_from + 1 : 2 * a], '' ORDER BY a) || any_value(x)[2 * max(z) + 1 :] AS kept FROM c JOIN t ON t.doc_id = c.doc_id GROUP BY c.doc_id
+)
+SELECT t.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM t LEFT JOIN d ON t.doc_id = d.doc_id
+"""
+
+
 @query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnloom.llm.near import near_duplicates
