@@ -569,13 +569,17 @@ def test_training_stops_early(spark):
             self.saved.append(name)
 
     m = Fake()
-    epochs = run_phase1(m, lambda rows: 0.5, m, rows, epochs=9, patience=2)
-    assert [e.score for e in epochs] == [1.0, 0.0, 0.0, 0.0] and best_epoch(epochs).number == 2 and m.saved == ["epoch1", "epoch2"]
+    done = run_phase1(m, lambda rows: 0.5, m, rows, epochs=9, patience=2)
+    assert [e.score for e in done.history] == [1.0, 0.0, 0.0, 0.0] and best_epoch(done.history).number == 2 and m.saved == ["epoch1", "epoch2"]
+    assert (done.best_checkpoint, done.best_score, done.stopped_early) == ("epoch2", 0.0, True)
+    assert not run_phase1(m, lambda rows: 0.5, m, rows, epochs=2).stopped_early
     assert evaluate_test_split(m, rows) == 0.0
     with pytest.raises(ValueError):
         run_phase1(m, lambda rows: 0.5, m, rows.where("split = 'train'"), epochs=1)
     real = spark.createDataFrame([(f"r{i}", "<A> 0.0->1.0: a b") for i in range(60)], "clip_id string, transcript string")
-    assert run_phase2(m, lambda rows: 0.1, m, real, rows, epochs=1) == {"loss": 0.1, "held_out": 0.0, "synthetic": 0.0}
+    m.saved.clear()
+    done = run_phase2(m, lambda rows: 0.1, m, real, rows, epochs=2)
+    assert (done.loss, done.held_out, done.synthetic, done.train_clips + done.held_out_clips, m.saved) == (0.1, 0.0, 0.0, 60, ["adapter"])
 
 
 def test_streams(spark, tmp_path):
@@ -632,3 +636,34 @@ def test_default_weights_taper_after_four_speakers(spark):
     shares = {r["count"]: r["target"] for r in balance.realized_vs_target(balance.plan_clip_counts(spark, 50)).where("dimension = 'total'").collect()}
     assert max(shares, key=shares.get) == 4 and abs(shares[4] - 10 / 55) < 1e-12 and abs(shares[20] - 1 / 55) < 1e-12
     assert all(shares[k] >= shares[k + 1] for k in range(4, 20))
+
+
+def test_stages_around_a_model(spark, tmp_path):
+    from turnloom.plans.build import run_pipeline
+    from turnloom.plans.models import ExampleStep, TranscriptModel, Trainable, always_target
+    from turnloom.plans.registry import ENGINES, MODELS
+    from turnloom.plans.engines import Engine
+
+    def noisy():  # an engine that never says the same twice: what was kept is what everything is made of
+        return lambda text, reference, preset: (np.random.default_rng().uniform(-0.1, 0.1, np.random.default_rng().integers(4000, 9000)).astype(np.float32), 16_000)
+
+    ENGINES.register("noisy")(lambda: Engine("noisy", False, 16_000, noisy))
+    seen, saved = [], []
+
+    @MODELS.register("echo")
+    def echo():
+        step = ExampleStep(lambda x, rate, text: seen.append((len(x) / rate, text)) or 0.25, saved.append)
+        return Trainable(TranscriptModel(lambda: lambda x, rate, mask: f"<S1> 0.0->{len(mask) * 0.02}: a b"), step, step)
+
+    root = str(tmp_path / "set")
+    own = {"model": "echo", "dataset_root": root, "synthetic_root": root, "epochs": 1}
+    data = {"seed": 3, "stages": ["build_dataset", "phase1", "phase2", "evaluate"], "dataset": {"output_dir": root, "num_examples": 30, "text_options": {"sentences": ["One two.", "Three."]}, "engine_weights": {"noisy": 1.0}}, "phase1": own, "phase2": own, "evaluate": {"model": "echo", "dataset_root": root, "metrics": ["der", "cpwer", "tcpwer"]}}
+    out = run_pipeline(spark, from_mapping(data))
+    assert out["build_dataset"]["clips"] == 30 and out["phase1"]["history"][0]["loss"] == 0.25 and saved == ["epoch1", "adapter"]
+    assert out["phase2"]["train_clips"] + out["phase2"]["held_out_clips"] == 30 and set(out["evaluate"]) == {"der", "cpwer", "tcpwer"}
+    for seconds, text in seen:  # transcripts end where the audio ends
+        ends = [float(line.split("->")[1].split(":")[0]) for line in text.split("\n")]
+        assert abs(max(ends) - seconds) < 1e-3
+    assert always_target(3).tolist() == [[0, 1, 0, 0]] * 3
+    with pytest.raises(RuntimeError):
+        TranscriptModel().predict(spark.createDataFrame([], "clip_id string, pcm binary, sample_rate int"))

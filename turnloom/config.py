@@ -75,13 +75,22 @@ class DatasetConfig:
 
 @dataclass(frozen=True)
 class TrainingConfig:
+    """``model`` names a registered model; ``synthetic_root`` is where phase 2 takes its clips for regressions."""
+
     dataset_root: str = "data/synthetic"
+    synthetic_root: str = "data/synthetic"
     epochs: int = 1
+    patience: int = 3
+    min_delta: float = 0.0
+    model: str = ""
+    model_options: Mapping[str, Any] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
 class EvaluateConfig:
     dataset_root: str = "data/synthetic"
+    model: str = ""
+    model_options: Mapping[str, Any] = field(default_factory=dict)
     metrics: tuple[str, ...] = ("der", "cpwer")
 
 

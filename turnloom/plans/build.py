@@ -3,25 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnloom.config import AugmentSpec, BalancingConfig, PipelineConfig
+from turnloom.config import AugmentSpec, BalancingConfig, EvaluateConfig, PipelineConfig, TrainingConfig
 from turnloom.functions.keyed import positive
 from turnloom.functions.text import strip
 from turnloom.operators import audio, counts, sot, truncate
 from turnloom.operators.balance import plan_clip_counts, run_balance
 from turnloom.operators.budget import assign_engines
+from turnloom.operators.cpwer import cpwer, tcpwer
+from turnloom.operators.der import diarization_error_rate
 from turnloom.operators.schedule import schedule
 from turnloom.operators.split import assign_split
 from turnloom.operators.voices import preset_ids, references, sample_speakers
-from turnloom.plans import aligners, engines  # noqa: F401
+from turnloom.plans import aligners, engines, training  # noqa: F401
+from turnloom.plans.models import Trainable, trainable, with_audio
 from turnloom.plans.registry import ALIGNERS, ENGINES, TEXT_SOURCES
 from turnloom.sources import texts
-from turnloom.sources.manifest import manifest_rows, write_manifest
+from turnloom.sources.manifest import manifest_rows, read_manifest, write_manifest
 from turnloom.sources.wav import decoded, voice_bank, write_wavs
 
 
@@ -56,10 +59,11 @@ def turns_before(clips: DataFrame) -> DataFrame:
     return numbered.withColumn("within", within).join(sums, "part").select("clip_id", (F.col("base") + F.col("within")).alias("before"))
 
 
-def dataset(spark: SparkSession, config: PipelineConfig) -> Built:
+def dataset(spark: SparkSession, config: PipelineConfig, speech: str | None = None) -> Built:
     """Text to mixed clips: plan, speakers, sentences, speech, alignment, schedule, mix, augmentation.
 
-    Everything up to speech works on durations' tables; audio is made in one pass and moves once, to its clip.
+    With ``speech``, a folder, speech is made once and kept there as Parquet; all later steps read it. Without, it is made anew
+    wherever a plan needs it, which is the same speech only if text source and engines are deterministic.
     """
     d = config.dataset
     weights = positive(d.engine_weights)
@@ -92,6 +96,9 @@ def dataset(spark: SparkSession, config: PipelineConfig) -> Built:
         made = engines.synthesized(own, name).drop("reference", "preset")
         spoken = made if spoken is None else spoken.unionByName(made)
     spoken = spoken.withColumn("duration_s", F.octet_length("pcm") / 4 / F.col("sample_rate"))
+    if speech is not None:  # kept, so that schedule, transcripts and audio come from one and the same speech
+        spoken.write.mode("overwrite").parquet(speech)
+        spoken = spark.read.parquet(speech)
     aligned = ALIGNERS.create(d.aligner)(spoken)
     places = schedule(aligned.select("clip_id", "ord", "duration_s"), clips.select("clip_id", F.col("max_simultaneous").alias("peak")), config.mixing, config.seed).drop("duration_s")
     placed = aligned.join(places, ["clip_id", "ord"])
@@ -107,22 +114,52 @@ def dataset(spark: SparkSession, config: PipelineConfig) -> Built:
 
 def build_dataset(spark: SparkSession, config: PipelineConfig) -> dict[str, Any]:
     """Write the dataset; clips by split."""
-    built = dataset(spark, config)
     root = config.dataset.output_dir
+    built = dataset(spark, config, f"{root}/_speech")
     write_manifest(built.manifest, root)
     write_wavs(built.audio.withColumn("split", assign_split(F.col("clip_id"))), root)
     by = {r["split"]: r["count"] for r in spark.read.json(f"{root}/manifest").groupBy("split").count().collect()}
     return {"output_dir": root, "clips": sum(by.values()), "splits": by}
 
 
-def _needs_backend(name: str) -> Callable[[SparkSession, PipelineConfig], dict[str, Any]]:
-    def run(spark: SparkSession, config: PipelineConfig) -> dict[str, Any]:
-        raise PipelineError(f"{name} needs a model backend; use turnloom.plans.training with a Model of your own")
+def _model(stage: str, config: TrainingConfig | EvaluateConfig) -> Trainable:
+    if not config.model:
+        raise PipelineError(f"{stage} needs a model backend: name a registered model in the configuration")
+    return trainable(config.model, **config.model_options)
 
-    return run
 
+def phase1(spark: SparkSession, config: PipelineConfig) -> dict[str, Any]:
+    c = config.phase1
+    t = _model("phase1", c)
+    return asdict(training.run_phase1(t.model, t.step, t.checkpoints, with_audio(read_manifest(spark, c.dataset_root), c.dataset_root), c.epochs, c.patience, c.min_delta))
 
-STAGES: dict[str, Callable[[SparkSession, PipelineConfig], dict[str, Any]]] = {"build_dataset": build_dataset, **{n: _needs_backend(n) for n in ("phase1", "phase2", "evaluate")}}
+
+def phase2(spark: SparkSession, config: PipelineConfig) -> dict[str, Any]:
+    c = config.phase2
+    t = _model("phase2", c)
+    synthetic = with_audio(read_manifest(spark, c.synthetic_root).where("split = 'test'"), c.synthetic_root)
+    return asdict(training.run_phase2(t.model, t.step, t.checkpoints, with_audio(read_manifest(spark, c.dataset_root), c.dataset_root), synthetic, c.epochs))
+
+
+def _der(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
+    return diarization_error_rate(reference, hypothesis).withColumnRenamed("rate", "der")
+
+
+#: Scores by clip that ``evaluate`` knows.
+METRICS: dict[str, training.Metric] = {"der": _der, "cpwer": cpwer, "tcpwer": tcpwer}
+
+
+def evaluate(spark: SparkSession, config: PipelineConfig) -> dict[str, Any]:
+    """The mean of each configured score over the test split."""
+    c = config.evaluate
+    if unknown := [m for m in c.metrics if m not in METRICS]:
+        raise PipelineError(f"no metric {', '.join(unknown)}; there are {', '.join(METRICS)}")
+    t = _model("evaluate", c)
+    rows = with_audio(read_manifest(spark, c.dataset_root).where("split = 'test'"), c.dataset_root)
+    return {m: training.score_rows(t.model, rows, METRICS[m], m) for m in c.metrics}
+
+
+STAGES: dict[str, Callable[[SparkSession, PipelineConfig], dict[str, Any]]] = {"build_dataset": build_dataset, "phase1": phase1, "phase2": phase2, "evaluate": evaluate}
 
 
 def run_pipeline(spark: SparkSession | None, config: PipelineConfig, dry_run: bool = False, on_stage: Callable[[str], None] | None = None) -> dict[str, Any]:

@@ -39,6 +39,7 @@ AUGMENTERS = Registry("augmenter")
 ALIGNERS = Registry("aligner")
 TEXT_SOURCES = Registry("text source")
 ENGINES = Registry("engine")
+MODELS = Registry("model")
 
 #: An augmenter: samples, rate and a keyed generator to samples.
 Step = Callable[[np.ndarray, int, np.random.Generator], np.ndarray]
