@@ -294,9 +294,8 @@ def padded(text: bytes, unit: int = WIDTH) -> bytes:
     return text + b"\0" * (-len(text) % unit if text else unit)
 
 
-def timed(media: bytes) -> Iterator[tuple[dict, np.ndarray]]:
-    """A GIF's frames in order: when and where each shows, the colour histogram of what is then seen, and the canvas."""
-    w, h, _, frames = parse(media)
+def timed(w: int, h: int, frames: list[Frame]) -> Iterator[tuple[dict, np.ndarray]]:
+    """A parsed GIF's frames in order: when and where each shows, the colour histogram of what is then seen, and the canvas."""
     start = 0
     for i, (f, canvas) in enumerate(zip(frames, render(w, h, frames), strict=True)):
         red, green, blue = histogram(canvas).tolist()
@@ -318,7 +317,10 @@ def frames_table(media: DataFrame, column: str = "media") -> DataFrame:
     def run(batches):
         for b in short(batches):
             for d, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for f, canvas in timed(m) if m is not None else ():
+                if m is None:
+                    continue
+                w, h, _, frames = parse(m)
+                for f, canvas in timed(w, h, frames):
                     yield record({"doc_id": [d], "rgba": [canvas.tobytes()]} | {k: [v] for k, v in f.items()}, types)
 
     return media.select("doc_id", column).mapInArrow(run, schema)
@@ -348,8 +350,9 @@ def stored(media: DataFrame) -> DataFrame:
     types = arrow_types(STORED) | {"frames": pa.list_(pa.struct(list(arrow_types(FRAME).items())))}
 
     def one(n: int, m: bytes) -> tuple:
-        payload = b"".join(f.indices for f in parse(m)[3])
-        return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), [f for f, _ in timed(m)]
+        w, h, _, frames = parse(m)
+        payload = b"".join(f.indices for f in frames)
+        return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), [f for f, _ in timed(w, h, frames)]
 
     def run(batches):
         names = list(types)[1:]
