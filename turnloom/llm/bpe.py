@@ -16,10 +16,12 @@ import json
 import os
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import filterfalse, repeat
 from operator import itemgetter
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from turnloom.llm.common import Scratch, arrow_types, record
 #: Words given to all tasks, and the bytes that one of them may have.
 HOT_WORDS, HOT_BYTES = 1 << 19, 32
 #: Distinct words that a task holds before it passes its counts on.
-HELD_WORDS = 1_000_000
+HELD_WORDS = 1 << 19
 #: Places of words that a task holds before it passes them on.
 HELD_PLACES = 500_000
 #: Bytes of ids that are decoded at once.
@@ -119,6 +121,11 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.col("n") >= floor) if floor is not None else counts.where("false")
 
 
+def _ids(t, words: list[str], kind: str) -> list[bytes]:
+    """Each word's ids as little-endian integers."""
+    return [np.array(e.ids, kind).tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)]
+
+
 def encoded_words(words: DataFrame, bpe: Bpe) -> DataFrame:
     """(word, n, ids) of distinct words, each encoded once; ids as little-endian integers of the vocabulary's width."""
     types = arrow_types("word string, n long, ids binary")
@@ -126,22 +133,70 @@ def encoded_words(words: DataFrame, bpe: Bpe) -> DataFrame:
     def run(batches):
         t = _tokenizer(bpe.model)
         for b in batches:
-            got = [np.array(e.ids, bpe.kind).tobytes() for e in t.encode_batch(b.column("word").to_pylist(), add_special_tokens=False)]
-            yield record({"word": b.column("word"), "n": b.column("n"), "ids": got}, types)
+            yield record({"word": b.column("word"), "n": b.column("n"), "ids": _ids(t, b.column("word").to_pylist(), bpe.kind)}, types)
 
     return words.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
 
 
-_loaded: dict[int, tuple] = {}
+class _Shared:
+    """A table of one column for all tasks, with a name of its own."""
+
+    def __init__(self, spark: SparkSession, column: pa.Array):
+        sink = pa.BufferOutputStream()
+        batch = pa.RecordBatch.from_arrays([column], ["x"])
+        with pa.ipc.new_stream(sink, batch.schema) as w:
+            w.write_batch(batch)
+        data = zstandard.compress(sink.getvalue())
+        self.id, self.b = hash(hashlib.sha256(data).digest()), spark.sparkContext.broadcast(data)
+
+    def loaded(self, unpack: Callable[[pa.Array], Any]) -> Any:
+        """The column unpacked, once in each worker, which holds a single one: passes that need different ones do not add up."""
+        if self.id not in _loaded:
+            _loaded.clear()
+            t = pa.ipc.open_stream(zstandard.decompress(self.b.value)).read_all()
+            _loaded[self.id] = unpack(t.column("x").combine_chunks())
+        return _loaded[self.id]
+
+
+_loaded: dict[int, Any] = {}
+
+
+def _ranks(words: pa.Array) -> dict[str, int]:
+    return {w: i for i, w in enumerate(words.to_pylist())}
+
+
+@dataclass(frozen=True)
+class IdTable:
+    """Ids of words one after another, and where each word's begin and how many they are."""
 
+    flat: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
 
-def _hot(key) -> tuple[dict[str, int], list[bytes]]:
-    """The frequent words with their ranks, and their ids by rank; unpacked once in each worker."""
-    if key.id not in _loaded:
-        _loaded.clear()
-        t = pa.ipc.open_stream(zstandard.decompress(key.value)).read_all()
-        _loaded[key.id] = ({w: i for i, w in enumerate(t.column("word").to_pylist())}, t.column("ids").to_pylist())
-    return _loaded[key.id]
+    @classmethod
+    def of(cls, ids: list[bytes], kind: str) -> IdTable:
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(kind).itemsize
+        return cls(np.frombuffer(b"".join(ids), kind), np.cumsum(size) - size, size)
+
+    def ids(self, at: np.ndarray, own: IdTable | None = None) -> np.ndarray:
+        """The ids of the words at the places, in order; places from the table's end on are those of ``own``."""
+        at = at.astype(np.int64)
+        if own is None:
+            first, size = self.first[at], self.size[at]
+        else:
+            hot = at < len(self.size)
+            first, size = np.empty_like(at), np.empty_like(at)
+            first[hot], size[hot] = self.first[at[hot]], self.size[at[hot]]
+            rest = at[~hot] - len(self.size)
+            first[~hot], size[~hot] = own.first[rest], own.size[rest]
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
+        if own is None:
+            return self.flat[place]
+        hot = np.repeat(hot, size)
+        out = np.empty(len(place), self.flat.dtype)
+        out[hot], out[~hot] = self.flat[place[hot]], own.flat[place[~hot]]
+        return out
 
 
 #: A place that wants a word: document, its text's mark, and the word's number among those the document asks for.
@@ -153,27 +208,20 @@ def _mark(doc_id: int | None, text: str) -> int:
     return xxhash.xxh32_intdigest(text.encode(), 0 if doc_id is None else 1) - (1 << 31)
 
 
-class _Shared:
-    """A broadcast with a name of its own."""
-
-    def __init__(self, spark, data: bytes):
-        self.id, self.b = hash(hashlib.sha256(data).digest()), spark.sparkContext.broadcast(data)
-
-    @property
-    def value(self) -> bytes:
-        return self.b.value
+def _rare(text: str, ranks: dict[str, int]) -> list[str]:
+    """The text's words that are not frequent, each once."""
+    return list(dict.fromkeys(filterfalse(ranks.__contains__, split_words(text))))
 
 
-def _places(text: str, ranks: dict[str, int], hot: int) -> tuple[np.ndarray, list[str]]:
-    """Each word's rank, or ``hot`` plus the number of a word that is not frequent; and those words, each once."""
+def _places(text: str, ranks: dict[str, int]) -> np.ndarray:
+    """Each word's rank, or the number of ranks plus the word's place in ``_rare``."""
     words = split_words(text)
-    at = list(map(ranks.get, words))
+    hot = len(ranks)
+    at = np.fromiter(map(ranks.get, words, repeat(hot)), "<u4", len(words))
     cold: dict[str, int] = {}
-    if None in at:
-        for i, r in enumerate(at):
-            if r is None:
-                at[i] = hot + cold.setdefault(words[i], len(cold))
-    return np.array(at, "<u4"), list(cold)
+    for i in np.flatnonzero(at == hot).tolist():
+        at[i] = hot + cold.setdefault(words[i], len(cold))
+    return at
 
 
 def _pack(at: np.ndarray) -> bytes:
@@ -185,34 +233,30 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.tobytes(), "<u4")
 
 
-def _encoded(docs: DataFrame, bpe: Bpe, finish, schema: str, hot_words: int) -> DataFrame:
-    """doc_id and the columns that ``finish(ids)`` gives for the ids (an array of unsigned integers) of each whole text, by ``schema``."""
+def _encoded(docs: DataFrame, bpe: Bpe, finish: Callable[[Iterator[tuple[pa.Array, list[np.ndarray]]]], Iterator[pa.RecordBatch]], schema: str, hot_words: int) -> DataFrame:
+    """What ``finish`` makes, by ``schema``, of batches of document ids with the ids (an array of unsigned integers) of each whole text."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     top = encoded_words(most_frequent(scratch.keep(frequent_words(docs)), hot_words), bpe).toArrow()
-    top = top.take(np.lexsort((top.column("word").to_numpy(), -top.column("n").to_numpy()))).select(["word", "ids"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, top.schema) as w:
-        w.write_table(top)
-    shared = _Shared(spark, zstandard.compress(sink.getvalue().to_pybytes()))
-    n_hot = top.num_rows
-    del top, sink
+    top = top.take(np.lexsort((top.column("word").to_numpy(), -top.column("n").to_numpy()))).combine_chunks()
+    words, hot = (_Shared(spark, top.column(c).combine_chunks()) for c in ("word", "ids"))
+    del top
 
     wanted = arrow_types("word string, places binary")
 
     def rest(batches):
-        ranks, _ = _hot(shared)
+        ranks = words.loaded(_ranks)
         held: dict[str, list[tuple[int, int, int]]] = {}
         size = 0
 
         def flushed():
-            words = sorted(held)
-            return record({"word": words, "places": [np.array(held[w], PLACE).tobytes() for w in words]}, wanted)
+            order = sorted(held)
+            return record({"word": order, "places": [np.array(held[w], PLACE).tobytes() for w in order]}, wanted)
 
         for b in short(batches):
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if t and (cold := _places(t, ranks, n_hot)[1]):
+                if t and (cold := _rare(t, ranks)):
                     m = _mark(d, t)
                     for k, w in enumerate(cold):
                         held.setdefault(w, []).append((d or 0, m, k))
@@ -229,17 +273,17 @@ def _encoded(docs: DataFrame, bpe: Bpe, finish, schema: str, hot_words: int) ->
         t = _tokenizer(bpe.model)
         last: tuple[str, bytes] | None = None  # the word before this batch, with its ids
         for b in short(batches):
-            words, places = b.column("word").to_pylist(), b.column("places").to_pylist()
-            new = [w for w in dict.fromkeys(words) if last is None or w != last[0]]
-            ids = {w: np.array(e.ids, bpe.kind).tobytes() for w, e in zip(new, t.encode_batch(new, add_special_tokens=False), strict=True)}
+            asked, places = b.column("word").to_pylist(), b.column("places").to_pylist()
+            new = [w for w in dict.fromkeys(asked) if last is None or w != last[0]]
+            ids = dict(zip(new, _ids(t, new, bpe.kind), strict=True))
             if last is not None:
                 ids[last[0]] = last[1]
             at = np.frombuffer(b"".join(places), PLACE)
             sizes = [len(p) // PLACE.itemsize for p in places]
-            each = [ids[w] for w, n in zip(words, sizes, strict=True) for _ in range(n)]
+            each = [ids[w] for w, n in zip(asked, sizes, strict=True) for _ in range(n)]
             yield record({"key": pa.array(at["doc"]), "mark": pa.array(at["mark"]), "answer": [k.to_bytes(4, "little") + x for k, x in zip(at["k"].tolist(), each, strict=True)]}, got)
-            if words:
-                last = (words[-1], ids[words[-1]])
+            if asked:
+                last = (asked[-1], ids[asked[-1]])
 
     found = docs.mapInArrow(rest, "word string, places binary").repartition("word").sortWithinPartitions("word").mapInArrow(answered, "key long, mark int, answer binary")
     found = found.groupBy("key", "mark").agg(F.collect_set("answer").alias("found"))
@@ -247,37 +291,39 @@ def _encoded(docs: DataFrame, bpe: Bpe, finish, schema: str, hot_words: int) ->
     part = arrow_types("doc_id long, key long, mark int, packed binary")
 
     def packed(batches):
-        ranks, _ = _hot(shared)
+        ranks = words.loaded(_ranks)
         for b in short(batches):
             if b.num_rows:
                 ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-                yield record({"doc_id": ids, "key": [d or 0 for d in ids], "mark": [_mark(d, t) for d, t in zip(ids, texts, strict=True)], "packed": [_pack(_places(t, ranks, n_hot)[0]) for t in texts]}, part)
+                yield record({"doc_id": ids, "key": [d or 0 for d in ids], "mark": [_mark(d, t) for d, t in zip(ids, texts, strict=True)], "packed": [_pack(_places(t, ranks)) for t in texts]}, part)
 
     both = docs.mapInArrow(packed, "doc_id long, key long, mark int, packed binary").join(found, ["key", "mark"], "left").select("doc_id", "packed", "found")
-    out = arrow_types(f"doc_id long, {schema}")
 
     def joined(batches):
-        _, hot_ids = _hot(shared)
-        names = list(out)[1:]
+        table = hot.loaded(lambda x: IdTable.of(x.to_pylist(), bpe.kind))
+
+        def ids(packed: bytes, found: list[bytes] | None) -> np.ndarray:
+            own = None
+            if found:
+                numbered = sorted((int.from_bytes(x[:4], "little"), x[4:]) for x in found)
+                own = IdTable.of([x for _, x in numbered], bpe.kind)
+            return table.ids(_unpack(packed), own)
+
         for b in short(batches):
-            rows = []
-            for p, f in zip(b.column("packed").to_pylist(), b.column("found").to_pylist(), strict=True):
-                at = _unpack(p)
-                if f:
-                    own = {n_hot + int.from_bytes(x[:4], "little"): x[4:] for x in f}
-                    ids = b"".join([hot_ids[r] if r < n_hot else own[r] for r in at.tolist()])
-                else:
-                    ids = b"".join(taken(hot_ids, at))
-                rows.append(finish(np.frombuffer(ids, bpe.kind)))
-            if rows:
-                yield record({"doc_id": b.column("doc_id")} | dict(zip(names, zip(*rows, strict=True), strict=True)), out)
+            yield b.column("doc_id"), list(map(ids, b.column("packed").to_pylist(), b.column("found").to_pylist()))
 
-    return both.mapInArrow(joined, f"doc_id long, {schema}")
+    return both.mapInArrow(lambda batches: finish(joined(batches)), schema)
 
 
 def encode(docs: DataFrame, bpe: Bpe, hot_words: int = HOT_WORDS) -> DataFrame:
     """(doc_id, ids): the ids of each whole text, as ``digests`` takes them."""
-    return _encoded(docs, bpe, lambda ids: (ids.astype(np.int64),), "ids array<long>", hot_words)
+    types = arrow_types("doc_id long, ids array<long>")
+
+    def finish(rows):
+        for docs, ids in rows:
+            yield record({"doc_id": docs, "ids": [x.astype(np.int64) for x in ids]}, types)
+
+    return _encoded(docs, bpe, finish, "doc_id long, ids array<long>", hot_words)
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -291,13 +337,13 @@ def digests(docs: DataFrame, bpe: Bpe, hot_words: int = HOT_WORDS) -> DataFrame:
     """
     numbers = [str(i) for i in range(len(bpe.pieces()))]
 
-    def finish(ids: np.ndarray) -> tuple[str, bytes]:
-        return sha256(taken(numbers, ids)), ids.astype("<i4").tobytes()
+    def finish(rows):
+        yield from _stretches((docs.to_pylist(), [sha256(taken(numbers, x)) for x in ids], [x.astype("<i4") for x in ids]) for docs, ids in rows)
 
     def done(docs: list, notes: list, sizes: list[int], texts: Iterator[str]) -> dict:
         return {"doc_id": docs, "n_tokens": sizes, "ids_sha256": notes, "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in texts]}
 
-    return _decoded(_encoded(docs, bpe, finish, "note string, ids binary", hot_words), bpe, done, DIGESTS)
+    return _decoded(_encoded(docs, bpe, finish, STRETCH, hot_words), bpe, done, DIGESTS)
 
 
 def taken(table: list, at: np.ndarray) -> tuple:
@@ -317,23 +363,28 @@ def piece_table(spark: SparkSession, bpe: Bpe) -> DataFrame:
 STRETCH = "pos int, id int, docs array<long>, notes array<string>, sizes array<int>, places binary"
 
 
-def _stretches(batches):
-    """From (doc_id, note, ids) to STRETCH: a row with a stretch's texts, their ids as places among its distinct ids, then these ids in order."""
+def _stretches(rows: Iterable[tuple[list, list, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """From documents, notes and ids to STRETCH: a row with a stretch's texts, their ids as places among its distinct ids, then these ids in order."""
     types = arrow_types(STRETCH)
 
     def closed(docs, notes, ids):
-        distinct, places = np.unique(np.frombuffer(b"".join(ids), "<i4"), return_inverse=True)
+        every = np.concatenate(ids)
+        if every.min(initial=0) < 0:
+            raise ValueError("ids are not negative")
+        seen = np.zeros(every.max(initial=-1) + 1, bool)  # as long as the vocabulary at most
+        seen[every] = True
+        distinct, places = np.flatnonzero(seen).astype(np.int32), (np.cumsum(seen, dtype=np.int32) - 1)[every]
         n = len(distinct)
-        first = {"docs": docs, "notes": notes, "sizes": [len(x) // 4 for x in ids], "places": places.astype("<i4").tobytes()}
+        first = {"docs": docs, "notes": notes, "sizes": list(map(len, ids)), "places": places.astype("<i4").tobytes()}
         columns = {k: pa.concat_arrays([pa.array([v], types[k]), pa.nulls(n, types[k])]) for k, v in first.items()}
         return record({"pos": pa.array(np.arange(-1, n, dtype=np.int32)), "id": pa.concat_arrays([pa.nulls(1, pa.int32()), pa.array(distinct, pa.int32())])} | columns, types)
 
     docs, notes, ids, size = [], [], [], 0
-    for b in short(batches):
-        docs += b.column("doc_id").to_pylist()
-        notes += b.column("note").to_pylist()
-        ids += b.column("ids").to_pylist()
-        size += sum(map(len, b.column("ids").to_pylist()))
+    for d, n, x in rows:
+        docs += d
+        notes += n
+        ids += x
+        size += sum(i.nbytes for i in x)
         if size >= STRETCH_BYTES:
             yield closed(docs, notes, ids)
             docs, notes, ids, size = [], [], [], 0
@@ -341,10 +392,9 @@ def _stretches(batches):
         yield closed(docs, notes, ids)
 
 
-def _decoded(encoded: DataFrame, bpe: Bpe, done: Callable[[list, list, list[int], Iterator[str]], dict], schema: str) -> DataFrame:
-    """The columns that ``done(doc ids, notes, numbers of ids, texts)`` gives for each stretch of ``encoded`` (doc_id, note, ids in four bytes each)."""
-    rows = encoded.select("doc_id", "note", "ids").mapInArrow(_stretches, STRETCH)
-    met = rows.join(F.broadcast(piece_table(encoded.sparkSession, bpe)), "id", "left")  # as many rows as the vocabulary has
+def _decoded(rows: DataFrame, bpe: Bpe, done: Callable[[list, list, list[int], Iterator[str]], dict], schema: str) -> DataFrame:
+    """The columns that ``done(doc ids, notes, numbers of ids, texts)`` gives for each stretch (STRETCH)."""
+    met = rows.join(F.broadcast(piece_table(rows.sparkSession, bpe)), "id", "left")  # as many rows as the vocabulary has
     types = arrow_types(schema)
 
     def closed(held: dict, pieces: list[str]) -> pa.RecordBatch:
@@ -377,12 +427,13 @@ def _decoded(encoded: DataFrame, bpe: Bpe, done: Callable[[list, list, list[int]
 
 def decode(encoded: DataFrame, bpe: Bpe) -> DataFrame:
     """(doc_id, text) from (doc_id, ids), each id joined with its piece. Null or empty ids give an empty text."""
-    own = arrow_types("doc_id long, note string, ids binary")
 
-    def packed(batches):
-        for b in short(batches):
-            ids = [np.array(x or [], "<i4").tobytes() for x in b.column("ids").to_pylist()]
-            yield record({"doc_id": b.column("doc_id"), "note": pa.nulls(len(ids), pa.string()), "ids": ids}, own)
+    def stretches(batches):
+        def rows():
+            for b in short(batches):
+                yield b.column("doc_id").to_pylist(), [None] * b.num_rows, [np.array(x or [], "<i4") for x in b.column("ids").to_pylist()]
+
+        return _stretches(rows())
 
-    rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(packed, "doc_id long, note string, ids binary")
+    rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(stretches, STRETCH)
     return _decoded(rows, bpe, lambda docs, notes, sizes, texts: {"doc_id": docs, "text": list(texts)}, "doc_id long, text string")
