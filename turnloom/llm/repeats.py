@@ -20,10 +20,11 @@ from turnloom.llm.common import arrow_types, mix, record, text_bytes
 #: Rows that a task holds before it settles them.
 HELD_ROWS = 1_500_000
 
-ANCHORS = "h long, doc_id long, at int, sure boolean"
+#: ``place`` is twice the start, and one more if it is sure that the key occurs again.
+ANCHORS = "h long, doc_id long, place long"
 PLACES = "doc_id long, at int"
-#: ``n`` windows from ``at`` on that are gone, or one window that waits to be compared.
-WINDOWS = "h long, g int, doc_id long, at int, n int, gone boolean"
+#: ``place`` is the start in the upper half, and in the lower how many windows from there on are gone; none: one window waits to be compared.
+WINDOWS = "h long, g int, doc_id long, place long"
 RANGES = "doc_id long, at int, n int"
 
 
@@ -48,7 +49,7 @@ def merged(d: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
 def settled_windows(d: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """WINDOWS of ranges that are gone, keyed by document, so that a document's ranges meet and are joined further."""
     d, at, n = merged(d, at, n)
-    return record({"h": _column(_spread(d, np.zeros(len(d), np.int32)), pa.int64()), "g": _column(np.zeros(len(d), np.int32), pa.int32()), "doc_id": _column(d, pa.int64()), "at": _column(at, pa.int32()), "n": _column(n, pa.int32()), "gone": pa.array(np.ones(len(d), bool))}, arrow_types(WINDOWS))
+    return record({"h": _column(_spread(d, np.zeros(len(d), np.int32)), pa.int64()), "g": _column(np.zeros(len(d), np.int32), pa.int32()), "doc_id": _column(d, pa.int64()), "place": _column((at.astype(np.int64) << 32) + n, pa.int64())}, arrow_types(WINDOWS))
 
 
 def local_anchors(rows: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -68,9 +69,9 @@ def local_anchors(rows: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterato
         sure = ~single
         # rows stay in the order of documents and places, which packs better than that of hashes
         h = np.concatenate([h[single], h[told], _spread(d[sure], at[sure])])
-        sures = np.zeros(len(h), bool)
-        sures[len(h) - sure.sum() :] = True
-        return record({"h": _column(h, pa.int64()), "doc_id": _column(np.concatenate([d[single], d[told], d[sure]]), pa.int64()), "at": _column(np.concatenate([at[single], np.full(told.sum(), -1, np.int32), at[sure]]), pa.int32()), "sure": pa.array(sures)}, types)
+        place = 2 * np.concatenate([at[single], np.full(told.sum(), -1, np.int32), at[sure]]).astype(np.int64)
+        place[len(h) - sure.sum() :] += 1
+        return record({"h": _column(h, pa.int64()), "doc_id": _column(np.concatenate([d[single], d[told], d[sure]]), pa.int64()), "place": _column(place, pa.int64())}, types)
 
     docs, sizes, hs, ats, held = [], [], [], [], 0
     for d, h, at in rows:
@@ -96,7 +97,8 @@ def repeated_places(anchors: DataFrame) -> DataFrame:
             n = b.num_rows
             if not n:
                 continue
-            h, d, at, sure = (b.column(k).to_numpy(zero_copy_only=False) for k in ("h", "doc_id", "at", "sure"))
+            h, d, place = (b.column(k).to_numpy() for k in ("h", "doc_id", "place"))
+            at, sure = (place >> 1).astype(np.int32), (place & 1).astype(bool)
             new = np.concatenate([[key is None or h[0] != key], h[1:] != h[:-1]])
             partner = ~new
             partner[:-1] |= ~new[1:]
@@ -109,7 +111,7 @@ def repeated_places(anchors: DataFrame) -> DataFrame:
             key, waits = h[-1], None if keep[-1] or tells[-1] else (int(d[-1]), int(at[-1]))
 
     # places of -1 come first in their key, so that whatever follows one finds a partner in it
-    return anchors.repartition("h").sortWithinPartitions("h", "at").mapInArrow(run, PLACES)
+    return anchors.repartition("h").sortWithinPartitions("h", "place").mapInArrow(run, PLACES)
 
 
 def local_windows(rows: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -120,15 +122,17 @@ def local_windows(rows: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
         h, g, at = np.concatenate(hs).view(np.int64), (np.concatenate(gs) >> np.uint64(32)).astype(np.uint32).view(np.int32), np.concatenate(ats)
         d = np.repeat(np.array(docs, np.int64), sizes)
         order = np.lexsort((at, d, g, h))
-        h, g, at, d = h[order], g[order], at[order], d[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+        new = np.concatenate([[True], (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])])
         start = np.flatnonzero(new)
-        size = np.diff([*start, len(h)])
-        gone = (d != np.repeat(d[start], size)) | (at != np.repeat(at[start], size))
+        first = np.repeat(order[start], np.diff([*start, len(h)]))
         # repeated rows of one document stand for each other
-        yield record({"h": _column(h[new], pa.int64()), "g": _column(g[new], pa.int32()), "doc_id": _column(d[new], pa.int64()), "at": _column(at[new].astype(np.int32), pa.int32()), "n": pa.array(np.ones(new.sum(), np.int32)), "gone": pa.array(np.zeros(new.sum(), bool))}, types)
-        if gone.any():
-            yield settled_windows(d[gone], at[gone], np.ones(gone.sum(), np.int32))
+        gone = order[(d[order] != d[first]) | (at[order] != at[first])]
+        gone.sort()
+        # rows stay in the order of documents and places here too
+        waits = np.sort(order[start])
+        yield record({"h": _column(h[waits], pa.int64()), "g": _column(g[waits], pa.int32()), "doc_id": _column(d[waits], pa.int64()), "place": _column(at[waits].astype(np.int64) << 32, pa.int64())}, types)
+        if len(gone):
+            yield settled_windows(d[gone], at[gone], np.ones(len(gone), np.int32))
 
     docs, sizes, hs, gs, ats, held = [], [], [], [], [], 0
     for d, h, g, at in rows:
@@ -155,7 +159,9 @@ def later_windows(windows: DataFrame) -> DataFrame:
             n = b.num_rows
             if not n:
                 continue
-            h, g, d, at, length, gone = (b.column(k).to_numpy(zero_copy_only=False) for k in ("h", "g", "doc_id", "at", "n", "gone"))
+            h, g, d, place = (b.column(k).to_numpy() for k in ("h", "g", "doc_id", "place"))
+            at, length = (place >> 32).astype(np.int32), place & 0xFFFFFFFF
+            gone = length > 0
             new = np.concatenate([[first is None or (h[0], g[0]) != first[:2]], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
             start = np.flatnonzero(new)
             lead = n if not len(start) else int(start[0])
@@ -167,9 +173,9 @@ def later_windows(windows: DataFrame) -> DataFrame:
                 first = (h[k], g[k], d[k], at[k])
             out = gone | (d != fd) | (at != fa)
             if out.any():
-                yield record(dict(zip(types, map(pa.array, merged(d[out], at[out], length[out])), strict=True)), types)
+                yield record(dict(zip(types, map(pa.array, merged(d[out], at[out], np.maximum(length[out], 1))), strict=True)), types)
 
-    return windows.repartition("h", "g").sortWithinPartitions("h", "g", "doc_id", "at").mapInArrow(run, RANGES)
+    return windows.repartition("h", "g").sortWithinPartitions("h", "g", "doc_id", "place").mapInArrow(run, RANGES)
 
 
 def by_document(places: DataFrame) -> DataFrame:
