@@ -25,6 +25,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -247,23 +248,31 @@ def _encoded(docs: DataFrame, bpe: Bpe, finish: Callable[[Iterator[tuple[pa.Arra
 
     def rest(batches):
         ranks = words.loaded(_ranks)
-        held: dict[str, list[tuple[int, int, int]]] = {}
+        numbers: dict[str, int] = {}  # of the words held
+        held: list[np.ndarray] = []  # for each text its words' numbers, and its places
         size = 0
 
         def flushed():
-            order = sorted(held)
-            return record({"word": order, "places": [np.array(held[w], PLACE).tobytes() for w in order]}, wanted)
+            order = pc.array_sort_indices(pa.array(list(numbers), pa.string())).to_numpy().astype(np.int64)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            word, places = rank[np.concatenate(held[::2])], np.concatenate(held[1::2])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(order)))]) * PLACE.itemsize
+            data = places[np.argsort(word, kind="stable")].tobytes()
+            binaries = pa.Array.from_buffers(pa.binary(), len(order), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+            return record({"word": pa.array(list(numbers), pa.string()).take(pa.array(order)), "places": binaries}, wanted)
 
         for b in short(batches):
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if t and (cold := _rare(t, ranks)):
-                    m = _mark(d, t)
-                    for k, w in enumerate(cold):
-                        held.setdefault(w, []).append((d or 0, m, k))
-                    size += len(cold)
-            if size > HELD_PLACES:
-                yield flushed()
-                held, size = {}, 0
+                    n = len(cold)
+                    own = np.empty(n, PLACE)
+                    own["doc"], own["mark"], own["k"] = d or 0, _mark(d, t), np.arange(n)
+                    held += np.fromiter((numbers.setdefault(w, len(numbers)) for w in cold), np.int64, n), own
+                    size += n
+                if size > HELD_PLACES:
+                    yield flushed()
+                    numbers, held, size = {}, [], 0
         if held:
             yield flushed()
 
