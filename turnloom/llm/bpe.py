@@ -39,7 +39,7 @@ HOT_WORDS, HOT_BYTES = 1 << 19, 32
 #: Distinct words that a task holds before it passes its counts on.
 HELD_WORDS = 1 << 19
 #: Places of words that a task holds before it passes them on.
-HELD_PLACES = 500_000
+HELD_PLACES = 1 << 17
 #: Bytes of ids that are decoded at once.
 STRETCH_BYTES = 8 << 20
 #: White space of str.split() that the tokenizer's pattern takes for symbols.
