@@ -2,16 +2,20 @@
 
 import hashlib
 import itertools
+import os
 import random
 import struct
+import subprocess
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from turnloom.llm import docstats, rff, rules, toxicity
-from turnloom.llm.bpe import Bpe, decode, digests, encode, split_words
+from turnloom.llm.bpe import Bpe, IdTable, decode, digests, encode, split_words
 from turnloom.llm.common import held_out
 from turnloom.llm.gif import Frame, GifError, digests as gif_digests, encode as gif_encode, encode_frames, frames_table, histogram, lzw_decode, lzw_encode, media_table, padded, parse, render
 from turnloom.llm.packing import bucket_bounds, packed
@@ -250,6 +254,62 @@ def test_decoded_digests_come_from_the_piece_table(table, tokenizer, monkeypatch
     assert before[1] != after[1] and before[2] == after[2]
 
 
+LEFT = """
+import re
+from pathlib import Path
+from unittest import mock
+
+import pyarrow as pa
+
+from turnloom.llm import bpe
+
+
+def mb():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+
+def batches(n):
+    for i in range(n):
+        own = [" ".join(f"word{i}x{j}x{k}" for k in range(20)) for j in range(5000)]
+        yield pa.RecordBatch.from_arrays([pa.array([f"{t} {t}" for t in own])], ["text"])
+
+
+with mock.patch.object(bpe, "F"):
+    bpe.frequent_words(docs := mock.MagicMock())
+run = docs.select().mapInArrow.call_args[0][0]
+sum(b.num_rows for b in run(batches(1)))
+before = mb()
+assert sum(b.num_rows for b in run(batches(8))) == 800_000
+print(mb() - before)
+"""
+
+
+def test_a_pass_gives_its_memory_back():
+    """All of an executor's workers come to hold what a pass leaves. Measured in a process of its own."""
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", LEFT], cwd=top, capture_output=True, text=True, check=True, timeout=120).stdout
+    assert float(out) < 25
+
+
+def test_the_table_of_ids_is_that_of_its_words():
+    """A column of ids read as it lies, slices and empty ones too, gives what its values do."""
+    words = [np.arange(n, dtype="<u2").tobytes() for n in (2, 0, 1, 3)]
+    for column, ids in ((pa.array(words), words), (pa.array(words)[1:3], words[1:3]), (pa.array([], pa.binary()), [])):
+        got, want = IdTable.of_column(column, "<u2"), IdTable.of(ids, "<u2")
+        at = np.arange(len(ids), dtype="<u4")
+        assert got.size.tolist() == want.size.tolist() and got.ids(at).tolist() == want.ids(at).tolist()
+
+
+def test_rare_and_frequent_words_match_the_library(table, tokenizer):
+    """Texts of random words, of which few or none are given to all tasks."""
+    bpe, t = tokenizer
+    r = random.Random(6)
+    rows = [(i, " ".join("".join(r.choice("abcdé'.,19\x1c\x1f") for _ in range(r.randint(1, 9))) for _ in range(60))) for i in range(30)]
+    want = {d: t.encode(x, add_special_tokens=False).ids for d, x in rows}
+    for hot in (1 << 19, 3, 0):
+        assert {x["doc_id"]: x["ids"] for x in encode(table(rows), bpe, hot).collect()} == want
+
+
 def test_a_tokenizer_with_a_decoder_is_refused(tmp_path):
     path = tmp_path / "t.json"
     path.write_text('{"decoder": {"type": "ByteLevel"}}')

@@ -11,6 +11,7 @@ broadcast; rows stay side by side, so that the stretch's texts are put together
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 import os
@@ -43,17 +44,43 @@ HELD_PLACES = 1 << 17
 #: Bytes of ids that are decoded at once.
 STRETCH_BYTES = 8 << 20
 #: White space of str.split() that the tokenizer's pattern takes for symbols.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile("[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def split_words(text: str) -> list[str]:
     """The text's runs between what the tokenizer's pattern takes for white space."""
-    if _ODD.search(text):
+    if any(c in text for c in _ODD):
         return [x for x in _SPACE.split(text) if x]
     return text.split()
 
 
+@lru_cache(1)
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda keep: 0)
+
+
+def give_back() -> None:
+    """Returns memory that is free in this process to the system: what Arrow's pool and the C library keep for later."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+Pass = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _lean(run: Pass) -> Pass:
+    """The pass, leaving nothing behind: Spark takes its idle workers in turn, so that all of an executor's come to hold what the largest pass left."""
+
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return own
+
+
 @lru_cache(2)
 def _tokenizer(model: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -105,10 +132,11 @@ def frequent_words(docs: DataFrame, least: int = 2) -> DataFrame:
                 if len(seen) > HELD_WORDS:
                     yield flushed(seen)
                     seen.clear()
+                    give_back()
         if seen:
             yield flushed(seen)
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(_lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -136,7 +164,7 @@ def encoded_words(words: DataFrame, bpe: Bpe) -> DataFrame:
         for b in batches:
             yield record({"word": b.column("word"), "n": b.column("n"), "ids": _ids(t, b.column("word").to_pylist(), bpe.kind)}, types)
 
-    return words.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
+    return words.select("word", "n").mapInArrow(_lean(run), "word string, n long, ids binary")
 
 
 class _Shared:
@@ -154,8 +182,8 @@ class _Shared:
         """The column unpacked, once in each worker, which holds a single one: passes that need different ones do not add up."""
         if self.id not in _loaded:
             _loaded.clear()
-            t = pa.ipc.open_stream(zstandard.decompress(self.b.value)).read_all()
-            _loaded[self.id] = unpack(t.column("x").combine_chunks())
+            _loaded[self.id] = unpack(pa.ipc.open_stream(zstandard.decompress(self.b.value)).read_all().column("x").combine_chunks())
+            give_back()
         return _loaded[self.id]
 
 
@@ -174,6 +202,14 @@ class IdTable:
     first: np.ndarray
     size: np.ndarray
 
+    @classmethod
+    def of_column(cls, ids: pa.Array, kind: str) -> IdTable:
+        if not len(ids):
+            return cls.of([], kind)
+        _, ends, data = ids.cast(pa.binary()).buffers()
+        ends = np.frombuffer(ends, np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // np.dtype(kind).itemsize
+        return cls(np.frombuffer(data, kind), ends[:-1], np.diff(ends))
+
     @classmethod
     def of(cls, ids: list[bytes], kind: str) -> IdTable:
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(kind).itemsize
@@ -225,13 +261,18 @@ def _places(text: str, ranks: dict[str, int]) -> np.ndarray:
     return at
 
 
+@lru_cache(1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def _pack(at: np.ndarray) -> bytes:
     """Byte planes, compressed."""
-    return zstandard.compress(at.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+    return _zstd()[0].compress(at.view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.tobytes(), "<u4")
+    return np.frombuffer(np.frombuffer(_zstd()[1].decompress(data), np.uint8).reshape(4, -1).T.tobytes(), "<u4")
 
 
 def _encoded(docs: DataFrame, bpe: Bpe, finish: Callable[[Iterator[tuple[pa.Array, list[np.ndarray]]]], Iterator[pa.RecordBatch]], schema: str, hot_words: int) -> DataFrame:
@@ -294,7 +335,7 @@ def _encoded(docs: DataFrame, bpe: Bpe, finish: Callable[[Iterator[tuple[pa.Arra
             if asked:
                 last = (asked[-1], ids[asked[-1]])
 
-    found = docs.mapInArrow(rest, "word string, places binary").repartition("word").sortWithinPartitions("word").mapInArrow(answered, "key long, mark int, answer binary")
+    found = docs.mapInArrow(_lean(rest), "word string, places binary").repartition("word").sortWithinPartitions("word").mapInArrow(_lean(answered), "key long, mark int, answer binary")
     found = found.groupBy("key", "mark").agg(F.collect_set("answer").alias("found"))
 
     part = arrow_types("doc_id long, key long, mark int, packed binary")
@@ -306,10 +347,10 @@ def _encoded(docs: DataFrame, bpe: Bpe, finish: Callable[[Iterator[tuple[pa.Arra
                 ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
                 yield record({"doc_id": ids, "key": [d or 0 for d in ids], "mark": [_mark(d, t) for d, t in zip(ids, texts, strict=True)], "packed": [_pack(_places(t, ranks)) for t in texts]}, part)
 
-    both = docs.mapInArrow(packed, "doc_id long, key long, mark int, packed binary").join(found, ["key", "mark"], "left").select("doc_id", "packed", "found")
+    both = docs.mapInArrow(_lean(packed), "doc_id long, key long, mark int, packed binary").join(found, ["key", "mark"], "left").select("doc_id", "packed", "found")
 
     def joined(batches):
-        table = hot.loaded(lambda x: IdTable.of(x.to_pylist(), bpe.kind))
+        table = hot.loaded(lambda x: IdTable.of_column(x, bpe.kind))
 
         def ids(packed: bytes, found: list[bytes] | None) -> np.ndarray:
             own = None
@@ -321,7 +362,7 @@ def _encoded(docs: DataFrame, bpe: Bpe, finish: Callable[[Iterator[tuple[pa.Arra
         for b in short(batches):
             yield b.column("doc_id"), list(map(ids, b.column("packed").to_pylist(), b.column("found").to_pylist()))
 
-    return both.mapInArrow(lambda batches: finish(joined(batches)), schema)
+    return both.mapInArrow(_lean(lambda batches: finish(joined(batches))), schema)
 
 
 def encode(docs: DataFrame, bpe: Bpe, hot_words: int = HOT_WORDS) -> DataFrame:
@@ -431,7 +472,7 @@ def _decoded(rows: DataFrame, bpe: Bpe, done: Callable[[list, list, list[int], I
         if held is not None:
             yield closed(held, pieces)
 
-    return met.select("pos", "piece", "docs", "notes", "sizes", "places").mapInArrow(run, schema)
+    return met.select("pos", "piece", "docs", "notes", "sizes", "places").mapInArrow(_lean(run), schema)
 
 
 def decode(encoded: DataFrame, bpe: Bpe) -> DataFrame:
@@ -444,5 +485,5 @@ def decode(encoded: DataFrame, bpe: Bpe) -> DataFrame:
 
         return _stretches(rows())
 
-    rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(stretches, STRETCH)
+    rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(_lean(stretches), STRETCH)
     return _decoded(rows, bpe, lambda docs, notes, sizes, texts: {"doc_id": docs, "text": list(texts)}, "doc_id long, text string")
