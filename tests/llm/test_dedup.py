@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 
+from turnloom.llm.common import Scratch
 from turnloom.llm.components import components
 from turnloom.llm.cuckoo import CuckooFilter
 from turnloom.llm.lines import LineIndex, dropped, indexed, lines_removed
@@ -96,6 +97,29 @@ def test_lines_match_brute_force_and_can_be_undone(spark, table):
     assert got(dropped(docs, again, "kept_sha256 string")) == brute_lines(rows)
 
 
+def test_an_index_of_a_table_reads_it_once_and_writes_few_tables(spark, table, monkeypatch):
+    written, write = [], Scratch.write
+
+    def noted(self, df):
+        written.append(set(df.columns))
+        return write(self, df)
+
+    monkeypatch.setattr(Scratch, "write", noted)
+    rows = corpus(6)
+    docs = table(rows)
+    index = indexed(docs)
+    # the postings, what each batch asks, what the second meets and its filters
+    assert sum({"doc_id", "k1"} <= c for c in written) == 1
+    assert len(written) == 5
+    assert {r["gen"] for r in index.postings[0].select("gen").distinct().collect()} == {1, 2}
+    assert got(dropped(docs, index, "kept_sha256 string")) == brute_lines(rows)
+    left = [(d, t) for d, t in rows if d % 3]
+    undone = index.delete(spark.createDataFrame([(d,) for d, _ in rows if not d % 3], "doc_id long"))
+    assert got(dropped(table(left), undone, "kept_sha256 string")) == brute_lines(left)
+    again = undone.insert(table([(d, t) for d, t in rows if not d % 3]))
+    assert got(dropped(docs, again, "kept_sha256 string")) == brute_lines(rows)
+
+
 def test_line_dedup_keeps_keys_whose_fingerprints_collide(spark, table):
     at, pair = {}, None
     for i in range(100_000):

@@ -144,8 +144,12 @@ class LineIndex:
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """With the documents' lines. An id that is there already gets these lines beside those it has."""
-        scratch, gen = Scratch(self.spark), self.gen + 1
-        new = scratch.keep(postings(docs).withColumn("gen", F.lit(gen)))
+        scratch = Scratch(self.spark)
+        return self._inserted(scratch, scratch.keep(postings(docs).withColumn("gen", F.lit(self.gen + 1))))
+
+    def _inserted(self, scratch: Scratch, new: DataFrame) -> LineIndex:
+        """With the postings of the next change, which are written already."""
+        gen = self.gen + 1
         out = replace(self, gen=gen, keys=self.keys + new.count(), postings=(*self.postings, new))._roomy(scratch)
         batch = new.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).withColumn("shard", out._shard())
         asked = scratch.keep(batch.groupBy("shard").cogroup(out.shard_filters().groupBy("shard")).applyInPandas(_asked, ASKED))
@@ -153,12 +157,12 @@ class LineIndex:
         fresh = asked.where("filter is null and not maybe").select(*row)
         got = asked.where("filter is not null").select("shard", "filter")
         if not self.references:
-            return replace(out, references=(fresh,))._with_filters(scratch, got)
+            return replace(out, references=(fresh,))._with_filters(scratch, got)  # rows of a written table, not written again
         a, o = asked.where("filter is null and maybe").alias("a"), self.state().alias("o")
         met = a.join(o, KEY, "left").select(*KEY, F.lit(gen).alias("gen"), (F.col("a.n_docs") + F.coalesce("o.n_docs", F.lit(0))).alias("n_docs"), F.least("a.first_doc", "o.first_doc").alias("first_doc"), F.greatest("a.last_doc", "o.last_doc").alias("last_doc"), F.col("o.n_docs").isNull().alias("mistaken"))
         met = scratch.keep(met)
         more = got.groupBy("shard").cogroup(met.where("mistaken").select(out._shard().alias("shard"), "k1").groupBy("shard")).applyInPandas(_with, "shard long, filter binary")
-        return replace(out, references=(*self.references, fresh.unionByName(met.drop("mistaken"))))._with_filters(scratch, more)
+        return replace(out, references=(*self.references, fresh.unionByName(met.drop("mistaken"))))._with_filters(scratch, scratch.keep(more))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents in ``doc_ids`` (doc_id): their keys' counts go down, first holders move on, unheld keys leave the filters."""
@@ -173,7 +177,7 @@ class LineIndex:
         lost = rows.where("n_docs = 0").select(self._shard().alias("shard"), "k1")
         smaller = self.shard_filters().groupBy("shard").cogroup(lost.groupBy("shard")).applyInPandas(_without, "shard long, filter binary")
         out = replace(self, gen=gen, deletions=(*self.deletions, gone.withColumn("gone", F.lit(gen))), references=(*self.references, rows))
-        return out._with_filters(scratch, smaller)
+        return out._with_filters(scratch, scratch.keep(smaller))
 
     def _roomy(self, scratch: Scratch) -> LineIndex:
         """With as many shards as its keys need; filters of another number of shards are built again from the exact table."""
@@ -187,8 +191,7 @@ class LineIndex:
         return replace(out, filters=(scratch.keep(rebuilt.withColumn("gen", F.lit(self.gen))),))
 
     def _with_filters(self, scratch: Scratch, got: DataFrame) -> LineIndex:
-        """With the shards' filters in ``got``; those that had no room are built again from the exact table."""
-        got = scratch.keep(got)
+        """With the shards' filters in ``got``, written already; those that had no room are built again from the exact table."""
         full = got.where(F.length("filter") == 0).select("shard")
         rebuilt = self.state().select(self._shard().alias("shard"), "k1").join(full, "shard", "left_semi").groupBy("shard").applyInPandas(_rebuilt, "shard long, filter binary")
         part = got.where(F.length("filter") > 0) if full.isEmpty() else scratch.keep(got.where(F.length("filter") > 0).unionByName(rebuilt))
@@ -205,11 +208,16 @@ class LineIndex:
 
 
 def indexed(docs: DataFrame, batches: int = BATCHES) -> LineIndex:
-    """An index of all rows of ``docs``, inserted in so many batches dealt by id, the later ones asking the filters that the earlier ones left."""
-    out = LineIndex.empty(docs.sparkSession)
+    """An index of all rows of ``docs``, inserted in so many batches dealt by id, the later ones asking the filters that the earlier ones left.
+
+    The texts are read once; one table holds the postings of all batches.
+    """
+    scratch, out = Scratch(docs.sparkSession), LineIndex.empty(docs.sparkSession)
+    dealt = (F.pmod(F.xxhash64("doc_id"), F.lit(batches)) + 1).cast("int")
+    new = scratch.keep(postings(docs).withColumn("gen", dealt))
     for i in range(batches):
-        out = out.insert(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
-    return out
+        out = out._inserted(scratch, new.where(F.col("gen") == i + 1))
+    return replace(out, postings=(new,))
 
 
 def _rebuilt(batch: pd.DataFrame) -> pd.DataFrame:
