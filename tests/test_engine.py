@@ -266,6 +266,39 @@ def test_edit_distance_against_plain_rows():
             assert cpwer.edit_distance(a, b, collar) == d[-1][-1]
 
 
+@pytest.mark.parametrize(("collar", "want"), [(None, 20), (0.5, 180)])
+def test_scoring_holds_no_words_as_python_objects(utt, monkeypatch, collar, want):
+    """A batch's words take many times their bytes as dicts; one clip at a time stays near them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    both = utt(A)
+    monkeypatch.setattr(type(both), "mapInArrow", lambda self, run, schema: run)
+    run = cpwer.score(both, both, collar)
+    # a fifteenth word of the first stream is another, and the second stream is too late for any of its 160 words to be met in time
+    words = lambda late, odd: [{"text": "zzz" if odd and i % 15 == 0 else f"w{i}", "start_s": i + late, "end_s": i + late + 0.5} for i in range(300)]
+    ref = [{"speaker_id": "A", "words": words(0.0, False)}, {"speaker_id": "B", "words": words(1000.0, False)[:160]}]
+    hyp = [{"speaker_id": "X", "words": words(2000.0, False)[:160]}, {"speaker_id": "Y", "words": words(0.0, True)}]
+    side = pa.list_(pa.struct([("speaker_id", pa.string()), ("words", pa.list_(pa.struct([("text", pa.string()), ("start_s", pa.float64()), ("end_s", pa.float64())])))]))
+    one = pa.record_batch({"clip_id": ["c"], "r": pa.array([ref], side), "h": pa.array([hyp], side)})
+    batch = pa.Table.from_batches([one] * 50).combine_chunks().to_batches()[0]
+    tracemalloc.start()
+    try:
+        got = [x for b in run(iter([batch])) for x in b.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [(x["errors"], x["n_ref_words"]) for x in got] == [(want, 460)] * 50
+    assert peak < batch.nbytes, (peak, batch.nbytes)
+
+
+def test_scoring_of_clips_one_side_lacks(spark, utt):
+    other = utt(("X", 0, 1, "a b")).withColumn("clip_id", F.lit("d"))
+    got = {r["clip_id"]: (r["errors"], r["n_ref_words"]) for r in cpwer.cpwer(utt(A, B), other).collect()}
+    assert got == {"c": (5, 5), "d": (2, 0)}
+
+
 def test_balance(spark):
     plan = balance.plan_clip_counts(spark, 5000, BalancingConfig({1: 1.0, 3: 1.0, 6: 2.0, 9: 0.0}))
     assert plan.where("max_simultaneous > total or total = 9").count() == 0
