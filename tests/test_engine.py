@@ -420,6 +420,43 @@ def test_chain_and_rendering(spark):
     assert audio.augmented(placed, []) is placed
 
 
+def test_rendering_is_not_merged_into_one_task(spark):
+    """Rows that were grouped by clip before are dealt anew: their exchange would be merged, as texts are small where audio is not."""
+    turns = spark.range(60).select(F.concat(F.lit("c"), (F.col("id") % 20).cast("string")).alias("clip_id"), F.col("id").cast("int").alias("ord"))
+    grouped = turns.groupBy("clip_id").agg(F.collect_list("ord").alias("o")).select("clip_id", F.explode("o").alias("ord"))
+    placed = grouped.select("clip_id", "ord", (F.col("ord") / 60).alias("offset_s"), F.lit(0.25).alias("kept_s"), F.lit("hm").alias("text"), F.lit("S1").alias("preset"))
+    rows = audio.rendered(placed).select("clip_id", F.spark_partition_id().alias("p")).collect()
+    assert len(rows) == 20 and len({r["p"] for r in rows}) > 1
+
+
+def test_spoken_pieces_are_the_whole_sine():
+    """A sine in pieces, kept for texts at one pitch, is the sine made at once, bit for bit."""
+    dsp._tone.cache_clear()
+    for hz, k in ((110, 1), (233, 68), (233, 69), (150, 200), (233, 300)):
+        n, step, turn = dsp.sine_length("x" * k), 256, 2 * np.pi * hz / 16_000
+        a, b = turn * step * np.arange(-(-n // step))[:, None], turn * np.arange(step)
+        assert np.array_equal(dsp.sine("x" * k, hz), (0.3 * (np.sin(a) * np.cos(b) + np.cos(a) * np.sin(b))).astype(np.float32).ravel()[:n])
+    assert dsp._tone.cache_info().misses == 1 + 3 + 5
+
+
+def test_rendered_sines_against_plain_sums(spark):
+    rows = [("c", 0, 0.0, 0.2, "short", "S1"), ("c", 1, 0.1, 5.0, "x" * 70, "S2"), ("d", 0, 0.5, 9.0, "y" * 100, "S1")]
+    placed = spark.createDataFrame(rows, "clip_id string, ord int, offset_s double, kept_s double, text string, preset string")
+    hz = {r["preset"]: r["hz"] for r in placed.select("preset", T.preset_pitch(F.col("preset")).alias("hz")).collect()}
+    want = {}
+    for clip, _, o, k, text, preset in rows:
+        x = dsp.sine(text, hz[preset])[: round(k * 16_000)]
+        s, room = round(o * 16_000), max(round(k * 16_000), len(x))
+        old = want.get(clip, np.zeros(0, np.float32))
+        new = np.zeros(max(len(old), s + room), np.float32)
+        new[: len(old)] += old
+        new[s : s + len(x)] += x
+        want[clip] = new
+    got = {r["clip_id"]: (audio.samples(r["pcm"]), r["num_samples"]) for r in audio.rendered(placed).collect()}
+    assert got.keys() == want.keys()
+    assert all(n == len(want[c]) and np.array_equal(x, dsp.clip(want[c])) for c, (x, n) in got.items())
+
+
 def write_wav(path, x, rate=16_000, channels=1, width=2):
     path.parent.mkdir(parents=True, exist_ok=True)
     with wave.open(str(path), "wb") as w:

@@ -86,10 +86,11 @@ def augmented(clips: DataFrame, chain: Sequence[AugmentSpec], seed: int = 0) ->
 def by_clip(parts: DataFrame) -> DataFrame:
     """Parts (clip_id, ord) of a clip in one partition and in order.
 
-    The number of partitions is named: rows without audio are small, and merged partitions would make all their audio in one task.
+    The number of partitions is named: rows without audio are small, and merged partitions would make all their audio in one task. They
+    are dealt by a hash of the clip: by the clip itself, an exchange before that deals the same way would stand for this one and be merged.
     """
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return parts.repartition(n, "clip_id").sortWithinPartitions("clip_id", "ord")
+    return parts.repartition(n, F.xxhash64("clip_id")).sortWithinPartitions("clip_id", "ord")
 
 
 def rendered(placed: DataFrame, dealt: bool = False) -> DataFrame:
@@ -98,8 +99,8 @@ def rendered(placed: DataFrame, dealt: bool = False) -> DataFrame:
     Where ``placed`` has (text, preset) instead of pcm and sample_rate, the sine voice speaks the texts here, and only texts move.
 
     Each clip's part is added where it starts; the sum is clipped once at the end. Parts of one clip need one sample rate. A clip's parts
-    are bounded by its turns and come as a stream sorted by clip, so only one canvas is held. ``dealt`` says that ``by_clip`` dealt the
-    rows already.
+    are bounded by its turns and come as a stream sorted by clip, so only one canvas is held; speech is added to it in pieces. ``dealt``
+    says that ``by_clip`` dealt the rows already.
     """
     voiced = "pcm" in placed.columns
     schema = "clip_id string, pcm binary, sample_rate int, num_samples long"
@@ -111,13 +112,20 @@ def rendered(placed: DataFrame, dealt: bool = False) -> DataFrame:
         if len(rates) != 1:
             raise ValueError(f"clip {clip} mixes sample rates {sorted(rates)}")
         rate = rates.pop()
-        cut = [(round(o * rate), (samples(p) if voiced else p)[: round(k * rate)]) for o, k, p, _ in parts]
-        # a part's room is what it keeps, even where its audio is shorter
-        canvas = np.zeros(max(s + max(round(k * rate), len(x)) for (s, x), (_, k, _, _) in zip(cut, parts, strict=True)), np.float32)
-        for s, x in cut:
-            dsp.add_at(canvas, x, s)
-        x = dsp.clip(canvas)
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((clip, x.tobytes(), rate, len(x)), kinds, strict=True)], names=names)
+        cut = []
+        for o, k, p, hz, _ in parts:
+            kept = round(k * rate)
+            n = len(range(len(p) // 4 if voiced else dsp.sine_length(p, rate))[:kept])
+            # a part's room is what it keeps, even where its audio is shorter
+            cut.append((round(o * rate), n, max(kept, n), p, hz))
+        canvas = np.zeros(max(s + room for s, _, room, *_ in cut), np.float32)
+        for s, n, _, p, hz in cut:
+            for at, x in [(0, samples(p)[:n])] if voiced else dsp.tones(hz, n, rate):
+                dsp.add_at(canvas, x, s + at)
+        np.clip(canvas, -1.0, 1.0, out=canvas)
+        # the canvas itself is sent, not a copy
+        pcm = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, canvas.nbytes], np.int32)), pa.py_buffer(canvas)])
+        return pa.RecordBatch.from_arrays([pa.array([clip], kinds[0]), pcm, pa.array([rate], kinds[2]), pa.array([len(canvas)], kinds[3])], names=names)
 
     def run(batches):
         clip, parts = None, []
@@ -127,7 +135,7 @@ def rendered(placed: DataFrame, dealt: bool = False) -> DataFrame:
                     if parts:
                         yield mixed(clip, parts)
                     clip, parts = c, []
-                parts.append((o, k, p, r) if voiced else (o, k, dsp.sine(p, r), SAMPLE_RATE))
+                parts.append((o, k, p, None, r) if voiced else (o, k, p, r, SAMPLE_RATE))
         if parts:
             yield mixed(clip, parts)
 
